@@ -4,13 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import quality_rules
+from weftline.llm import chat, mixing, quality_rules
 from weftline.llm.common import documents
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir, "doc_id", "text", "source")).drop("row_key1", "row_key2")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql("SELECT -7L AS conv_id, t.* FROM VALUES (0L, 'user', :said), (1L, 'assistant', :said) AS t(turn, role, text)", args={"said": said})
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.examples(turns))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op5_source_mixing": op5_source_mixing,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op10_quality_rules": op10_quality_rules,
+}
+
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(text) + 2 * length(regexp_replace(text, '[^%<\[\]]', '', 'g')) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4
+    ELSE 14 + length(role) + 2 * length(regexp_replace(role, '[^%<\[\]]', '', 'g')) END AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM said
+), run AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY at) AS upto, count(*) OVER (PARTITION BY conv_id) AS n FROM sized
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR at = n) AS BIGINT) AS formatted_chars
+FROM run GROUP BY conv_id
+""",
+    "op10_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    len(lines) AS n_lines, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper FROM d
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM d
+), g AS (
+  SELECT doc_id, at, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY at)
+), twice AS (
+  SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1
+), gaps AS (
+  SELECT doc_id, least(5, at - coalesce(lag(at) OVER (PARTITION BY doc_id ORDER BY at), -5)) AS adds FROM twice
+), r AS (
+  SELECT doc_id, sum(adds) AS n FROM gaps GROUP BY doc_id
+), v AS (
+  SELECT m.*, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 2 * n_symbols > n_words OR word_chars > 25 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR (word_chars >= 40 AND 2 * n_upper > word_chars)) AS kept
+FROM b
+""",
+}
