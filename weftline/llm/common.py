@@ -51,7 +51,7 @@ def unstage(*frames: DataFrame) -> None:
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes too, unless the session already has a smaller bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = str(spark.conf.get(key, "0")).lower().rstrip("b")
+    have = str(spark.conf.get(key, None) or "").lower().rstrip("b")
     if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 

@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, mixing, quality_rules
+from weftline.llm import chat, mixing, quality_rules, secrets, sentencepiece_codec, topk_search
 from weftline.llm.common import documents
 
 
+def piece_model() -> str:
+    """The model that op1 encodes with; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(documents(spark, sf_dir, "doc_id", "text"), piece_model())
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir, "doc_id", "text", "source")).drop("row_key1", "row_key2")
 
@@ -19,13 +34,21 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(turns))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk_search.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op8_topk_search": op8_topk_search,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -46,6 +69,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (role = 'assistant' OR at = n) AS BIGINT) AS formatted_chars
 FROM run GROUP BY conv_id
+""",
+    "op8_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op10_quality_rules": r"""
 WITH d AS (
