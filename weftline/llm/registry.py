@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, mixing, quality_rules, secrets, sentencepiece_codec, topk_search
+from weftline.llm import chat, mixing, near_duplicates, quality_rules, secrets, sentencepiece_codec, topk_search
 from weftline.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_topk_search": op8_topk_search,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
 
