@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, mixing, near_duplicates, quality_rules, secrets, sentencepiece_codec, topk_search
+from weftline.llm import chat, mixing, near_duplicates, quality_rules, secrets, sentencepiece_codec, substring_dedup, topk_search
 from weftline.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(turns))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk_search.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_topk_search": op8_topk_search,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
