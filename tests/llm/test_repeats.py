@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import substring_dedup as sub
+from weftline.llm import suffix_dedup as suffix
 
 SCHEMA = "doc_id long, text string, h long, source string"
 
@@ -60,3 +61,54 @@ def test_substring_dedup(spark, seed):
     cleaned = sub.clean(df)
     assert cleaned.columns == df.columns and cleaned.count() == len(rows)
     assert sub.digest(df.limit(0)).count() == 0
+
+
+def brute_bytes(rows, width):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[s : s + width] for t in texts for s in range(len(t) - width + 1))
+    out = []
+    for (d, _), t in zip(rows, texts, strict=True):
+        gone = np.zeros(len(t) + 1, int)
+        for s in range(len(t) - width + 1):
+            if seen[t[s : s + width]] > 1:
+                gone[s] += 1
+                gone[s + width] -= 1 if s + width <= len(t) else 0
+        m = np.cumsum(gone)[: len(t)] > 0
+        spans = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
+        out.append((d, len(t), int(m.sum()), spans, sha(bytes(np.frombuffer(t, np.uint8)[~m]))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT_SEED", hot)
+    monkeypatch.setattr(suffix, "SORT_BYTES", 4000)
+    rows = [(d, t.replace("w1", "é") if t else t) for d, t in corpus(4)] + [(300, "z" * 900), (301, "z" * 199), (302, "ab" * 150)]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA).repartition(5)
+    got = sorted((tuple(r) for r in suffix.digest(df).collect()), key=str)
+    assert got == brute_bytes(rows, 200)
+    cleaned = suffix.clean(df)
+    assert cleaned.columns == df.columns and cleaned.count() == len(rows)
+    assert suffix.digest(df.limit(0)).count() == 0
+
+
+def test_maximal_repeats():
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.choice(list(b"ab"), 40).tolist()) for _ in range(4)]
+    sa = suffix.SuffixArray(texts)
+    places = [(i, s) for i, t in enumerate(texts) for s in range(len(t))]
+    flat = {int(sa.begin[i]) + s: (i, s) for i, s in places}
+    got = {(n, frozenset(flat[int(p)] for p in at)) for n, at in sa.maximal_repeats(4)}
+    want = set()
+    for i, s in places:
+        for n in range(4, 41):
+            w = texts[i][s : s + n]
+            if len(w) < n:
+                break
+            at = frozenset((j, p) for j, p in places if texts[j][p : p + n] == w)
+            if len(at) > 1:
+                right = {texts[j][p + n : p + n + 1] or j.to_bytes() + b"$" for j, p in at}
+                left = {texts[j][p - 1 : p] if p else j.to_bytes() + b"^" for j, p in at}
+                if len(right) > 1 and len(left) > 1:
+                    want.add((n, at))
+    assert got == want

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, mixing, near_duplicates, quality_rules, secrets, sentencepiece_codec, substring_dedup, topk_search
+from weftline.llm import chat, mixing, near_duplicates, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
 from weftline.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(documents(spark, sf_dir, "doc_id", "text"), piece_model())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -53,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_formatting": op6_chat_formatting,
