@@ -81,20 +81,20 @@ WITH said AS (
 ), sized AS (
   SELECT *, length(text) + 2 * length(regexp_replace(text, '[^%<\[\]]', '', 'g')) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4
     ELSE 14 + length(role) + 2 * length(regexp_replace(role, '[^%<\[\]]', '', 'g')) END AS chars,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM said
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM said
 ), run AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY at) AS upto, count(*) OVER (PARTITION BY conv_id) AS n FROM sized
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY conv_id) AS n FROM sized
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(upto) FILTER (role = 'assistant' OR at = n) AS BIGINT) AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR pos = n) AS BIGINT) AS formatted_chars
 FROM run GROUP BY conv_id
 """,
     "op8_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
@@ -106,20 +106,20 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     "op10_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
 ), m AS (
-  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     len(lines) AS n_lines, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper FROM d
 ), w AS (
-  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM d
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
 ), g AS (
-  SELECT doc_id, at, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram
-  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), twice AS (
-  SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1
+  SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1
 ), gaps AS (
-  SELECT doc_id, least(5, at - coalesce(lag(at) OVER (PARTITION BY doc_id ORDER BY at), -5)) AS adds FROM twice
+  SELECT doc_id, least(5, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -5)) AS adds FROM twice
 ), r AS (
   SELECT doc_id, sum(adds) AS n FROM gaps GROUP BY doc_id
 ), v AS (
