@@ -1,5 +1,468 @@
-"""Every registered query of the engine with its SQL oracle."""
+"""Every query of the engine, each over its whole tables, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-ENTRY = None
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import text as tx
+from weftline.operators import graph, index, sentiment
+from weftline.sources.readers import table
+
+TERMS = ["the", "und", "stupid"]
+TWEET = "The und of idiot pour"
+#: A short stop list for the queries; the operators take any.
+STOP_WORDS = ["the", "of", "and", "to", "in", "is", "der", "die", "und", "de", "la"]
+LEXICON = [("happy", 3), ("sad", -2), ("meh", 0), ("vulnerable", 2), ("vulnerable", -2), ("happy", 3), ("not good", -1)]
+WIKI = [
+    "<title>A</title> [[B]] [[C|x]] [[]] <text xml:space='p'>big &lt;b&gt;cat&lt;/b&gt;  &amp;amp; dog</text>",
+    "<title>B</title> [[C]] [[C]]",
+    "<title>C</title> [[C [[D]] <text>a &quot;q&quot; a</text>",
+    "no title [[E]]",
+    "<title>A</title> [[D]]",
+]
+TWEETS = ['"0","1","Mon","NO_QUERY","u","a, ""b"" c"', '"4","2","Tue","q","v","plain"', '"2","3","Wed, 1","q","w","x,y,z"']
+CLASS = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 4 ELSE 2 END"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(column):
+    return F.round(column, 6)
+
+
+def _sql_list(items) -> str:
+    return ", ".join("'" + str(i).replace("'", "''") + "'" for i in items)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(("'" + x.replace("'", "''") + "'") if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+# --- tokens, TF-IDF, search -------------------------------------------------------------------------------------
+
+TOKENS = r"""
+WITH line_runs AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(line, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+') AS runs
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) AS line FROM documents)
+), run AS MATERIALIZED (
+  SELECT doc_id, unnest(runs) AS r, generate_subscripts(runs, 1) AS i, len(runs) AS n FROM line_runs
+), token AS MATERIALIZED (
+  SELECT doc_id, term FROM (
+    SELECT doc_id, CASE WHEN regexp_matches(r, '^[\p{L}\p{Nd}_]') THEN r
+      WHEN i > 1 AND i < n THEN trim(r, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))
+      WHEN i > 1 THEN ltrim(r, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))
+      WHEN i < n THEN rtrim(r, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))
+      ELSE r END AS term FROM run
+  ) WHERE term <> ''
+), wc AS MATERIALIZED (SELECT doc_id, term, count(*) AS n FROM token GROUP BY doc_id, term)
+"""
+TFIDF = (
+    TOKENS
+    + """, freq AS (SELECT term, count(*) AS df FROM wc GROUP BY term), total AS (SELECT count(*) AS n_docs FROM documents),
+ti AS MATERIALIZED (SELECT doc_id, term, (1 + log10(n)) * log10(1 + n_docs // df) AS tfidf FROM wc JOIN freq USING (term) CROSS JOIN total)
+"""
+)
+
+
+def _counts(spark, d):
+    return index.word_count(index.boundary_terms(table(spark, d, "documents")))
+
+
+def _postings(spark, d):
+    return index.tfidf(_counts(spark, d), table(spark, d, "documents").agg(F.count("*").alias("n_docs")))
+
+
+@query(TOKENS + "SELECT doc_id, term, n FROM wc")
+def word_count(spark, d):
+    return _counts(spark, d)
+
+
+@query(TOKENS + "SELECT doc_id, term, round(1 + log10(n), 6) AS tf FROM wc")
+def log_tf(spark, d):
+    return index.log_tf(_counts(spark, d)).withColumn("tf", r6("tf"))
+
+
+@query(TOKENS + "SELECT term, count(*) AS df FROM wc GROUP BY term")
+def doc_frequency(spark, d):
+    return index.doc_frequency(_counts(spark, d))
+
+
+@query(TFIDF + "SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM ti")
+def tfidf(spark, d):
+    return _postings(spark, d).withColumn("tfidf", r6("tfidf"))
+
+
+@query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE term IN ({_sql_list(TERMS)}) GROUP BY doc_id")
+def search_exact(spark, d):
+    return index.search(_postings(spark, d), TERMS).withColumn("score", r6("score"))
+
+
+@query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE {' OR '.join(f'contains(term, {_sql_list([t])})' for t in TERMS)} GROUP BY doc_id")
+def search_substring(spark, d):
+    return index.search(_postings(spark, d), TERMS, "substring").withColumn("score", r6("score"))
+
+
+@query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE lower(term) IN ({_sql_list(TERMS)}) GROUP BY doc_id")
+def search_ignore_case(spark, d):
+    return index.search(_postings(spark, d), TERMS, "ignore_case").withColumn("score", r6("score"))
+
+
+RANKED = TFIDF + f", hit AS (SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE term IN ({_sql_list(TERMS)}) GROUP BY doc_id)\n"
+
+
+@query(RANKED + "SELECT doc_id, score FROM hit")
+def rank_desc(spark, d):
+    """Hits in one global order: a range-partitioned sort, not one task."""
+    return index.rank(search_exact(spark, d))
+
+
+@query(RANKED + "SELECT doc_id, score FROM hit ORDER BY score DESC, doc_id LIMIT 30")
+def topk_30(spark, d):
+    return index.rank(search_exact(spark, d), 30)
+
+
+@query(TOKENS.replace("SELECT doc_id, unnest(regexp_split", "SELECT conv_id * 1000 + turn AS doc_id, unnest(regexp_split").replace("FROM documents)", "FROM conversations)") + "SELECT doc_id, term, n FROM wc")
+def tokenize_boundary(spark, d):
+    turns = table(spark, d, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return index.word_count(index.boundary_terms(turns))
+
+
+@query("SELECT doc_id, term, count(*) AS n FROM (SELECT conv_id * 1000 + turn AS doc_id, unnest(string_split(rtrim(text, ' '), ' ')) AS term FROM conversations WHERE text IS NOT NULL AND rtrim(text, ' ') <> '') GROUP BY ALL")
+def tokenize_space(spark, d):
+    turns = table(spark, d, "conversations").where("text IS NOT NULL AND rtrim(text) <> ''").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return index.word_count(index.space_terms(turns))
+
+
+# --- cleaning -----------------------------------------------------------------------------------------------------
+
+
+def _clean_sql(at_only: bool) -> str:
+    handle = tx.AT_ONLY if at_only else tx.HANDLE
+    return f"regexp_replace(regexp_replace(regexp_replace(text, '{tx.URL}', '', 'gi'), '{handle}', '', 'gi'), '{tx.NOT_PLAIN}', '', 'g')"
+
+
+EXTRA = [(-1, "@switchfoot http://x.co/2y - Awww, that's"), (-2, "see http://x.co/a?b=c @bob @bobby"), (-3, "mail a@b.de, ftp://h/p+q")]
+
+
+def _texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(EXTRA, "doc_id long, text string"))
+
+
+TEXTS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_values(EXTRA)}))"
+
+
+@query(f"SELECT doc_id, {_clean_sql(False)} AS cleaned FROM {TEXTS_SQL}")
+def clean_text_handles(spark, d):
+    return _texts(spark, d).select("doc_id", tx.clean_tweet(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {_clean_sql(True)} AS cleaned FROM {TEXTS_SQL}")
+def clean_text_at_only(spark, d):
+    return _texts(spark, d).select("doc_id", tx.clean_tweet(F.col("text"), at_only=True).alias("cleaned"))
+
+
+SPACE_WORDS = "SELECT doc_id, unnest(string_split(rtrim(text, ' '), ' ')) AS word FROM documents WHERE text IS NOT NULL AND rtrim(text, ' ') <> ''"
+
+
+def _space_words(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND rtrim(text) <> ''")
+    return index.space_terms(docs).withColumnRenamed("term", "word")
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({SPACE_WORDS}) WHERE lower(word) NOT IN ({_sql_list(STOP_WORDS)}) GROUP BY doc_id")
+def stopwords_ci(spark, d):
+    return sentiment.without_stop_words(_space_words(spark, d), STOP_WORDS, True).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({SPACE_WORDS}) WHERE word NOT IN ({_sql_list(STOP_WORDS)}) GROUP BY doc_id")
+def stopwords_cs(spark, d):
+    return sentiment.without_stop_words(_space_words(spark, d), STOP_WORDS, False).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+# --- pages and links ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages WHERE regexp_matches(html, '<title>.*?</title>')")
+def title_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.title(F.col("html")).alias("title")).where("title IS NOT NULL")
+
+
+@query("SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY ALL")
+def link_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(tx.href_links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT page, replace(replace(link, '[[', ''), ']]', '') AS link FROM (SELECT page, unnest(regexp_extract_all(line, '\\[\\[.*?\\]\\]')) AS link FROM (VALUES {_values(enumerate(WIKI))}) AS t(page, line))"
+)
+def wiki_link_extract(spark, d):
+    rows = spark.createDataFrame(list(enumerate(WIKI)), "page int, line string")
+    return rows.select("page", F.explode(tx.wiki_links(F.col("line"))).alias("link"))
+
+
+BODY_SQL = (
+    "regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(line, '<text(.*?)</text>', 1), '^[^>]*>', ''), "
+    "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<.*?>', '', 'g')"
+)
+
+
+@query(f"SELECT page, {BODY_SQL} AS body FROM (VALUES {_values(enumerate(WIKI))}) AS t(page, line) WHERE regexp_matches(line, '<text(.*?)</text>')")
+def wiki_text_strip(spark, d):
+    rows = spark.createDataFrame(list(enumerate(WIKI)), "page int, line string")
+    return rows.select("page", tx.wiki_body(F.col("line")).alias("body")).where("body IS NOT NULL")
+
+
+EDGES = "edge AS (SELECT src, dst FROM (SELECT regexp_extract(html, '<title>(.*?)</title>', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages WHERE regexp_matches(html, '<title>.*?</title>')) WHERE dst <> '')"
+NODES = "node AS (SELECT unnest(regexp_extract_all(html, '<title>(.*?)</title>', 1)) AS id FROM pages UNION SELECT dst FROM edge)"
+
+
+def _edges(spark, d):
+    return graph.edges(table(spark, d, "pages"), links=tx.href_links(F.col("html")))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, count(*) AS n FROM edge GROUP BY ALL")
+def edge_list(spark, d):
+    return _edges(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT src, count(*) AS out_degree FROM edge GROUP BY src")
+def out_degree(spark, d):
+    return graph.out_degree(_edges(spark, d))
+
+
+@query(f"WITH {EDGES}, {NODES} SELECT count(*) AS n_nodes FROM node")
+def node_count(spark, d):
+    return graph.node_count(graph.nodes(table(spark, d, "pages"), _edges(spark, d)))
+
+
+def _pagerank_sql(edge: str, node: str, steps: int) -> str:
+    ctes = [edge, node, "deg AS (SELECT src, count(*) AS k FROM edge GROUP BY src)", "r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM node) AS rank FROM node)"]
+    for i in range(1, steps + 1):
+        ctes.append(
+            f"r{i} AS MATERIALIZED (SELECT id, 0.15 + 0.85 * coalesce(s, 0) AS rank FROM node LEFT JOIN (SELECT dst, sum(rank / k) AS s FROM edge JOIN deg USING (src) JOIN r{i - 1} ON src = id GROUP BY dst) ON dst = id)"
+        )
+    return f"WITH {', '.join(ctes)} SELECT id, round(rank, 6) AS rank FROM r{steps}"
+
+
+@query(_pagerank_sql(EDGES, NODES, 1))
+def pagerank_1(spark, d):
+    e = _edges(spark, d)
+    return graph.pagerank(e, graph.nodes(table(spark, d, "pages"), e), 1).withColumn("rank", r6("rank"))
+
+
+@query(_pagerank_sql(EDGES, NODES, 10))
+def pagerank_10(spark, d):
+    e = _edges(spark, d)
+    return graph.pagerank(e, graph.nodes(table(spark, d, "pages"), e)).withColumn("rank", r6("rank"))
+
+
+LINE_EDGES = "edge AS MATERIALIZED (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
+LINE_NODES = "node AS (SELECT src AS id FROM edge UNION SELECT dst FROM edge)"
+
+
+@query(_pagerank_sql(LINE_EDGES, LINE_NODES, 10))
+def pagerank_dense(spark, d):
+    """Supplier and part link each other in every order line."""
+    pair = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+    e = pair.unionByName(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.pagerank(e, graph.endpoints(e)).withColumn("rank", r6("rank"))
+
+
+# --- wiki search --------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH p AS (SELECT regexp_extract(line, '<title>(.*?)</title>', 1) AS doc_id, CASE WHEN regexp_matches(line, '<text(.*?)</text>') THEN {BODY_SQL} END AS body FROM (VALUES {_values(enumerate(WIKI))}) AS t(page, line) WHERE regexp_matches(line, '<title>.*?</title>')), "
+    "w AS (SELECT doc_id, unnest(string_split(rtrim(body, ' '), ' ')) AS term FROM p WHERE body IS NOT NULL), wc AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM wc GROUP BY term) "
+    "SELECT doc_id, round(sum((1 + log10(n)) * log10(1 + (SELECT count(*) FROM p) // df)), 6) AS score FROM wc JOIN f USING (term) WHERE contains(term, 'ca') OR contains(term, 'dog') GROUP BY doc_id"
+)
+def wiki_search(spark, d):
+    """Pages to titles and bodies, space tokens, TF-IDF over pages with a title, substring search, ranked."""
+    from weftline.sources.readers import wiki_pages
+
+    pages = wiki_pages(spark.createDataFrame([(w,) for w in WIKI], "line string")).select(F.col("title").alias("doc_id"), F.col("body").alias("text"))
+    terms = index.space_terms(pages.where("text IS NOT NULL"))
+    return index.rank(index.search(index.tfidf(index.word_count(terms), pages.agg(F.count("*").alias("n_docs"))), ["ca", "dog"], "substring").withColumn("score", r6("score")))
+
+
+# --- lexicon ------------------------------------------------------------------------------------------------------
+
+
+def _lexicon(spark):
+    return spark.createDataFrame(LEXICON, "term string, score int")
+
+
+LEX = f"lex AS (SELECT DISTINCT * FROM (VALUES {_values(LEXICON)}) AS t(term, score))"
+
+
+@query(f"WITH {LEX} SELECT term, score FROM lex")
+def lexicon_dedup(spark, d):
+    return sentiment.lexicon(_lexicon(spark))
+
+
+@query(f"WITH {LEX}, a AS (SELECT avg(score) AS avg_score FROM lex WHERE lower(term) IN ('happy', 'vulnerable', 'zzz')) SELECT avg_score, CASE WHEN avg_score > 1 THEN 'positive' WHEN avg_score < -1 THEN 'negative' ELSE 'neutral' END AS label FROM a WHERE avg_score IS NOT NULL")
+def lexicon_classify(spark, d):
+    return sentiment.lexicon_classify(sentiment.lexicon(_lexicon(spark)), ["Happy", "happy", "vulnerable", "zzz"])
+
+
+@query(
+    "WITH w AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(rtrim(text, ' '), ' '), lambda x: lower(x)))) AS word FROM documents WHERE text IS NOT NULL), "
+    "l AS (SELECT * FROM (VALUES ('the', 2), ('idiot', -3), ('stupid', -3), ('und', 1)) AS t(term, score)) "
+    "SELECT doc_id, round(avg(score), 6) AS avg_score, CASE WHEN avg(score) > 1 THEN 'positive' WHEN avg(score) < -1 THEN 'negative' ELSE 'neutral' END AS label FROM w JOIN l ON word = term GROUP BY doc_id"
+)
+def lexicon_documents(spark, d):
+    """Every document scored by a lexicon, joined, not filtered by a list."""
+    from weftline.streaming.live import lexicon_scores
+
+    entries = spark.createDataFrame([("the", 2), ("idiot", -3), ("stupid", -3), ("und", 1)], "term string, score int")
+    met = lexicon_scores(table(spark, d, "documents"), entries).groupBy("doc_id").agg(F.avg("score").alias("a"))
+    label = F.when(F.col("a") > 1, "positive").when(F.col("a") < -1, "negative").otherwise("neutral")
+    return met.select("doc_id", r6("a").alias("avg_score"), label.alias("label"))
+
+
+# --- Naive Bayes, neighbours, maximum entropy ---------------------------------------------------------------------
+
+
+def _labelled(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return rows.select(F.col("doc_id").alias("tweet_id"), F.expr(CLASS).cast("int").alias("class"), "text")
+
+
+def _labelled_sql(at_only: bool) -> str:
+    return f"tweet AS (SELECT doc_id AS tweet_id, {CLASS} AS class, {_clean_sql(at_only)} AS text FROM documents JOIN labels USING (doc_id))"
+
+
+def _words_sql(at_only: bool, ignore_case: bool) -> str:
+    key = "lower(word)" if ignore_case else "word"
+    split = "SELECT tweet_id, class, unnest(CASE WHEN text = '' THEN [''] WHEN rtrim(text, ' ') = '' THEN [] ELSE string_split(rtrim(text, ' '), ' ') END) AS word FROM tweet"
+    return f"{_labelled_sql(at_only)}, w AS MATERIALIZED (SELECT * FROM ({split}) WHERE {key} NOT IN ({_sql_list(STOP_WORDS)}))"
+
+
+NB_WORDS = "WITH " + _words_sql(True, True)
+NB_COUNTS = NB_WORDS + ", cnt AS MATERIALIZED (SELECT word, c.class AS class, count(*) FILTER (w.class = c.class) AS n FROM w CROSS JOIN (VALUES (0), (2), (4)) AS c(class) GROUP BY word, c.class)"
+NB_STATS = (
+    NB_COUNTS
+    + ", st AS MATERIALIZED (SELECT * FROM (SELECT count(*) AS total_tweets, count(*) FILTER (class = 4) AS positive_tweets, count(*) FILTER (class = 2) AS neutral_tweets, count(*) FILTER (class = 0) AS negative_tweets FROM tweet), "
+    "(SELECT count(DISTINCT word) AS vocabulary, count(*) FILTER (class = 4) AS positive_words, count(*) FILTER (class = 2) AS neutral_words, count(*) FILTER (class = 0) AS negative_words FROM w))"
+)
+NB_MODEL = NB_STATS + ", model AS MATERIALIZED (SELECT word, class, (n + 1)::DOUBLE / (vocabulary + CASE class WHEN 4 THEN positive_words WHEN 2 THEN neutral_words ELSE negative_words END) AS p FROM cnt CROSS JOIN st)"
+
+
+def _nb(spark, d):
+    tweets = _labelled(spark, d)
+    words = sentiment.nb_words(tweets, STOP_WORDS)
+    stats = sentiment.nb_stats(tweets, words)
+    counts = sentiment.nb_counts(words)
+    return counts, stats, sentiment.nb_model(counts, stats)
+
+
+@query(NB_COUNTS + "SELECT word, class, n FROM cnt")
+def nb_counts(spark, d):
+    return _nb(spark, d)[0]
+
+
+@query(NB_STATS + "SELECT * FROM st")
+def nb_stats(spark, d):
+    return _nb(spark, d)[1]
+
+
+@query(NB_MODEL + "SELECT word, class, round(p, 9) AS p FROM model")
+def nb_model(spark, d):
+    return _nb(spark, d)[2].withColumn("p", F.round("p", 9))
+
+
+@query(
+    NB_MODEL
+    + f", q AS (SELECT unnest(string_split('{TWEET}', ' ')) AS word), s AS (SELECT class, exp(sum(ln(p))) AS lp FROM q JOIN model ON lower(q.word) = lower(model.word) GROUP BY class), "
+    "sc AS (SELECT class, lp * (CASE class WHEN 4 THEN positive_tweets WHEN 2 THEN neutral_tweets ELSE negative_tweets END)::DOUBLE / total_tweets AS probability FROM s CROSS JOIN st) "
+    "SELECT 1 AS tweet_id, class, round(ln(probability), 6) AS log_probability FROM sc WHERE probability > 0 ORDER BY probability DESC, class LIMIT 1"
+)
+def nb_classify(spark, d):
+    _, stats, model = _nb(spark, d)
+    best = sentiment.nb_classify(model, stats, spark.createDataFrame([(1, TWEET)], "tweet_id int, text string"))
+    return best.select("tweet_id", "class", r6(F.ln("probability")).alias("log_probability"))
+
+
+KNN = (
+    "WITH " + _words_sql(False, False) + ", wc AS (SELECT tweet_id, class, word, count(*) AS n FROM w GROUP BY ALL), freq AS (SELECT word, count(*) AS df FROM wc GROUP BY word), "
+    "ti AS (SELECT tweet_id, class, word, (1 + log10(n)) * log10(1 + (SELECT count(*) FROM tweet) // df) AS tfidf FROM wc JOIN freq USING (word)), "
+    f"hit AS MATERIALIZED (SELECT tweet_id, class, sum(tfidf) AS score FROM ti WHERE lower(word) IN ({_sql_list(TERMS)}) GROUP BY ALL ORDER BY score DESC, tweet_id, class LIMIT 30) "
+)
+
+
+def _neighbours(spark, d):
+    return sentiment.knn_neighbours(sentiment.knn_index(_labelled(spark, d), STOP_WORDS), TERMS)
+
+
+@query(KNN + "SELECT tweet_id, class, round(score, 6) AS score FROM hit")
+def knn_neighbours(spark, d):
+    return _neighbours(spark, d).withColumn("score", r6("score"))
+
+
+@query(KNN + "SELECT class, round(sum(score), 6) AS score FROM hit GROUP BY class")
+def knn_class_scores(spark, d):
+    return sentiment.knn_class_scores(_neighbours(spark, d)).withColumn("score", r6("score"))
+
+
+@query(KNN + "SELECT class, round(sum(score), 6) AS score FROM hit GROUP BY class ORDER BY sum(score) DESC, class LIMIT 1")
+def knn_classify(spark, d):
+    return sentiment.knn_classify(sentiment.knn_class_scores(_neighbours(spark, d))).withColumn("score", r6("score"))
+
+
+# Cleaned text has only letters, digits and spaces: a boundary split gives its words, an empty token wherever spaces stand
+# between two words, and a leading token for leading space.
+MAXENT = (
+    f"WITH t AS (SELECT conv_id * 1000 + turn AS tweet_id, 4 AS class, {_clean_sql(False)} AS text FROM conversations), "
+    "parts AS (SELECT *, regexp_extract_all(text, '[a-zA-Z0-9]+') AS ws FROM t), "
+    "f0 AS MATERIALIZED (SELECT tweet_id, class, word, count(*)::DOUBLE AS f FROM (SELECT tweet_id, class, unnest(ws) AS word FROM parts) GROUP BY ALL "
+    "UNION ALL SELECT tweet_id, class, '', (len(ws) - 1 + CASE WHEN starts_with(text, ' ') THEN 2 ELSE 0 END)::DOUBLE FROM parts WHERE len(ws) > 1 OR len(ws) = 1 AND starts_with(text, ' ') "
+    "UNION ALL SELECT tweet_id, class, text, 1.0::DOUBLE FROM parts WHERE len(ws) = 0 AND text <> '') "
+)
+
+
+def _turns(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), F.lit(4).alias("class"), "text")
+
+
+@query(MAXENT + "SELECT tweet_id, class, word, f, 0.0::DOUBLE AS \"lambda\" FROM f0")
+def maxent_init(spark, d):
+    return sentiment.maxent_init(_turns(spark, d))
+
+
+@query(MAXENT + 'SELECT tweet_id, class, word, f, round(sum(f) OVER w / sum(f * exp(0.0) / exp(2.0)) OVER w, 6) AS "lambda" FROM f0 WINDOW w AS (PARTITION BY tweet_id)')
+def maxent_iterate(spark, d):
+    return sentiment.maxent_iterate(sentiment.maxent_init(_turns(spark, d))).withColumn("lambda", r6("lambda"))
+
+
+@query(
+    "SELECT * FROM (VALUES (0, '1', '\"a, \"\"b\"\" c\"'), (4, '2', '\"plain\"'), (2, '3', '\"x,y,z\"')) AS t(class, tweet_id, text)"
+)
+def tweet_csv_parse(spark, d):
+    from weftline.sources.readers import tweet_lines
+
+    return tweet_lines(spark.createDataFrame([(t,) for t in TWEETS], "line string"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """The batch form of the streaming window aggregate."""
+    from weftline.streaming.live import event_windows as windows
+
+    return windows(table(spark, d, "events")).withColumn("total", r6("total"))
+
+
+ENTRY = rank_desc
