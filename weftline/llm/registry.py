@@ -90,6 +90,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (role = 'assistant' OR pos = n) AS BIGINT) AS formatted_chars
 FROM run GROUP BY conv_id
+""",
+    "op7_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+), g AS (
+  SELECT doc_id, pos, md5(concat_ws(' ', word, """
+    + ", ".join(f"lead(word, {i}) OVER o" for i in range(1, 20))
+    + r""")) AS h, lead(word, 19) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS n FROM g WHERE whole
+), later AS (
+  SELECT doc_id, pos AS first, pos + 19 AS last FROM ranked WHERE n > 1
+), flagged AS (
+  SELECT w.*, coalesce(max(l.last) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS UNBOUNDED PRECEDING), 0) >= w.pos AS gone
+  FROM w LEFT JOIN later l ON l.doc_id = w.doc_id AND l.first = w.pos
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text FROM flagged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op8_topk_search": """
 WITH v AS (
@@ -102,6 +123,31 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE node AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS least, count(*) AS n_copies, row_number() OVER (ORDER BY min(doc_id)) AS id FROM documents GROUP BY 1
+), said AS (
+  SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM node
+), shingle AS (
+  SELECT DISTINCT id, array_to_string(words[pos:pos + 4], ' ') AS g FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM said WHERE len(words) > 0)
+), size AS (
+  SELECT id, count(*) AS n FROM shingle GROUP BY id
+), pair AS (
+  SELECT a.id AS x, b.id AS y, count(*) AS shared FROM shingle a JOIN shingle b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM pair JOIN size s ON s.id = x JOIN size t ON t.id = y WHERE 5 * shared >= 4 * (s.n + t.n - shared)
+), arc AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach(id, other) AS (
+  SELECT id, id FROM node UNION SELECT r.id, arc.y FROM reach r JOIN arc ON arc.x = r.other
+), class AS (
+  SELECT r.id, min(n.least) AS class_id FROM reach r JOIN node n ON n.id = r.other GROUP BY r.id
+), degree AS (
+  SELECT x AS id, count(*) AS n_links FROM arc GROUP BY x
+)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies
+FROM documents d JOIN node ON t = coalesce(d.text, '') JOIN class USING (id) LEFT JOIN degree USING (id)
 """,
     "op10_quality_rules": r"""
 WITH d AS (
