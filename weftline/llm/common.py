@@ -29,11 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_staged: dict[str, list[str]] = {}
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove every table this application has staged; results that still read one must have been written before."""
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
