@@ -43,6 +43,10 @@ def test_wiki_page(spark):
     df = spark.createDataFrame([("x <title>T</title> <text a='b'>1 &lt;b&gt;2&lt;/b&gt; &amp;lt;</text>",)], "line string")
     r = readers.wiki_pages(df).first()
     assert (r.title, r.body) == ("T", "1 2 &lt;")
+    odd = ["&eacute;&#233;&#xE9; &nope; &amp;lt; &#55296;", "<i>", None]
+    assert column(spark, odd, tx.unescape_all_html) == ["ééé &nope; &lt; &#55296;", "<i>", None]
+    df = spark.createDataFrame([("<title>T</title><text>&eacute;&lt;i&gt;x</text>",)], "line string")
+    assert readers.wiki_pages(df, all_entities=True).first().body == "éx"
 
 
 def test_tfidf_and_search(spark):

@@ -25,10 +25,10 @@ def file_count(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n_docs"))
 
 
-def wiki_pages(lines: DataFrame, column: str = "line") -> DataFrame:
+def wiki_pages(lines: DataFrame, column: str = "line", all_entities: bool = False) -> DataFrame:
     """(title, body, links) of the lines that have a title, one page a line."""
     page = F.col(column)
-    rows = lines.select(tx.title(page).alias("title"), tx.wiki_body(page).alias("body"), tx.wiki_links(page).alias("links"))
+    rows = lines.select(tx.title(page).alias("title"), tx.wiki_body(page, all_entities).alias("body"), tx.wiki_links(page).alias("links"))
     return rows.where("title IS NOT NULL")
 
 
