@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from weftline.llm.common import bound_batches
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
-TABLE_CHUNKS = 400_000
-TABLE_BYTES = 32 << 20
+TABLE_CHUNKS = 200_000
+TABLE_BYTES = 16 << 20
 
 
 class Codec:
@@ -63,6 +64,12 @@ class Codec:
         self.table[" "] = (str(self.alone), " ")
         self.bytes += sum(map(len, new)) * 4
 
+    def release(self) -> None:
+        """Give the table's memory back at the end of a task; an idle worker would hold it."""
+        self.table.clear()
+        self.bytes = 0
+        pa.default_memory_pool().release_unused()
+
     def documents(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text."""
         if not self.by_chunk:
@@ -99,12 +106,19 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     def run(batches):
         codec = _codec(model)
         for b in batches:
-            made = list(codec.documents(b.column(b.schema.get_field_index(text)).to_pylist()))
+            numbers, texts = [], []
+            for i, d in codec.documents(b.column(b.schema.get_field_index(text)).to_pylist()):
+                # parsed in C: a list of Python numbers would take ten times the memory
+                numbers.append(np.fromstring(i, np.int32, sep=",") if i else np.zeros(0, np.int32))
+                texts += [d] if decoded else []
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int32)
+            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
             columns = [b.column(b.schema.get_field_index(c)) for c in kept]
-            columns.append(pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in made], pa.list_(pa.int32())))
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
             if decoded:
-                columns.append(pa.array([d for _, d in made], pa.string()))
+                columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, *([decoded] if decoded else [])])
+        codec.release()
 
     return docs.mapInArrow(run, f"{out}, `{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
@@ -120,6 +134,7 @@ def digest(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "
             rows = [((i.count(",") + 1) if i else 0, sha(i), sha(d)) for i, d in codec.documents(b.column(1).to_pylist())]
             n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.release()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
