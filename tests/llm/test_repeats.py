@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from weftline.llm import repeats
 from weftline.llm import substring_dedup as sub
 from weftline.llm import suffix_dedup as suffix
 
@@ -52,8 +53,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "solo"), [(1, 256), (2, 3)])
+def test_substring_dedup(spark, monkeypatch, seed, solo):
+    monkeypatch.setattr(repeats, "SOLO", solo)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA).repartition(5)
     got = sorted((tuple(r) for r in sub.digest(df).collect()), key=str)
@@ -79,9 +81,9 @@ def brute_bytes(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT_SEED", hot)
+@pytest.mark.parametrize("solo", [256, 3])
+def test_suffix_dedup(spark, monkeypatch, solo):
+    monkeypatch.setattr(repeats, "SOLO", solo)
     monkeypatch.setattr(suffix, "SORT_BYTES", 4000)
     rows = [(d, t.replace("w1", "é") if t else t) for d, t in corpus(4)] + [(300, "z" * 900), (301, "z" * 199), (302, "ab" * 150)]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA).repartition(5)
@@ -112,3 +114,71 @@ def test_maximal_repeats():
                 if len(right) > 1 and len(left) > 1:
                     want.add((n, at))
     assert got == want
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    common = [f"c{i}" for i in range(19)]
+    rows = [(1, " ".join([*common, one])), (2, " ".join([*common, two])), (3, " ".join([one, *common])), (4, " ".join([two, *common]))]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
+    got = sorted((tuple(r) for r in sub.digest(df).collect()), key=str)
+    assert got == brute_words(rows, 20) and not any(r[2] for r in got)
+    rows = [(1, one[:199] + "c"), (2, two[:199] + "c"), (3, "x" + one + "y"), (4, "z" + two)]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
+    assert sorted((tuple(r) for r in suffix.digest(df).collect()), key=str) == brute_bytes(rows, 200)
+
+
+def test_very_many_alike_rows_and_one_hot_anchor(spark):
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{i}" for i in range(300))
+    shared = " ".join(f"s{i}" for i in range(30))
+    around = [(i, f"a{rng.integers(9)} b{rng.integers(400)} {shared} c{rng.integers(9)} d{rng.integers(400)}") for i in range(3000)]
+    rows = [(None, text)] * 2000 + around
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA).repartition(8)
+    assert sorted((tuple(r) for r in sub.digest(df).collect()), key=str) == brute_words(rows, 20)
+    rows = [(None, text)] * 500 + around
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA).repartition(8)
+    assert sorted((tuple(r) for r in suffix.digest(df, width=100, seed=16).collect()), key=str) == brute_bytes(rows, 100)
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "w " * 40, 1, "x", 7, 8, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc long, _tie string, _at long, at long, doc string")
+    for op in (sub, suffix):
+        assert op.clean(df).columns == df.columns and op.clean(df).count() == 1 and op.digest(df).count() == 1
+
+
+@pytest.mark.parametrize("solo", [256, 2])
+def test_repeat_groups(spark, monkeypatch, solo):
+    monkeypatch.setattr(repeats, "SOLO", solo)
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared = [letters(60), letters(45)]
+    rows = [(i, letters(9) + shared[i % 2][i // 4 :] + letters(7)) for i in range(12)] + [(20, letters(70))] * 2
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
+    texts = dict(rows)
+    groups = {}
+    for r in suffix.repeat_groups(df, width=40, seed=8).collect():
+        groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+    covered = set()
+    for (_, n), at in groups.items():
+        assert len({texts[d][p : p + n] for d, p in at}) == 1 and n >= 40
+        assert len(at) > 1 or at <= {(20, p) for p in range(70)}
+        covered |= {(d, p + k) for d, p in at for k in range(n - 39)}
+    places = Counter(t[p : p + 40] for _, t in rows for p in range(len(t) - 39))
+    assert covered == {(d, p) for d, t in rows for p in range(len(t) - 39) if places[t[p : p + 40]] > 1}
+    if solo == 256:
+        # every window's occurrences are together in a group
+        for d, t in rows:
+            for p in range(len(t) - 39):
+                same = {(e, q) for e, u in rows for q in range(len(u) - 39) if u[q : q + 40] == t[p : p + 40]}
+                if len(same) > 1:
+                    assert any({(e, q - k) for e, q in same} <= at for (_, n), at in groups.items() for k in range(n - 39) if (d, p - k) in at)

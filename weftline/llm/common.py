@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +19,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where no setting names it (tests)."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir.  Only a session whose executor is the
+    driver itself (tests) may go without: it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(spark, "_weftline_dir", None)
         if where is None:
             where = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -72,6 +76,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in have:
+            name = f"_{name}"
+        have.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -1,16 +1,17 @@
 """Substring dedup on words: seed and extend.
 
-Documents are joined on winnowed seeds (repeats.py).  A seed is extended both ways over all the windows it stands for:
-where two documents agree over the whole block, every window of the later one is a repeat at once; where they agree on
-less, the extension goes window by window, so a match is followed exactly to both of its ends.  Neighbouring repeated
-windows join into maximal repeats, all at least WIDTH words long, which is what is removed.  A window stays where it
-starts first (least doc_id, then start).
-
-Pairs are never formed: of equal blocks, and of equal windows, one row goes on from each batch for all of them.
+Documents are joined on winnowed anchors of SEED_WORDS words (repeats.py).  Blocks of one content repeat the earliest at
+once.  The different contents of an anchor are extended both ways, word by word, from the anchor: after l words to the
+left and r to the right, contents that still agree are in one class, told apart by the words themselves.  A window that
+reaches l words before the anchor and the rest after it repeats an earlier one if its classes on both sides hold an
+earlier content.  So a match is followed exactly to both of its ends, and neighbouring repeated windows join into maximal
+repeats, all at least WIDTH words long, which is what is removed.  A window stays where it starts first (least doc_id,
+then start).  Pairs are never formed.
 
 Defined results: a null text has no words; a null doc_id comes after all others; rows with one doc_id and one text are
 one document and do not remove each other; rows with one doc_id and different texts are ordered by a hash of the text;
-an empty table gives an empty table; `clean` keeps other columns.
+a text shorter than WIDTH words keeps all; very long texts are one row each and take memory in proportion; an empty table
+gives an empty table; `clean` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,56 +19,92 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from weftline.llm import repeats
 from weftline.llm import textscan as ts
-from weftline.llm.common import bound_batches, stage
+from weftline.llm.common import bound_batches
 
 WIDTH = 20
 SEED_WORDS = 5
 
 
+def _classes(anchor: np.ndarray, word_at, steps: int) -> list[np.ndarray]:
+    """For 0 to `steps` words: classes of the contents that agree on that many; -1 where there are fewer words."""
+    out = [anchor]
+    for step in range(steps):
+        word = word_at(step)
+        ok = (word >= 0) & (out[-1] >= 0)
+        now = np.full(len(anchor), -1, np.int64)
+        now[ok] = pd.factorize(out[-1][ok] * (int(word.max(initial=0)) + 1) + word[ok])[0]
+        out.append(now)
+    return out
+
+
+def later_windows(key: np.ndarray, texts: list[bytes], off: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(content, window) of the windows in [lo, hi] that a content before it with its key holds too.  Contents are in the
+    order of their places; windows are counted from the start of each."""
+    words = [t.split(b" ") for t in texts]
+    size = np.array([len(w) for w in words])
+    begin = np.cumsum(size) - size
+    ids = pd.factorize(np.array([w for ws in words for w in ws], object))[0].astype(np.int64)
+
+    def word_at(place: np.ndarray) -> np.ndarray:
+        ok = (place >= 0) & (place < size)
+        return np.where(ok, ids[np.where(ok, begin + place, 0)], -1)
+
+    anchor = pd.factorize(key)[0].astype(np.int64)
+    most = int(off.max(initial=0))
+    left = _classes(anchor, lambda step: word_at(off - 1 - step), most)
+    right = _classes(anchor, lambda step: word_at(off + step), width)
+    n = len(texts)
+    which, window = [], []
+    for before in range(most + 1):
+        at = off - before
+        rows = np.flatnonzero((at >= lo) & (at <= hi) & (before <= width))
+        if not len(rows):
+            continue
+        both = left[before][rows] * (n + 1) + right[width - before][rows]
+        again = pd.Series(both).duplicated().to_numpy()
+        which.append(rows[again])
+        window.append(at[rows[again]])
+    return (np.concatenate(which), np.concatenate(window)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _solver(width: int):
+    def solve(batches):
+        for g in ts.whole_groups(batches, 2):
+            k1, k2, doc, tie, s1, off, lo, hi = (g.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2", "doc", "tie", "s1", "off", "lo", "hi"))
+            # a place that comes twice is one content
+            new = np.ones(len(k1), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (k1, k2, doc, tie, s1)], axis=0)
+            keep = np.flatnonzero(new)
+            key = np.cumsum(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))[keep]
+            texts = g.column("text").take(pa.array(keep)).to_pylist()
+            # places are compared as documents, then starts: rows are sorted so inside a key
+            which, window = later_windows(key, texts, off[keep], lo[keep], hi[keep], width)
+            order = np.lexsort((window, which))
+            which, window = which[order], window[order]
+            run = np.ones(len(which), bool)
+            run[1:] = (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)
+            at = np.flatnonzero(run)
+            cnt = np.diff(np.append(at, len(which)))
+            row = keep[which[at]]
+            yield repeats.ranges_batch(k1[row], k2[row], doc[row], tie[row], s1[row] + window[at], cnt, window[at])
+
+    return solve
+
+
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_WORDS) -> DataFrame:
     """(doc, tie, s1, cnt): window starts that repeat an earlier window."""
     bound_batches(docs.sparkSession)
-    rows = repeats.keyed(docs, id_column, text)
-    found = stage(repeats.compared(repeats.anchored(rows, True, width, seed, True), True))
-    wanted = found.where("differ").groupBy("doc", "tie").agg(F.collect_list(F.struct("s1", "cnt")).alias("at"))
-
-    def extend(batches):
-        for b in batches:
-            docs_, ties, at = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
-            each = np.diff(at.offsets.to_numpy())
-            flat = at.flatten()
-            s1, cnt = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
-            owner = np.repeat(np.arange(b.num_rows), each)
-            parts = []
-            for lo, hi, data, offsets in ts.chunks(b.column(2)):
-                values, first = repeats.units(data, offsets, True)
-                here = (owner >= lo) & (owner < hi)
-                which, h = repeats.window_rows(values, first[owner[here] - lo] + s1[here], cnt[here], width)
-                row, c = owner[here][which], cnt[here]
-                start = s1[here][which] + np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
-                parts.append((h, docs_[row], ties[row], start))
-            h, doc, tie, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            go, n, known = repeats.fold(h, doc, tie, start, True)
-            both = np.concatenate([go, known])
-            spread = ts.mix(doc[known].view(np.uint64) + start[known].astype(np.uint64))
-            h_out = np.concatenate([h[go], spread])
-            yield repeats.rows_out(np.repeat([0, 1], [len(go), len(known)]), h_out, h_out, doc[both], tie[both], start[both], np.ones(len(both), np.int64), np.ones(len(both), np.int64))
-
-    single = rows.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "at").mapInArrow(extend, repeats.OUT)
-    place = F.struct("doc", "tie", "s1")
-    first = F.first(place).over(Window.partitionBy("h").orderBy("doc", "tie", "s1"))
-    later = single.withColumn("repeat", (F.col("kind") == 1) | (first != place)).where("repeat")
-    return found.where("repeat").select("doc", "tie", "s1", "cnt").unionByName(later.select("doc", "tie", "s1", "cnt"))
+    return repeats.repeated_windows(docs, _solver(width), id_column, text, words=True, width=width, seed=seed, earliest=True)
 
 
 def _with_ranges(docs: DataFrame, id_column: str, text: str, width: int, seed: int) -> DataFrame:
-    ranges = repeated_windows(docs, id_column, text, width, seed).groupBy("doc", "tie").agg(F.collect_list(F.struct("s1", "cnt")).alias("at"))
+    ranges = repeats.by_document(repeated_windows(docs, id_column, text, width, seed))
     return repeats.keyed(docs, id_column, text).join(ranges, ["doc", "tie"], "left").select("doc", "text", "at")
 
 
@@ -99,10 +136,7 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width
 
 def clean(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_WORDS) -> DataFrame:
     """docs with repeated words removed; a text that loses words is its kept words, one space between."""
-    ranges = repeated_windows(docs, id_column, text, width, seed).groupBy("doc", "tie").agg(F.collect_list(F.struct("s1", "cnt")).alias("_at")).withColumnsRenamed({"doc": "_doc", "tie": "_tie"})
-    t = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(repeats.NO_ID).cast("long")), "_tie": F.xxhash64(t)})
-    both = named.join(ranges, ["_doc", "_tie"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_at")
+    both = repeats.with_ranges(docs, repeated_windows(docs, id_column, text, width, seed), id_column, text)
     at = docs.columns.index(text)
 
     def run(batches):

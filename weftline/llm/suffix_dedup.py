@@ -1,18 +1,21 @@
 """Suffix-array dedup on bytes: the common-prefix interval tree of an enhanced suffix array.
 
-repeats.py finds which blocks of windows have equals (repeats at once) and which only share a seed.  Of the latter,
-one copy of each different content goes, with its bytes, to the task of its seed: equal windows always share a seed,
-so nothing is lost between tasks.  There the suffixes are sorted by prefix doubling, the lengths of common prefixes
-of neighbours are read off the saved ranks, and one scan with a stack walks the tree of common-prefix intervals.  An
-interval is a maximal repeat if what precedes its suffixes differs; it is reported with all its occurrences.  A byte
-goes if a repeat of WIDTH bytes covers it, wherever the other occurrence is.
+Equal windows share an anchor (repeats.py), so suffix arrays are built anchor by anchor over its different contents, and
+nothing is lost between tasks.  In a task the suffixes are sorted by prefix doubling, the lengths of common prefixes of
+neighbours are read off the saved ranks, and one scan with a stack walks the tree of common-prefix intervals.  An interval
+is a maximal repeat if what precedes its suffixes differs; it is reported with all its occurrences.  A content that several
+blocks have is a leaf that stands for several suffixes, and so an interval of its own.  A byte goes if a repeat of WIDTH
+bytes covers it, wherever the other occurrence is.  An anchor with very many contents is split by longer context until its
+parts fit a task, where the same tree is walked.
 
-A seed with over HOT_SEED different contents is not gathered: its windows are hashed instead and compared by hash, one
-row of each batch standing for all equal ones, which gives the same windows.
+`repeat_groups` gives the maximal repeats themselves, each with all its occurrences.  They are maximal inside the contexts
+of one anchor (at most 2 WIDTH - SEED_BYTES bytes); a longer repeat is a chain of groups that overlap.
 
 Defined results: a null text has no bytes; each row is a document, so rows that repeat a text remove each other; a
-null doc_id is allowed; an empty table gives an empty table; other columns are kept by `clean`.  A text cut inside a
-character is decoded with replacement characters by `clean`; `digest` hashes the bytes themselves.
+null doc_id is allowed; a text shorter than WIDTH bytes keeps all; very long texts are one row each and take memory in
+proportion; ties cannot arise, as all occurrences go; an empty table gives an empty table; other columns are kept by
+`clean`, whatever their names.  A text cut inside a character is decoded with replacement characters by `clean`; `digest`
+hashes the bytes themselves.
 """
 
 from __future__ import annotations
@@ -21,17 +24,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import repeats
 from weftline.llm import textscan as ts
-from weftline.llm.common import bound_batches, stage
+from weftline.llm.common import bound_batches
 
 WIDTH = 200
 SEED_BYTES = 32
-HOT_SEED = 2000
 #: Bytes of contexts that are sorted at once.
 SORT_BYTES = 1 << 20
 
@@ -84,8 +85,11 @@ class SuffixArray:
         """(length, places of all occurrences) of every maximal repeat of at least `least` symbols."""
         order, symbols = self.order, self.symbols
         before = np.where(order > 0, symbols[order - 1], -1)
-        # what precedes a string's first suffix is unknown, and unlike anything
-        first = np.isin(order, self.begin)
+        # what precedes a string's first suffix is unknown, and unlike anything; a suffix before which none starts cannot
+        # be left to the repeat one longer
+        some = np.zeros(len(symbols) + 1, bool)
+        some[self.starts + 1] = True
+        first = ~some[order]
         before[first] = -1 - np.arange(len(order))[first]
         deep = self.lcp >= least
         cut = np.flatnonzero(~deep)
@@ -115,10 +119,16 @@ class SuffixArray:
                 stack.append([depth, begin, seen])
 
 
-def covered(texts: list[bytes], windows: list[int], width: int) -> list[np.ndarray]:
-    """For each text, of its first windows[i] window starts, those that start a repeat of width bytes."""
-    begin = np.cumsum([len(t) + 1 for t in texts]) - np.array([len(t) + 1 for t in texts])
-    starts = np.concatenate([np.arange(b, b + w) for b, w in zip(begin, windows, strict=True)])
+def _windows(texts: list[bytes], lo, hi) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text begins in a suffix array, the places of its windows lo to hi)."""
+    size = np.array([len(t) + 1 for t in texts])
+    begin = np.cumsum(size) - size
+    return begin, np.concatenate([np.arange(b + x, b + y + 1) for b, x, y in zip(begin, lo, hi, strict=True)])
+
+
+def covered(texts: list[bytes], lo, hi, width: int) -> list[np.ndarray]:
+    """For each text, of its window starts lo to hi, those that start a repeat of width bytes."""
+    begin, starts = _windows(texts, lo, hi)
     sa = SuffixArray(texts, starts)
     hit = np.zeros(len(sa.symbols) + 1, np.int64)
     for length, places in sa.maximal_repeats(width):
@@ -126,7 +136,17 @@ def covered(texts: list[bytes], windows: list[int], width: int) -> list[np.ndarr
         np.add.at(hit, places, 1)
         np.add.at(hit, places + (length - width + 1), -1)
     inside = np.cumsum(hit) > 0
-    return [np.flatnonzero(inside[b : b + w]) for b, w in zip(begin, windows, strict=True)]
+    return [np.flatnonzero(inside[b + x : b + y + 1]) + x for b, x, y in zip(begin, lo, hi, strict=True)]
+
+
+def groups_of(texts: list[bytes], width: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences as (text, place)) of every maximal repeat of width bytes or more."""
+    begin, starts = _windows(texts, [0] * len(texts), [len(t) - width for t in texts])
+    out = []
+    for length, places in SuffixArray(texts, starts).maximal_repeats(width):
+        text = np.searchsorted(begin, places, "right") - 1
+        out.append((int(length), list(zip(text.tolist(), (places - begin[text]).tolist(), strict=True))))
+    return out
 
 
 def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,101 +158,77 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[begin], np.diff(np.append(begin, len(places)))
 
 
-CONTEXT = "kind int, h long, doc long, tie long, s1 int, cnt int, n long, text binary"
-RANGES = "doc long, tie long, s1 int, cnt int"
-
-
-def _context_batch(kind, h, doc, tie, s1, cnt, n, text) -> pa.RecordBatch:
-    signed = lambda x: np.ascontiguousarray(x).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(signed(h)), pa.array(doc), pa.array(tie), pa.array(s1, pa.int32()), pa.array(cnt, pa.int32()), pa.array(n, pa.int64()), pa.array(text, pa.binary())],
-        names=["kind", "h", "doc", "tie", "s1", "cnt", "n", "text"],
-    )
-
-
-def _ranges_batch(found) -> pa.RecordBatch:
-    doc, tie, s1, cnt = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(s1, pa.int32()), pa.array(cnt, pa.int32())], names=["doc", "tie", "s1", "cnt"])
+def _solver(width: int, groups: bool = False):
+    def tree(part):
+        """RANGES of some whole anchors, from one suffix array over their contents."""
+        texts, (k1, k2, doc, tie, s1, lo, hi) = part
+        if not groups:
+            found = covered(texts, lo.tolist(), hi.tolist(), width)
+            runs = [_runs(places) for places in found]
+            i = np.repeat(np.arange(len(texts)), [len(a) for a, _ in runs])
+            at, cnt = (np.concatenate(x) if i.size else np.zeros(0, np.int64) for x in zip(*runs, strict=True))
+            return repeats.ranges_batch(k1[i], k2[i], doc[i], tie[i], s1[i] + at, cnt, at)
+        rows = []
+        for length, places in groups_of(texts, width):
+            t, p = places[0]
+            key = repeats.name(texts[t][p : p + length], False)
+            rows += [(*key, doc[t], tie[t], s1[t] + p, length - width + 1, p) for t, p in places]
+        return repeats.ranges_batch(*([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 7))
+
+    def solve(batches):
+        for g in ts.whole_groups(batches, 2, 1000):
+            k1, k2, doc, tie, s1, lo, hi = (g.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2", "doc", "tie", "s1", "lo", "hi"))
+            # a place that comes twice is one content
+            new = np.ones(len(k1), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (k1, k2, doc, tie, s1)], axis=0)
+            keep = np.flatnonzero(new)
+            texts = g.column("text").take(pa.array(keep)).to_pylist()
+            columns = [x[keep] for x in (k1, k2, doc, tie, s1, lo, hi)]
+            # whole anchors, about SORT_BYTES of them at a time
+            first = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+            size = np.cumsum([len(t) for t in texts])
+            cuts, done = [0], 0
+            for at in np.flatnonzero(first)[1:].tolist():
+                if size[at - 1] - done >= SORT_BYTES:
+                    cuts.append(at)
+                    done = size[at - 1]
+            for a, z in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+                yield tree((texts[a:z], [x[a:z] for x in columns]))
+
+    return solve
 
 
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
     """(doc, tie, s1, cnt): starts of windows of width bytes that also start elsewhere."""
     bound_batches(docs.sparkSession)
-    rows = repeats.keyed(docs, id_column, text)
-    found = stage(repeats.compared(repeats.anchored(rows, False, width, seed, False), False))
-    want = F.struct("h", "s1", "cnt", (F.col("of_seed") > HOT_SEED).alias("hot"))
-    wanted = found.where("differ").groupBy("doc", "tie").agg(F.collect_list(want).alias("at"))
+    return repeats.repeated_windows(docs, _solver(width), id_column, text, words=False, width=width, seed=seed, earliest=False)
 
-    def contexts(batches):
-        for b in batches:
-            docs_, ties, texts, at = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)
-            each = np.diff(at.offsets.to_numpy())
-            flat = at.flatten()
-            h, s1, cnt = (flat.field(k).to_numpy() for k in range(3))
-            hot = np.asarray(flat.field(3).to_numpy(zero_copy_only=False), bool)
-            owner = np.repeat(np.arange(b.num_rows), each)
-            windows = []
-            for lo, hi, data, offsets in ts.chunks(texts):
-                here = np.flatnonzero((owner >= lo) & (owner < hi))
-                place = offsets[owner[here] - lo] + s1[here]
-                cold = ~hot[here]
-                k = here[cold]
-                raw = data.tobytes()
-                cut = [raw[p : p + c - 1 + width] for p, c in zip(place[cold].tolist(), cnt[k].tolist(), strict=True)]
-                if len(k):
-                    yield _context_batch(np.zeros(len(k)), h[k], docs_[owner[k]], ties[owner[k]], s1[k], cnt[k], np.ones(len(k)), cut)
-                k = here[~cold]
-                if len(k):
-                    which, wh = repeats.window_rows(data, place[~cold], cnt[k].astype(np.int64), width)
-                    c = cnt[k].astype(np.int64)
-                    start = s1[k][which] + np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
-                    windows.append((wh, docs_[owner[k][which]], ties[owner[k][which]], start))
-            if windows:
-                wh, doc, tie, start = (np.concatenate(x) for x in zip(*windows, strict=True))
-                go, n, known = repeats.fold(wh, doc, tie, start, False)
-                both = np.concatenate([go, known])
-                key = np.concatenate([wh[go], ts.mix(doc[known].view(np.uint64) + start[known].astype(np.uint64))])
-                yield _context_batch(np.repeat([1, 2], [len(go), len(known)]), key, doc[both], tie[both], start[both], np.ones(len(both)), np.concatenate([n, np.ones(len(known))]), [None] * len(both))
-
-    def scan(batches):
-        held: list = []
-        size = 0
-
-        def flush():
-            texts = [t for g in held for t in g.column("text").to_pylist()]
-            part = pa.concat_tables(held)
-            doc, tie, s1, cnt = (part.column(c).to_numpy() for c in ("doc", "tie", "s1", "cnt"))
-            out = []
-            for i, places in enumerate(covered(texts, cnt.tolist(), width)):
-                if len(places):
-                    a, c = _runs(places)
-                    out.append((np.full(len(a), doc[i]), np.full(len(a), tie[i]), s1[i] + a, c))
-            return out
-
-        for g in ts.groups(batches, 2):
-            kind = g.column("kind")[0].as_py()
-            if kind == 0:
-                if g.num_rows > 1:
-                    held.append(g)
-                    size += sum(map(len, g.column("text").to_pylist()))
-                    if size >= SORT_BYTES:
-                        out = flush()
-                        held, size = [], 0
-                        if out:
-                            yield _ranges_batch(out)
-            elif kind == 2 or pa.compute.sum(g.column("n")).as_py() > 1:
-                yield _ranges_batch([tuple(g.column(c).to_numpy() for c in ("doc", "tie", "s1", "cnt"))])
-        if held and (out := flush()):
-            yield _ranges_batch(out)
-
-    spread = rows.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "at").mapInArrow(contexts, CONTEXT)
-    more = spread.repartition("kind", "h").sortWithinPartitions("kind", "h").mapInArrow(scan, RANGES)
-    return found.where("repeat").select("doc", "tie", "s1", "cnt").unionByName(more)
+
+def repeat_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
+    """(group, length, doc_id, tie, start): every occurrence of every maximal repeat, in bytes; group names the bytes, tie
+    tells texts of one doc_id apart.  Where an anchor has more than repeats.SOLO contents, an occurrence of a part that it
+    shares with the content that represents the anchor is listed under the longest such part.  Output may far exceed the
+    input where repeats nest deeply."""
+    bound_batches(docs.sparkSession)
+    met, contents, differ = repeats.joined_on_anchors(docs, _solver(width, True), id_column, text, words=False, width=width, seed=seed, earliest=False, folded=False)
+    blocks = met.select("h", "c1", "c2", *repeats.PLACE, "cnt")
+    several = contents.where("n > 1").select("h", "c1", "c2", *(F.col(c).alias(f"f_{c}") for c in repeats.PLACE))
+    copies = blocks.join(several, ["h", "c1", "c2"])
+    whole = copies.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), *repeats.PLACE, "cnt")
+    # what one block of a content holds, all its blocks hold
+    other = copies.where("NOT (doc = f_doc AND tie = f_tie AND s1 = f_s1)").select("f_doc", "f_tie", "f_s1", *(F.col(c).alias(f"o_{c}") for c in repeats.PLACE))
+    parts = differ.withColumn("f_s1", F.col("s1") - F.col("off"))
+    met_again = parts.join(other, (F.col("doc") == F.col("f_doc")) & (F.col("tie") == F.col("f_tie")) & (parts["f_s1"] == other["f_s1"]))
+    moved = met_again.select("k1", "k2", F.col("o_doc").alias("doc"), F.col("o_tie").alias("tie"), (F.col("o_s1") + F.col("off")).cast("int").alias("s1"), "cnt")
+    rows = whole.unionByName(differ.select("k1", "k2", *repeats.PLACE, "cnt")).unionByName(moved).distinct()
+    group = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
+    doc_id = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
+    return rows.select(group.alias("group"), (F.col("cnt") + (width - 1)).alias("length"), doc_id.alias("doc_id"), "tie", F.col("s1").alias("start"))
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    ranges = repeated_windows(docs, id_column, text, width, seed).groupBy("doc", "tie").agg(F.collect_list(F.struct("s1", "cnt")).alias("at"))
+    ranges = repeats.by_document(repeated_windows(docs, id_column, text, width, seed))
     both = repeats.keyed(docs, id_column, text).join(ranges, ["doc", "tie"], "left").select("doc", F.col("text").cast("binary").alias("text"), "at")
 
     def run(batches):
@@ -256,9 +252,7 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width
 
 def clean(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
     """docs with repeated bytes removed from their texts."""
-    ranges = repeated_windows(docs, id_column, text, width, seed).groupBy("doc", "tie").agg(F.collect_list(F.struct("s1", "cnt")).alias("_at")).withColumnsRenamed({"doc": "_doc", "tie": "_tie"})
-    named = docs.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(repeats.NO_ID).cast("long")), "_tie": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    both = named.join(ranges, ["_doc", "_tie"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_at")
+    both = repeats.with_ranges(docs, repeated_windows(docs, id_column, text, width, seed), id_column, text)
     at = docs.columns.index(text)
 
     def cut(t: str | None, ranges_) -> str | None:

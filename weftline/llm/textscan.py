@@ -139,3 +139,31 @@ def groups(batches, n_keys: int) -> Iterator[pa.Table]:
         key = tuple(b.column(c)[b.num_rows - 1].as_py() for c in range(n_keys))
     if waiting:
         yield pa.Table.from_batches(waiting)
+
+
+def whole_groups(batches, n_keys: int, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows or more from batches sorted by key, cut only where the key changes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in range(n_keys)]
+        if n >= rows and tuple(k[0] for k in keys) != last:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+        last = tuple(k[-1] for k in keys)
+        if n + b.num_rows >= rows:
+            other = np.zeros(b.num_rows, bool)
+            for k in keys:
+                other |= k != k[-1]
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            if cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                held, n = [], 0
+                b = b.slice(cut)
+        held.append(b)
+        n += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
