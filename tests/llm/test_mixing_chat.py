@@ -76,6 +76,46 @@ def test_splitting_tree_is_exact_and_balanced(spark):
     assert set(totals) == {75}
 
 
+def test_splitting_tree_is_hypergeometric(spark):
+    """What each of 64 shards gets of 512 blocks among 1,536 has the mean and variance of drawing 24 without replacement."""
+    quotas = spark.createDataFrame([("0a", 512), ("0b", 1024)], "skey string, quota long")
+    got = []
+    for seed in (1, 2, 3):
+        e = next(r.ends for r in mixing.splitting_tree(quotas, depth=6, seed=seed).collect() if r.skey == "0a")
+        got += [y - x for x, y in zip([0, *e], e)]
+    variance = sum((x - 8) ** 2 for x in got) / len(got)
+    assert sum(got) == 8 * len(got) and variance == pytest.approx(24 / 3 * 2 / 3 * (1536 - 24) / 1535, rel=0.35)
+    assert min(got) < 5 and max(got) > 11
+
+
+def test_mix_places(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS copy", "2 AS _k1", "3 AS _shards")
+    plan = {r.doc_id: r for r in mixing.plan(docs).collect()}
+    placed = mixing.mix(docs, with_place=True)
+    assert placed.columns == [*docs.columns, "_copy", "shard"]
+    rows = placed.selectExpr("doc_id", "shard", "_copy AS c", "spark_partition_id() AS p").collect()
+    assert Counter((r.doc_id, r.c, r.shard) for r in rows) == Counter((d, c, s) for d, r in plan.items() for c, s in enumerate(r.shards))
+    depth, tasks = mixing.tree_depth(sum(r.size for r in plan.values()))
+    assert 2**depth > 4 and {r.shard for r in rows} == set(range(2**depth)) and tasks == 1
+    # a shard is in one task, in no order of ids, and shards are alike in the number of blocks they get
+    assert all(len({r.p for r in rows if r.shard == s}) == 1 for s in range(2**depth))
+    ids = [r.doc_id for r in rows if r.shard == 0]
+    assert ids != sorted(ids)
+    assert mixing.mix(docs).columns == docs.columns
+    assert mixing.tree_depth(1e15) == (mixing.DEEPEST, -(-10**15 // 20_000 // 2**mixing.DEEPEST))
+
+
+def test_very_many_alike_rows(spark):
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", "'a b c' AS text", "'x' AS source").unionByName(spark.range(50_000).selectExpr("id + 10 AS doc_id", "'d e f' AS text", "'y' AS source"))
+    plan = mixing.plan(docs).groupBy("doc_id", "size", "source_size", "target").agg({"taken": "sum", "*": "count"}).collect()
+    same = [r for r in plan if r.doc_id == 7]
+    assert same[0]["count(1)"] == 100_000 and abs(same[0]["sum(taken)"] - same[0].target) <= 3
+    assert len(plan) == 50_001
+    mixed = mixing.mix(docs)
+    assert mixed.where("doc_id = 7").count() * 3 == same[0]["sum(taken)"]
+
+
 def brute_chat(rows):
     out = {}
     for conv, turns in rows.items():

@@ -86,4 +86,71 @@ def test_components(spark):
 
 
 def test_forest_meets_its_target():
-    assert nd.recall(nd.THRESHOLD, nd.DEPTH) >= nd.TARGET_RECALL
+    assert [nd.prefix_length(t) for t in (0.9, 0.8, 0.6, 0.4)] == [5, 5, 2, 1]
+    assert all(nd.recall(t, nd.prefix_length(t), matches=2) >= nd.TARGET_RECALL for t in (0.95, 0.8, 0.7, 0.6, 0.5, 0.4))
+
+
+def together(edges, pairs):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    return sum(find(a) == find(b) for a, b in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize(("threshold", "common", "changed"), [(0.8, 30, 6), (0.6, 24, 14), (0.4, 14, 24)])
+def test_recall_under_a_node_of_very_many_leaders(spark, threshold, common, changed):
+    """Pairs of 60 words whose last words differ, all of which share their first words: one node holds over 5,000 leaders."""
+    rng = np.random.default_rng(9)
+    shared = [f"c{i}" for i in range(common)]
+    depth = nd.prefix_length(threshold)
+    nodes, rows, pairs = set(), [], []
+    a, b = nd._coefficients(nd.TREES * nd.DEPTH)
+    import pyarrow as pa
+
+    labels = lambda texts: np.concatenate([nd.minima(g, begin, a, b)[:, :depth] for _, _, g, begin in nd.shingles(pa.array(texts))])
+    path = labels([" ".join(shared)])[0]
+    while len(nodes) < 5_100:
+        texts = [" ".join([*shared, *(f"x{w}" for w in rng.integers(0, 1 << 40, 60 - common))]) for _ in range(8000)]
+        nodes |= {texts[i] for i in np.flatnonzero((labels(texts) == path).all(axis=1))}
+    for k, t in enumerate(sorted(nodes)):
+        rows.append((k, t))
+        if k < 300:
+            w = t.split()
+            rows.append((10_000 + k, " ".join([*w[:-changed], *(f"y{k}z{j}" for j in range(changed))])))
+            pairs.append((k, 10_000 + k))
+    s, t = sets(rows[0][1]), sets(rows[1][1])
+    assert threshold <= len(s & t) / len(s | t) < threshold + 0.02
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    signed = nd._signed(nd._ready(docs, "doc_id", "text")).cache()
+    of = {bytes(r.node): r.doc_id for r in signed.select("node", "doc_id").collect()}
+    edges = [(of[bytes(r.a)], of[bytes(r.b)]) for r in nd.proposed_links(signed, threshold).collect()]
+    signed.unpersist()
+    assert together(edges, pairs) >= 0.95
+
+
+def test_lower_threshold_end_to_end(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(60):
+        base = [f"w{rng.integers(5000)}" for _ in range(60)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:-24], *(f"z{g}_{j}" for j in range(24))]))]
+    got = {r.doc_id: r for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.4).collect()}
+    linked = sum(got[2 * g + 1].class_id == 2 * g and got[2 * g].n_links == 1 for g in range(60))
+    assert linked >= 57
+
+
+def test_alike_rows_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, text, "b", 1, "q")] * 3000 + [(7, text, "a", 2, "q"), (None, None, None, None, None), (None, None, None, 5, None), (9, "other words here", "c", 3, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _node string, root int, _rid string").repartition(6)
+    kept = nd.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7", "9", "None"]
+    assert {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in nd.classes(docs).collect()} == {(7, 7, 0, 3001), (9, 9, 0, 1), (None, None, 0, 2)}

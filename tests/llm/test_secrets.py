@@ -1,6 +1,9 @@
 """Secret spans against a direct reading of the patterns, and the guess costs of known values."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 
 from weftline.llm import secrets
@@ -39,6 +42,56 @@ def test_guess_cost_orders_values():
     assert secrets.guess_cost("") == 0
 
 
+def test_least_chain_over_all_segmentations():
+    rng = random.Random(4)
+    values = ["abcabcab", "qwe123", "aaabbb", "passpass", "P@ss2019", "zaq1xsw2", "123321", "dragon9", "aXbXaXbX", "987abc"]
+    values += ["".join(rng.choice("abc1qw2e") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    for v in values:
+        best = {}
+        for i, j, cost in secrets.segments(v, secrets.RANK, 12):
+            best[i, j] = min(cost, best.get((i, j), math.inf))
+        n, least = len(v), math.inf
+        for k in range(n):
+            for cuts in itertools.combinations(range(1, n), k):
+                ends = [0, *cuts, n]
+                parts = zip(ends, ends[1:])
+                least = min(least, k * secrets.JOIN + sum(min(best.get(p, math.inf), sum(map(secrets._bits, v[p[0] : p[1]]))) for p in parts))
+        assert math.isclose(secrets.guess_cost(v), least, abs_tol=1e-9), v
+
+
+def test_periods_against_every_place():
+    rng = random.Random(2)
+    values = ["".join(rng.choice("ab") for _ in range(rng.randint(2, 30))) for _ in range(80)] + ["abcdefghij" * 6, "x" + "abcdefghijklm" * 2 + "y", "".join(map(chr, range(200, 240))) * 3]
+    for v in values:
+        got = {(a, b, p) for a, b, p in secrets.periods(v)}
+        assert all(v[a : b - p] == v[a + p : b] and b - a >= 2 * p for a, b, p in got)
+        for p in range(1, min(8, len(v) // 2) + 1):
+            same = [v[i] == v[i + p] for i in range(len(v) - p)]
+            runs = [(m.start(), m.end() + p, p) for m in re.finditer("1+", "".join("1" if x else "0" for x in same)) if m.end() - m.start() >= p]
+            assert {x for x in got if x[2] == p} == set(runs)
+    assert (0, 60, 10) in set(secrets.periods(values[80])) and (1, 27, 13) in set(secrets.periods(values[81])) and (0, 120, 40) in set(secrets.periods(values[82]))
+
+
+def test_keyboard_and_dictionary():
+    assert secrets.STEPS["qw"] == secrets.STEPS["po"[::-1]] == secrets.STEPS["12"] and secrets.STEPS["qa"] == secrets.STEPS["ws"] == secrets.STEPS["az"]
+    assert "qs" not in secrets.STEPS and "aq" in secrets.STEPS and secrets.STEPS["q2"] != secrets.STEPS["q1"]
+    straight = [secrets.guess_cost(v) for v in ("qwertyuiop", "asdfghjkl", "QWERTYUIOP", "!@#$%^&*()")]
+    assert max(straight) < 3.6 and secrets.guess_cost("correcthorsebatterystaple") < 10 and secrets.guess_cost("abcdefghij" * 6) < 4
+    rank = secrets.ranks(["elephant", "giraffe", "elephant"])
+    assert rank == {"elephant": 1, "giraffe": 2} and secrets.guess_cost("elephantgiraffe", rank) < 3 < 10 < secrets.guess_cost("elephantgiraffe")
+
+
+def test_words_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "COUNTED_AT_ONCE", 3)
+    rows = [(1, "Zebra zebra, lion. (lion) x9lion a-lion ape"), (2, "lion tiger\nzebra"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.corpus_words(df) == ["lion", "zebra", "tiger"] and secrets.corpus_words(df, most=1) == ["lion"]
+    value = "password: Zebralionzebra"
+    df = spark.createDataFrame([(5, value)] + rows, "doc_id long, text string")
+    kinds = lambda words: {s.split(":")[0] for r in secrets.scan(df, words=words).collect() for s in r.spans.split(",") if s}
+    assert kinds(None) == {"assign"} and kinds([]) == {"assign", "guess"}
+
+
 def test_documents(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(ODD)] + [(None, None, "y", 2), (3, ODD[3], "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")

@@ -11,10 +11,10 @@ SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k):
-    ok = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(np.float64))) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, a in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
-        found = sorted((-int(np.dot(a, b)), i) for i, b in ok if i != q and len(b) == len(a))
+        found = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q and len(b) == len(a))
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])}
     return out
 
@@ -22,8 +22,8 @@ def brute(rows, k):
 @pytest.mark.parametrize("bins", [4096, 7])
 def test_against_brute_force(spark, monkeypatch, bins):
     monkeypatch.setattr(ts, "BINS", bins)
-    monkeypatch.setattr(ts, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(ts, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(ts, "QUERY_BYTES", 100)
+    monkeypatch.setattr(ts, "SCORES", 40)
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 420)]  # a large tie
@@ -33,7 +33,23 @@ def test_against_brute_force(spark, monkeypatch, bins):
     assert got == brute(rows, 5)
 
 
+def test_scores_beyond_double_precision(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 9)]) for i in range(60)]
+    rows += [(100, [1e6, 3e5, 0.0]), (101, [1e6, 3e5, 0.00390625]), (102, [3e5, 1e6, 1.0]), (150, [3e38, -3e38, 1e30]), (151, [-3e38, -3e38, 1e38]), (152, [3e38, 3e38, 2.0]), (50, [-3e38, 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    got = {tuple(r) for r in ts.search(df, df.where("vec_id % 50 = 0"), 5).collect()}
+    assert got == brute(rows, 5)
+    q = ts.Integers(np.array([1e300, 2.0**52 + 1, -1e300]), 3, 256)
+    c = ts.Integers(np.array([1e300, 3.0, 1e300, 0.0, 2.0**-8, 0.0]), 3, 256)
+    assert ts.scores(q, c, slice(0, 1)).tolist() == [[256 * (2**52 + 1) * 768, 256 * (2**52 + 1)]]
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1), (2, [2.0], 1)], SCHEMA)
     assert sorted(map(tuple, ts.search(df, df.where("vec_id = 0"), 5).collect())) == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
     assert ts.search(df.limit(0), df.limit(0), 5).count() == 0
+    alone = df.where("vec_id = 0")
+    assert ts.search(alone, alone, 5).count() == 0 and ts.search(df, df.where("vec_id > 5"), 5).count() == 0
+    empty = spark.createDataFrame([(0, [], 1), (1, [], 1), (None, [], 1)], SCHEMA)  # a null id takes no part
+    assert ts.search(empty, empty.where("vec_id = 0"), 5).where("vec_id = 1").collect()[0].score == 0

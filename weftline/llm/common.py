@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -36,19 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: dict[str, list[str]] = {}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Remove every table this application has staged; results that still read one must have been written before."""
     for path in _staged.pop(spark.sparkContext.applicationId, []):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(spark, path)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """What is staged inside goes at the end, but for the tables that the frames in the list it gives still read."""
+    mine = _staged.setdefault(spark.sparkContext.applicationId, [])
+    begin, kept = len(mine), []
+    yield kept
+    read = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}
+    for path in mine[begin:]:
+        if path.rsplit("/", 1)[-1] not in read:
+            mine.remove(path)
+            _remove(spark, path)
+
+
+def staged_as(spark: SparkSession) -> str:
+    """A new path in the shared folder, which clear_staged removes."""
+    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    path = staged_as(spark)
     df.write.parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,31 +1,38 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame expressions only.
 
-Documents fall into blocks of their source by a hash of their id.  A source that must give more words than it
-has repeats whole passes over itself; the rest of its target is whole blocks in a random but fixed order, and one
-boundary block that is cut between documents.  The block quotas of all sources are split down a binary tree over
-the output shards: at each node an urn that holds every block is drawn without replacement until the left half is
-full, which makes the counts of the sources multivariate hypergeometric.  Each source then deals its permuted
-blocks to the shards by those quotas, and a shard orders its documents by a hash.
-
-Nothing depends on the order of rows or on partitions, so reruns agree.  Only sources and blocks (BLOCKS a source)
-are ever gathered: the quotas of one tree node are one row with a number for each source.
-
-Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows count
-as often as they occur; an empty table gives an empty table; a table without words takes nothing; further columns
-pass through `mix` untouched.
+Rows alike in id, source and text are one unit with a count.  Units fall into blocks of their source by a hash.  A source
+that must give more words than it has repeats whole passes over itself; the rest of its target is whole blocks in a random
+but fixed order, and one boundary block that is cut between rows.  The block quotas of all sources are split down a binary
+tree over the output shards: at each node an urn that holds every block is drawn without replacement until the left half
+is full, which makes the counts of the sources multivariate hypergeometric.  Each source then deals its permuted blocks to
+the shards by those quotas, and `mix` writes shard by shard, shuffled inside each by a hash.
+
+There is a shard for every SHARD_WORDS words, up to 2**DEEPEST; beyond that a shard is dealt to several tasks.  Nothing
+depends on the order of rows or on partitions, so reruns agree.  Only sources and blocks (BLOCKS a source, or one for each
+shard) are ever gathered: the quotas of one tree node are one row with a number for each source.  The boundary block is
+cut by sums over parts of it first, so that only a 2**-10th of it is put in order.
+
+Defined results: a null text has size 0; a null source is a source of its own, last in order; a null id is an id like
+others; repeated rows count as often as they occur, and where only some of them are taken once more, any of them are; ties
+in the order of blocks and rows are broken by their hashes and numbers; a very long text is one row, and the cut beside it
+misses the target by half its size at most; an empty table gives an empty table; a table without words takes nothing;
+further columns pass through `mix` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import GAP, stage, text_of
+from weftline.llm.common import GAP, fresh, stage, text_of
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 BLOCKS = 512
-TREE_DEPTH = 4
+SHARD_WORDS = 1 << 21
+DEEPEST = 10
 SEED = 20
 
 
@@ -82,7 +89,7 @@ def _split_quotas(quotas: Column, node: Column, shards: int, seed: int) -> Colum
     return F.aggregate(numbered, state(room, total, F.array().cast("array<bigint>")), one_source, lambda a: a["got"])
 
 
-def splitting_tree(quotas: DataFrame, depth: int = TREE_DEPTH, seed: int = SEED) -> DataFrame:
+def splitting_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     """(skey, quota) to (skey, ends): the running totals of the source's quotas over 2**depth shards."""
     rows = F.array_sort(F.collect_list(F.struct("skey", "quota")))
     nodes = quotas.agg(rows.alias("r")).select(F.lit(1).cast("long").alias("node"), F.col("r.skey").alias("skeys"), F.col("r.quota").alias("quotas"))
@@ -104,19 +111,29 @@ def _row_keys(id_column: str, source: str, text: str) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(1), *(F.coalesce(p.cast("string"), F.lit("-")) for p in reversed(parts)))
 
 
-def plan(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", *, weights=WEIGHTS, repeats=MAX_REPEATS, blocks=BLOCKS, depth=TREE_DEPTH, seed=SEED) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, shards (the shard of each
-    copy in the mix), and row_key1 and row_key2, which tell rows apart."""
-    rows = stage(
+def tree_depth(words: float) -> tuple[int, int]:
+    """(depth of the tree, tasks that share one shard) for a mix of so many words."""
+    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(words, 1) / SHARD_WORDS))))
+    return depth, max(1, math.ceil(words / SHARD_WORDS / 2**depth))
+
+
+def takes(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", *, weights=WEIGHTS, repeats=MAX_REPEATS, blocks=BLOCKS, depth=None, seed=SEED) -> tuple[DataFrame, int, int]:
+    """(units, depth, tasks of a shard). Units, staged: k1, k2, doc_id, size, rows (alike ones), source_size, target, passes
+    (copies of every row), extra (how many rows give one more) and dealt (the shard of each copy)."""
+    k1, k2 = _row_keys(id_column, source, text)
+    units = stage(
         docs.select(
-            F.col(id_column).alias("doc_id"),
-            *(k.alias(f"row_key{n}") for n, k in enumerate(_row_keys(id_column, source, text), 1)),
-            F.size(F.array_remove(F.split(text_of(text), GAP), "")).cast("long").alias("size"),
-            _source_key(F.col(source)).alias("skey"),
-            F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"),
+            F.col(id_column).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.size(F.array_remove(F.split(text_of(text), GAP), "")).cast("long").alias("size"), _source_key(F.col(source)).alias("skey")
         )
-    )
-    per_block = rows.groupBy("skey", "block").agg(F.sum("size").alias("block_size"))
+        .groupBy("k1", "k2")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("skey").alias("skey"), F.count("*").alias("rows"))
+    )
+    words = units.agg(F.coalesce(F.sum(F.col("size") * F.col("rows")), F.lit(0))).first()[0]
+    fitting, tasks = tree_depth(words)
+    depth = fitting if depth is None else depth
+    blocks = max(blocks, 2**depth)
+    in_block = F.pmod(F.xxhash64("k1", "k2", F.lit(seed)), F.lit(blocks)).cast("int")
+    per_block = units.groupBy("skey", in_block.alias("block")).agg(F.sum(F.col("size") * F.col("rows")).alias("block_size"))
     per_source = targets(per_block.groupBy("skey").agg(F.sum("block_size").alias("source_size")), weights, repeats)
 
     order = Window.partitionBy("skey").orderBy(F.xxhash64("skey", "block", F.lit(seed + 1)), "block")
@@ -141,35 +158,58 @@ def plan(docs: DataFrame, id_column: str = "doc_id", source: str = "source", tex
         .groupBy("skey", "block")
         .agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
     )
-    blocks_ = chosen.join(dealt, ["skey", "block"], "left").select("skey", "block", "source_size", "target", "passes", "rest", "part", F.col("dealt.shard").alias("dealt"))
-
-    in_block = Window.partitionBy("skey", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 3)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    extra = F.when(F.col("part") == 1, 1).when((F.col("part") == 2) & (F.sum("size").over(in_block) - F.col("size") / 2 <= F.col("rest")), 1).otherwise(0)
-    n = F.col("passes") + extra
-    return rows.join(blocks_, ["skey", "block"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"), F.when(n > 0, F.slice("dealt", F.lit(1), n)).otherwise(F.array().cast("array<int>")).alias("shards"),
-        "row_key1", "row_key2",
-    )
+    # where the boundary block is cut: sums of its parts, in the order of a hash, find the part; the part is put in order
+    at = F.pmod(F.xxhash64("k1", "k2", F.lit(seed + 3)), F.lit(1 << 30))
+    part = F.shiftright(at, 20).cast("int")
+    bound = chosen.where("part = 2").select("skey", "block", "rest")
+    parts = units.withColumn("block", in_block).join(bound, ["skey", "block"]).groupBy("skey", "rest", part.alias("cut")).agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("skey").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0))
+    cuts = parts.withColumn("left", F.col("rest") - (upto - F.col("words"))).where("left >= 0").groupBy("skey").agg(F.max("cut").alias("cut"), F.min("left").alias("left"))
+    of_block = stage(
+        chosen.join(dealt, ["skey", "block"], "left").join(cuts, "skey", "left")
+        .select("skey", "block", "source_size", "target", "passes", "part", F.when(F.col("part") == 2, F.col("cut")).alias("cut"), "left", F.coalesce("dealt.shard", F.array().cast("array<int>")).alias("dealt"))
+    )
+    known = units.withColumn("block", in_block).join(of_block, ["skey", "block"]).withColumns({"at": at, "mine": part})
+    inside = F.col("cut").isNotNull() & (F.col("mine") == F.col("cut"))
+    whole = F.when(F.col("part") == 1, F.col("rows")).when((F.col("part") == 2) & (F.col("mine") < F.col("cut")), F.col("rows")).otherwise(F.lit(0))
+    spent = F.sum(F.col("size") * F.col("rows")).over(Window.partitionBy("skey").orderBy("at", "k1", "k2").rowsBetween(Window.unboundedPreceding, 0))
+    room = F.col("left") - (spent - F.col("size") * F.col("rows"))
+    some = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("rows"), F.floor(room / F.col("size") + 0.5)))).when(room >= 0, F.col("rows")).otherwise(F.lit(0))
+    keep = ("k1", "k2", "doc_id", "size", "rows", "source_size", "target", "passes")
+    decided = known.where(~inside).select(*keep, whole.cast("long").alias("extra"), "dealt").unionByName(known.where(inside).select(*keep, some.cast("long").alias("extra"), "dealt"))
+    return stage(decided), depth, tasks
+
+
+def plan(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken, shards (the shard of each copy in the mix)."""
+    units, _, _ = takes(docs, id_column, source, text, **options)
+    n = F.col("passes") + F.when(F.col("row") <= F.col("extra"), 1).otherwise(0)
+    rows = units.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"), F.slice("dealt", F.lit(1), n).alias("shards"))
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", with_place: bool = False, **options) -> DataFrame:
-    """The documents of the mix, a copy for each time they are taken; with_place: in shards, shuffled inside each,
-    with the columns shard and copy."""
-    takes = plan(docs, id_column, source, text, **options)
-    alike = Window.partitionBy("_k1", "_k2")
-    # rows alike in id, source and text are told apart by number; that comparison stays out of the join's keys, so
-    # that the join uses the partitioning of the window
-    numbered = docs.withColumns(dict(zip(("_k1", "_k2"), _row_keys(id_column, source, text)))).withColumn("_n", F.row_number().over(alike.orderBy("_k1")))
-    copies = (
-        takes.select(F.col("row_key1").alias("_k1"), F.col("row_key2").alias("_k2"), "size", "shards")
-        .withColumn("_m", F.row_number().over(alike.orderBy("size")))
-        .where(F.size("shards") > 0)
-        .select(F.col("_k1").alias("_l1"), F.col("_k2").alias("_l2"), "_m", F.col("shards").alias("_shards"))
-    )
-    met = numbered.join(copies, (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")) & (F.col("_n") - F.col("_m") == 0))
-    out = met.select(*(F.col(f"`{c}`") for c in docs.columns), F.posexplode("_shards").alias("_copy", "_shard"))
-    if with_place:
-        seed = options.get("seed", SEED)
-        out = out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.col(id_column), "_copy", F.lit(seed + 4)))
-        return out.withColumnsRenamed({"_shard": "shard", "_copy": "copy"})
-    return out.drop("_shard", "_copy")
+    """The documents of the mix, a copy for each time they are taken, shard by shard and shuffled inside each;
+    with_place: with the further columns shard and copy (with underscores before, where docs has such)."""
+    units, depth, tasks = takes(docs, id_column, source, text, **options)
+    seed = options.get("seed", SEED)
+    k1, k2, l1, l2, copies, copy, shard = fresh(docs, "k1", "k2", "l1", "l2", "copies", "copy", "shard")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.withColumns(dict(zip((k1, k2), _row_keys(id_column, source, text), strict=True)))
+    each = F.slice("dealt", F.lit(1), F.col("passes") + F.when(F.col("extra") == F.col("rows"), 1).otherwise(0))
+    given = units.select(F.col("k1").alias(l1), F.col("k2").alias(l2), each.alias(copies)).where(F.size(copies) > 0)
+    out = named.join(given, (F.col(k1) == F.col(l1)) & (F.col(k2) == F.col(l2))).select(*columns, F.posexplode(copies).alias(copy, shard))
+    # of a unit that gives one more copy of some of its rows only, any one row stands for them: at most one unit a source
+    split = units.where("extra > 0 AND extra < rows")
+    if not split.isEmpty():
+        more = split.select(F.col("k1").alias(l1), F.col("k2").alias(l2), F.array_repeat(F.get("dealt", F.col("passes")), F.col("extra").cast("int")).alias(copies), F.col("passes").alias(copy))
+        one = F.min_by(F.struct(*columns), F.xxhash64(F.to_json(F.struct(*columns))))
+        picked = named.join(more, (F.col(k1) == F.col(l1)) & (F.col(k2) == F.col(l2))).groupBy(k1, k2).agg(one.alias("one"), F.first(copies).alias(copies), F.first(copy).alias(copy))
+        out = out.unionByName(picked.select(*(F.col(f"one.`{c}`").alias(c) for c in docs.columns), copy, F.explode(copies).alias(shard)))
+    order = F.xxhash64(F.col(id_column), F.col(text), F.col(copy), F.lit(seed + 4))
+    # a shard in as many tasks as it fills
+    out = out.repartition(2**depth * tasks, shard, F.pmod(order, F.lit(tasks))).sortWithinPartitions(shard, order)
+    if not with_place:
+        return out.drop(shard, copy)
+    bare = {c: c[1:] for c in (shard, copy) if c[1:].lower() not in {x.lower() for x in docs.columns}}
+    return out.withColumnsRenamed(bare)

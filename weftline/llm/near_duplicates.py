@@ -2,11 +2,13 @@
 
 Texts are sets of SHINGLE-word shingles (a text of fewer words is one shingle, a text without words none).  Each text
 gets TREES labels of DEPTH minimum hashes, the paths of a forest of prefix tries.  A trie's rows are sorted, so that
-those under one prefix stand together.  Matching starts at the full path and shortens it while the share of pairs at
-the threshold that the forest finds, 1 - (1 - s**d)**TREES, is under TARGET_RECALL or the node is small: under a node,
-texts close to a leader (by all minima) are linked to it and stand behind it, and only leaders go on to the shorter
-prefix, where they are compared again.  What would be a huge bucket is thus folded first inside each input batch, then
-under long prefixes, before it meets anything else.
+those under one prefix stand together.  Matching starts at the full path and shortens it by a label at a time, down to the
+longest prefix at which the forest finds TARGET_RECALL of the pairs at the threshold (`prefix_length`): the lower the
+threshold, the shorter.  Under a node, texts close to a leader (by all minima) are linked to it and stand behind it, and
+only leaders go on to the shorter prefix, where they are compared again.  What would be a huge bucket is thus folded first
+inside each input batch, then under long prefixes, before it meets anything else.  A node that still has over NODE leaders
+is split by the prefixes of all other trees: its pairs are compared where they agree in a second tree.  The prefix length is
+chosen so that pairs are found with that recall even if every node were split.
 
 The links so found only say which texts may belong together.  Their components are cut into blocks of BLOCK texts,
 and every pair of blocks of one component is compared exactly, in one task each: a text's links are counted there and
@@ -15,7 +17,9 @@ leave as one number, pairs never do.  Exactly equal texts are one node throughou
 Result of `classes`: one row a document with class_id (the least doc_id of its class), n_links (different texts with
 similarity >= threshold) and n_copies (documents with its text).  Defined results: a null text is an empty text;
 texts without words are linked to nothing but their copies; a null doc_id never names a class that has another;
-repeated rows are copies; an empty table gives an empty table; other columns are ignored (`keep_first` keeps them).
+of a class the document with the least id stays, ties broken by a hash of the text and then of the row; repeated rows are
+copies; a very long text is one set, in memory in proportion; an empty table gives an empty table; other columns are
+ignored, whatever their names (`keep_first` keeps them).
 """
 
 from __future__ import annotations
@@ -23,29 +27,40 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textscan as ts
-from weftline.llm.common import bound_batches, stage, text_of
+from weftline.llm.common import bound_batches, fresh, stage, text_of
 from weftline.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 20
 DEPTH = 5
 TARGET_RECALL = 0.995
-#: Under a node, a text this close to a leader (share of equal minima) stands behind it; a link needs less: texts at
-#: the threshold of one behind a leader are within 1 - (0.2 + 0.2) of that leader, and the estimate errs by some 0.05.
-ABSORB, LINK = 0.8, 0.5
-#: Nodes of more rows than this stay at the longest prefix that meets the target.
-SMALL_NODE = 4096
+#: Leaders under one node beyond which it is split by the other trees.
+NODE = 4096
 BLOCK = 256
 SEED = 17
 
 
-def recall(similarity: float, depth: int, trees: int = TREES) -> float:
-    return 1 - (1 - similarity**depth) ** trees
+def recall(similarity: float, depth: int, trees: int = TREES, matches: int = 1) -> float:
+    """The share of pairs that agree in a prefix of `depth` labels in `matches` trees (1 or 2) or more."""
+    p = similarity**depth
+    return 1 - (1 - p) ** trees - (trees * p * (1 - p) ** (trees - 1) if matches == 2 else 0)
+
+
+def prefix_length(threshold: float) -> int:
+    """The longest prefix that meets the target for pairs at the threshold, with every node split; at least one label."""
+    return next((d for d in range(DEPTH, 1, -1) if recall(threshold, d, matches=2) >= TARGET_RECALL), 1)
+
+
+def closeness(threshold: float) -> tuple[float, float]:
+    """(absorb, link): under a node, a text with that share of its minima equal to a leader's stands behind it; a link
+    needs less: texts at the threshold of one behind a leader are within that of the leader, and the estimate errs by 0.05."""
+    absorb = max(0.8, threshold)
+    return absorb, max(0.05, absorb + threshold - 1 - 0.1)
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,45 +124,72 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "rid string, doc_id long, node binary, sig binary")
 
 
-def _fold(nodes: np.ndarray, sketch: np.ndarray, paths: np.ndarray, edges: list) -> np.ndarray:
-    """Rows under one shortest prefix: adds links (node, leader), returns the places of the leaders.  paths holds the
-    rest of the label; rows that share all of it are folded before they meet the others."""
-    leaders = np.arange(len(nodes))
-    # links only have to connect: a row is linked to one of each set of rows that links have already joined
-    joined = np.arange(len(nodes))
-    levels = range(paths.shape[1], -1, -1)
-    for d in levels:
-        if len(leaders) < 2:
-            break
-        if d == 0 and len(leaders) > SMALL_NODE and recall(THRESHOLD, DEPTH) >= TARGET_RECALL:
-            break
-        parts: dict[bytes, list[int]] = {}
-        for i in leaders:
-            parts.setdefault(paths[i, :d].tobytes(), []).append(i)
-        kept = []
-        for members in parts.values():
-            left = np.array(members)
-            while len(left):
-                lead, left = left[0], left[1:]
-                kept.append(lead)
-                if not len(left):
-                    break
-                same = nodes[left] == nodes[lead]
-                alike = (sketch[left] == sketch[lead]).mean(axis=1)
-                near = left[(alike >= LINK) | same]
-                near = near[joined[near] != joined[lead]]
-                sets, at = np.unique(joined[near], return_index=True)
-                edges += [(nodes[i], nodes[lead]) for i in near[at] if nodes[i] != nodes[lead]]
-                joined[np.isin(joined, sets)] = joined[lead]
-                left = left[~((alike >= ABSORB) | same)]
-        leaders = np.array(kept)
-    return leaders
+def _grouped(keys: np.ndarray) -> list[np.ndarray]:
+    """Places of equal rows of keys, groups of two or more."""
+    flat = np.ascontiguousarray(keys).view(np.dtype((np.void, keys.dtype.itemsize * keys.shape[1]))).ravel() if keys.shape[1] else np.zeros(len(keys), "V1")
+    order = np.argsort(flat, kind="stable")
+    cut = np.flatnonzero(flat[order][1:] != flat[order][:-1]) + 1
+    return [g for g in np.split(order, cut) if len(g) > 1]
+
+
+class Fold:
+    """Rows under one shortest prefix of a tree.  Adds links (node, leader) to edges; leaders are the rows left."""
+
+    def __init__(self, nodes, sketch, tree: int, depth: int, near: tuple[float, float], edges: list):
+        self.nodes, self.sketch, self.tree, self.depth, self.near, self.edges = nodes, sketch, tree, depth, near, edges
+        # links only have to connect: a row is linked to one of each set of rows that links have already joined
+        self.joined = np.arange(len(nodes))
+
+    def compare(self, members: np.ndarray) -> list[int]:
+        """The leaders of members, each compared with those before it."""
+        absorb, link = self.near
+        nodes, sketch, joined = self.nodes, self.sketch, self.joined
+        kept, left = [], members
+        while len(left):
+            lead, left = left[0], left[1:]
+            kept.append(lead)
+            if not len(left):
+                break
+            same = nodes[left] == nodes[lead]
+            alike = (sketch[left] == sketch[lead]).mean(axis=1)
+            near = left[(alike >= link) | same]
+            near = near[joined[near] != joined[lead]]
+            sets, at = np.unique(joined[near], return_index=True)
+            self.edges += [(nodes[i], nodes[lead]) for i in near[at] if nodes[i] != nodes[lead]]
+            joined[np.isin(joined, sets)] = joined[lead]
+            left = left[~((alike >= absorb) | same)]
+        return kept
+
+    def leaders(self, paths: np.ndarray) -> np.ndarray:
+        """paths holds the rest of the label; rows that share all of it are folded before they meet the others."""
+        left = np.arange(len(self.nodes))
+        for d in range(paths.shape[1], -1, -1):
+            if len(left) < 2:
+                break
+            if d == 0 and len(left) > NODE:
+                self.by_other_trees(left)
+                break
+            groups = _grouped(paths[left][:, :d])
+            alone = np.ones(len(left), bool)
+            kept = []
+            for g in groups:
+                alone[g] = False
+                kept += self.compare(left[g])
+            left = np.sort(np.concatenate([left[alone], np.array(kept, left.dtype)]))
+        return left
+
+    def by_other_trees(self, left: np.ndarray) -> None:
+        for other in range(TREES):
+            if other != self.tree:
+                # a label's last byte stands for it: rows that differ in it differ, others are compared anyway
+                for g in _grouped(self.sketch[left][:, other * DEPTH : other * DEPTH + self.depth]):
+                    self.compare(left[g])
 
 
 OUT = "tree int, prefix long, rest binary, node binary, sketch binary, other binary"
 
 
-def _fold_rows(tree, prefix, rest, node, sketch):
+def _fold_rows(tree, prefix, rest, node, sketch, depth, near):
     """Columns of rows sorted or not: (rows that stay, links)."""
     edges: list[tuple[bytes, bytes]] = []
     order = np.lexsort((prefix, tree))
@@ -157,8 +199,8 @@ def _fold_rows(tree, prefix, rest, node, sketch):
     for part in np.split(order, cut):
         if len(part) == 1:
             stay.append(part)
-        else:
-            stay.append(part[_fold(node[part], sketch[part], rest[part], edges)])
+        elif len(part):
+            stay.append(part[Fold(node[part], sketch[part], int(tree[part[0]]), depth, near, edges).leaders(rest[part])])
     return np.concatenate(stay) if stay else np.zeros(0, int), sorted(set(edges))
 
 
@@ -177,11 +219,9 @@ def _rows_out(tree, prefix, rest, node, sketch, edges):
     )
 
 
-def proposed_links(signed: DataFrame) -> DataFrame:
+def proposed_links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): nodes that the forest links."""
-    short = DEPTH
-    while short > 1 and recall(THRESHOLD, short) < 0.9997:
-        short -= 1
+    short, near = prefix_length(threshold), closeness(threshold)
 
     def spread(batches):
         for batch in batches:
@@ -193,18 +233,20 @@ def proposed_links(signed: DataFrame) -> DataFrame:
             rest = np.concatenate([sig[:, t, short:] for t in range(TREES)])
             sketch = np.tile((sig.reshape(n, -1) & np.uint32(255)).astype(np.uint8), (TREES, 1))
             node = np.tile(nodes, TREES)
-            stay, edges = _fold_rows(tree, prefix, rest, node, sketch)
+            stay, edges = _fold_rows(tree, prefix, rest, node, sketch, short, near)
             yield _rows_out(tree[stay], prefix[stay], rest[stay], node[stay], sketch[stay], edges)
 
     def fold(batches):
-        for table in _gathered(batches):
+        for table in ts.whole_groups(batches, 2):
             links = pa.compute.equal(table.column("tree"), -1)
             old = table.filter(links)
             rows = table.filter(pa.compute.invert(links))
-            wide = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(rows.num_rows, -1)
+            wide = lambda c, kind, n: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(rows.num_rows, n)
             edges: list = []
             if rows.num_rows > 1:
-                _, edges = _fold_rows(rows.column("tree").to_numpy(), rows.column("prefix").to_numpy(), wide("rest", np.uint32), np.array(rows.column("node").to_pylist(), object), wide("sketch", np.uint8))
+                _, edges = _fold_rows(
+                    rows.column("tree").to_numpy(), rows.column("prefix").to_numpy(), wide("rest", np.uint32, DEPTH - short), np.array(rows.column("node").to_pylist(), object), wide("sketch", np.uint8, TREES * DEPTH), short, near
+                )
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*old.column("node").to_pylist(), *(a for a, _ in edges)], pa.binary()), pa.array([*old.column("other").to_pylist(), *(b for _, b in edges)], pa.binary())], names=["a", "b"]
             )
@@ -214,38 +256,6 @@ def proposed_links(signed: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(fold, "a binary, b binary")
 
 
-def _gathered(batches, rows: int = 20_000):
-    """Tables of whole (tree, prefix) groups, many groups each."""
-    held: list[pa.Table] = []
-    n = 0
-    for g in _runs(batches):
-        held.append(g)
-        n += g.num_rows
-        if n >= rows:
-            yield pa.concat_tables(held)
-            held, n = [], 0
-    if held:
-        yield pa.concat_tables(held)
-
-
-def _runs(batches):
-    """The batches, cut so that no (tree, prefix) group crosses two tables."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t, p = b.column(0).to_numpy(), b.column(1).to_numpy()
-        last = np.flatnonzero((t != t[-1]) | (p != p[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (t[0], p[0])):
-            held.append(b.slice(0, cut))
-            yield pa.Table.from_batches(held)
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _sets(column: pa.Array) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for at, to, g, begin in shingles(column):
@@ -333,28 +343,32 @@ def _ready(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def node_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows: rid, doc_id, node), (classes: node, class_id, keeper_node, keeper_rid, n_links, n_copies), both staged."""
+    """(rows: rid, doc_id, node), (classes: node, class_id, keeper_node, keeper_rid, n_links, n_copies), both staged.
+
+    What is joined on a component's root is staged on both sides, so that a component with very many texts splits."""
     bound_batches(docs.sparkSession)
     ready = _ready(docs, id_column, text)
     signed = stage(_signed(ready))
-    copies = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).withColumn("rid", _rid(F.col("doc_id")))
+    copies = stage(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).withColumn("rid", _rid(F.col("doc_id"))))
 
-    roots = stage(components(proposed_links(signed)))
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    roots = stage(components(proposed_links(signed, threshold)))
+    sizes = stage(roots.groupBy("root").agg(F.count("*").alias("size")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = roots.join(sizes, "root").join(copies.select("node", "rid"), "node").select("root", "node", "rid", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    # join on the text and one id that has it, so that a text with very many copies does not gather in one task
-    texts = ready.withColumn("node", _node(F.col("text"))).drop("doc_id").join(members, ["node", "rid"])
+    members = stage(roots.join(sizes, "root").join(copies.select("node", "rid"), "node").select("root", "node", "rid", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    # joined on the text and one id that has it; of rows alike in both one goes on, folded before the shuffle
+    met = ready.withColumn("node", _node(F.col("text"))).drop("doc_id").join(members, ["node", "rid"])
+    texts = stage(met.groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "blocks", "block", "text"))))
     seat = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     seated = texts.select("root", "node", "text", "block", F.explode(seat).alias("at")).select("root", "at.i", "at.j", F.col("block").alias("part"), "node", "text")
-    verified = stage(_verified(seated.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), threshold))
+    # in ranges, so that no task gets several pairs of blocks of a large component by chance
+    verified = stage(_verified(seated.repartitionByRange("root", "i", "j").sortWithinPartitions("root", "i", "j"), threshold))
     links = verified.groupBy("node").agg(F.sum("n").alias("n_links"))
     final = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
 
-    known = copies.join(final, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = stage(copies.join(final, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "node"))
-    named = known.groupBy("root").agg(first.alias("k"))
-    classes = known.join(named, "root").select("node", F.col("k.doc_id").alias("class_id"), F.col("k.node").alias("keeper_node"), F.col("k.rid").alias("keeper_rid"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    named = stage(known.groupBy("root").agg(first.alias("k")).select("root", F.col("k.doc_id").alias("class_id"), F.col("k.node").alias("keeper_node"), F.col("k.rid").alias("keeper_rid")))
+    classes = known.join(named, "root").select("node", "class_id", "keeper_node", "keeper_rid", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return signed.select("rid", "doc_id", "node"), stage(classes)
 
 
@@ -366,9 +380,17 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thre
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class, the one with the least id, all columns kept."""
-    _, found = node_classes(docs, id_column, text, threshold)
-    keepers = found.select(F.col("keeper_node").alias("_node"), F.col("keeper_rid").alias("_rid")).distinct()
-    named = docs.withColumns({"_node": _node(text_of(text)), "_rid": _rid(F.col(id_column).cast("long"))})
-    one = Window.partitionBy("_node", "_rid").orderBy("_rid")
-    kept = named.join(keepers, ["_node", "_rid"]).withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, found = node_classes(docs, id_column, text, threshold)
+    keepers = found.select(F.col("keeper_node").alias("node"), F.col("keeper_rid").alias("rid")).distinct()
+    alike = stage(rows.groupBy("node", "rid").agg(F.count("*").alias("n")).where("n > 1"))
+    node, rid = fresh(docs, "node", "rid")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.withColumns({node: _node(text_of(text)), rid: _rid(F.col(id_column).cast("long"))})
+    own = lambda df: df.select(F.col("node").alias(node), F.col("rid").alias(rid))
+    if alike.isEmpty():
+        return named.join(own(keepers), [node, rid]).select(*columns)
+    # of rows alike in id and text one stays, folded before the shuffle
+    once = named.join(own(keepers.join(alike, ["node", "rid"], "left_anti")), [node, rid]).select(*columns)
+    some = named.join(own(keepers.join(alike, ["node", "rid"])), [node, rid])
+    one = F.min_by(F.struct(*columns), F.xxhash64(F.to_json(F.struct(*columns))))
+    return once.unionByName(some.groupBy(node, rid).agg(one.alias("one")).select(*(F.col(f"one.`{c}`").alias(c) for c in docs.columns)))

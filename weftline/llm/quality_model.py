@@ -10,9 +10,10 @@ The network is fitted on at most TRAIN_ROWS labelled rows, chosen by hash, and c
 are read only from rows whose crc32(doc_id as text) mod 4 is not 2; no score sees a label, lang, source or doc_id.
 What reaches the driver is bounded: VOCAB x DIM sums and TRAIN_ROWS feature rows.
 
-Defined results: a null or empty text has a zero vector and gets a score too; a null doc_id is never held out and
-never labelled; repeated rows are scored alike; without any labels every score is 0.5; an empty table gives an empty
-table; other columns are ignored.
+Defined results: a null or empty text has a zero vector and gets a score too; a very long text is pooled whole; a null
+doc_id is never held out and never labelled; repeated rows are scored alike, and of those of one id that are labelled, one
+with the least features is learned from; ties of the hash that chooses training rows go by id and label; without any labels
+every score is 0.5; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ class Network:
         if aside.any():
             logit, truth = self._logit(z[aside]), y[aside]
             loss = lambda s: np.mean(np.logaddexp(0, logit / s) - truth * logit / s)
-            self.temperature = float(min(np.geomspace(1, 8, 61), key=loss))
+            self.temperature = float(min(np.geomspace(0.125, 8, 97), key=loss))
 
     @staticmethod
     def _sigmoid(a):
@@ -215,10 +216,10 @@ def _held_out(column: str = "doc_id"):
 def train(rows: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> Network | None:
     """A network for features() from the labels of rows that are not held out, most of them at most."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    got = rows.join(known, "doc_id").limit(2 * most).collect()
+    # at most `most` labels by hash, and one row of each id, so that rows that repeat an id neither crowd out others nor
+    # depend on what is read first
+    chosen = known.distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "y").limit(most)
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id, r.y, bytes(r.x)))

@@ -33,7 +33,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(documents(spark, sf_dir, "doc_id", "text", "source")).drop("row_key1", "row_key2")
+    return mixing.plan(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

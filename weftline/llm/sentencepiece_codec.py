@@ -8,9 +8,12 @@ chunks up in order.  The table stays with the task, because a table of the whole
 every word occurrence; it is emptied when it holds TABLE_CHUNKS chunks or TABLE_BYTES of text, which only costs
 segmenting some chunks again.  `split_ok` checks the vocabulary; another kind is encoded document by document.
 
+The model's bytes are read where the plan is made and sent to the tasks, so that executors need not have the file.
+
 Defined results: a null text is empty and has no ids; a NUL or an unknown character is encoded by bytes; U+2581 in a
-text is a space, as in the library; repeated rows are encoded alike; an empty table gives an empty table; all
-other columns are ignored by `digest` and kept by `encode`.
+text is a space, as in the library; a very long text is one row, and its chunks are put together 256 rows at a time;
+repeated rows are encoded alike, and ties cannot arise; an empty table gives an empty table; other columns are ignored by
+`digest` and kept by `encode`, which refuses names for its own columns that the table has.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ TABLE_BYTES = 16 << 20
 class Codec:
     """One worker's library and table of chunks: marked chunk -> (ids as text, decoded text with its spaces)."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.table: dict[str, tuple[str, str]] = {}
         self.bytes = 0
         self.alone = self.sp.piece_to_id(MARK)
@@ -88,23 +91,36 @@ class Codec:
                 yield ",".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
+
+
+def _codec(model: bytes) -> Codec:
+    key = hashlib.sha256(model).digest()
+    if key not in _codecs:
+        _codecs[key] = Codec(model)
+    return _codecs[key]
 
 
-def _codec(model: str) -> Codec:
-    if model not in _codecs:
-        _codecs[model] = Codec(model)
-    return _codecs[model]
+def _sent(docs: DataFrame, model: str | bytes):
+    """The model for all tasks, from its bytes or a file of the driver."""
+    if isinstance(model, str):
+        with open(model, "rb") as f:
+            model = f.read()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str | bytes, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with the ids of its texts as array<int>, and if named, the text decoded from them."""
+    clash = {c.lower() for c in docs.columns} & {c.lower() for c in (ids, decoded) if c}
+    if clash:
+        raise ValueError(f"docs has columns of these names already: {sorted(clash)}")
     bound_batches(docs.sparkSession)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in (ids, decoded))
-    kept = [f.name for f in docs.schema.fields if f.name not in (ids, decoded)]
+    sent = _sent(docs, model)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kept = [f.name for f in docs.schema.fields]
 
     def run(batches):
-        codec = _codec(model)
+        codec = _codec(sent.value)
         for b in batches:
             numbers, texts = [], []
             for i, d in codec.documents(b.column(b.schema.get_field_index(text)).to_pylist()):
@@ -123,12 +139,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     return docs.mapInArrow(run, f"{out}, `{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
-def digest(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, model: str | bytes, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, without building the arrays."""
     bound_batches(docs.sparkSession)
+    sent = _sent(docs, model)
 
     def run(batches):
-        codec = _codec(model)
+        codec = _codec(sent.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for b in batches:
             rows = [((i.count(",") + 1) if i else 0, sha(i), sha(d)) for i, d in codec.documents(b.column(1).to_pylist())]
