@@ -1,7 +1,15 @@
 """A corpus pipeline of five operators: rules, near duplicates, secrets, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the
-columns of documents.  run() writes every stage to the shared folder and reads it back for the next.
+columns of documents.  run() writes every stage to the shared folder and reads it back for the next, and removes what the
+stages left there.
+
+Defined results: a null or empty text is rejected by the rules, so later stages see none unless they are called alone, and
+then treat it as empty; a null id, source or language is kept as it is; of a class of near duplicates, rows alike included,
+one document stays, ties broken as near_duplicates says; secrets that overlap are masked as one; a document that the mix
+takes more than once comes that often, shard by shard, in an order fixed by hashes; very long texts are one row throughout;
+an empty table gives an empty table; further columns of documents pass through all stages but the last, which returns
+doc_id, source, lang and its own.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing, near_duplicates, quality_rules, secrets, sentencepiece_codec
-from weftline.llm.common import stage
+from weftline.llm.common import stage, staging
 from weftline.llm.registry import piece_model
 
 
@@ -33,7 +41,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
+    """Each document as many times as the mix of sources takes it, in shards by the splitting tree, shuffled inside each."""
     return mixing.mix(docs)
 
 
@@ -58,6 +66,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
+    with staging(spark) as kept:
+        for _, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir))
+        kept.append(docs)
     return docs
