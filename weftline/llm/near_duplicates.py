@@ -356,7 +356,8 @@ def node_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = stage(roots.join(sizes, "root").join(copies.select("node", "rid"), "node").select("root", "node", "rid", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     # joined on the text and one id that has it; of rows alike in both one goes on, folded before the shuffle
-    met = ready.withColumn("node", _node(F.col("text"))).drop("doc_id").join(members, ["node", "rid"])
+    # (a merge join at every size: a broadcast of few members would only hide what the shuffle of texts comes to)
+    met = ready.withColumn("node", _node(F.col("text"))).drop("doc_id").join(members.hint("merge"), ["node", "rid"])
     texts = stage(met.groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "blocks", "block", "text"))))
     seat = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     seated = texts.select("root", "node", "text", "block", F.explode(seat).alias("at")).select("root", "at.i", "at.j", F.col("block").alias("part"), "node", "text")
