@@ -28,9 +28,9 @@ def test_space_tokens(spark):
 
 
 def test_cleaners(spark):
-    t = ["@switchfoot http://x.co/2y - Awww, that's", "http://x.co/a?b=c"]
-    assert [x.split() for x in column(spark, t, tx.clean_tweet)] == [["Awww", "thats"], ["bc"]]
-    assert column(spark, t, lambda c: tx.clean_tweet(c, at_only=True))[0].split() == ["switchfoot", "Awww", "thats"]
+    t = ["@rivergate http://q.io/7k - Oh well, that's", "http://x.co/a?b=c"]
+    assert [x.split() for x in column(spark, t, tx.clean_tweet)] == [["Oh", "well", "thats"], ["bc"]]
+    assert column(spark, t, lambda c: tx.clean_tweet(c, at_only=True))[0].split() == ["rivergate", "Oh", "well", "thats"]
 
 
 def test_links(spark):
@@ -43,10 +43,79 @@ def test_wiki_page(spark):
     df = spark.createDataFrame([("x <title>T</title> <text a='b'>1 &lt;b&gt;2&lt;/b&gt; &amp;lt;</text>",)], "line string")
     r = readers.wiki_pages(df).first()
     assert (r.title, r.body) == ("T", "1 2 &lt;")
-    odd = ["&eacute;&#233;&#xE9; &nope; &amp;lt; &#55296;", "<i>", None]
-    assert column(spark, odd, tx.unescape_all_html) == ["ééé &nope; &lt; &#55296;", "<i>", None]
+    odd = ["&eacute;&#233;&#xE9; &nope; &amp;lt; &#55296;", "<i>", None, "a & b &amp", "&#128512;&euro;&apos;&", ""]
+    assert column(spark, odd, tx.unescape_html) == ["ééé &nope; &lt; &#55296;", "<i>", None, "a & b &amp", "\U0001f600€&apos;&", ""]
     df = spark.createDataFrame([("<title>T</title><text>&eacute;&lt;i&gt;x</text>",)], "line string")
-    assert readers.wiki_pages(df, all_entities=True).first().body == "éx"
+    assert readers.wiki_pages(df).first().body == "éx"
+
+
+def test_boundary_tokens_as_java_splits(spark):
+    """The same as splitting at word boundaries with the space around them, for every line of a small alphabet."""
+    import itertools
+
+    lines = ["".join(x) for n in range(6) for x in itertools.product("aé ,\t", repeat=n)]
+    parts = F.split("t", r"\s*\b\s*")
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", parts.alias("p"), tx.boundary_tokens(F.col("t")).alias("some"), tx.boundary_tokens(F.col("t"), keep_empty=True).alias("every")).collect()
+    for r in rows:
+        kept = list(r.p)
+        while kept and not kept[-1]:
+            kept.pop()
+        assert (r.some, r.every) == ([w for w in r.p if w], kept), repr(r.t)
+    import time
+
+    long = spark.createDataFrame([("x" + " " * 200_000 + "y",)], "t string").select(tx.boundary_tokens(F.col("t")).alias("w"))
+    began = time.time()
+    assert long.first().w == ["x", "y"] and time.time() - began < 10
+
+
+def test_plans_read_texts_once(spark):
+    """One scan of documents in the TF-IDF family beside the count, one of the texts for the Naive Bayes model."""
+    from weftline.plans import catalog
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    text = plan(catalog.tfidf(spark, "/root/testdata/sf0.001"))
+    assert text.count("ReusedExchange") >= 1 and text.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+
+
+def test_hubs_of_a_graph(spark, monkeypatch):
+    pairs = [("hub", f"n{i}") for i in range(40)] * 2 + [(f"n{i}", "hub") for i in range(0, 40, 3)] + [("n1", "n2"), ("n1", "n2")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = graph.endpoints(edges)
+    want = {r.id: r.rank for r in graph.pagerank(edges, nodes, 7).collect()}
+    monkeypatch.setattr(graph, "LINKS_OF_KEY", 5)
+    monkeypatch.setattr(graph, "HUBS", 20)
+    got = {r.id: r.rank for r in graph.pagerank(edges, nodes, 7).collect()}
+    rank, out = {n: 1 / len(want) for n in want}, {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    for _ in range(7):
+        into = dict.fromkeys(want, 0.0)
+        for a, bs in out.items():
+            for b in bs:
+                into[b] += rank[a] / len(bs)
+        rank = {n: 0.15 + 0.85 * x for n, x in into.items()}
+    assert got == pytest.approx(rank) and want == pytest.approx(rank)
+
+
+def test_positions(spark):
+    hits = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "doc_id long, score double")
+    got = sorted((r.position, r.doc_id) for r in index.positions(hits, tasks=6).collect())
+    assert got == [(n + 1, i) for n, (_, i) in enumerate(sorted((-float(i % 7), i) for i in range(500)))]
+    assert index.positions(hits.limit(0)).count() == 0
+
+
+def test_stop_list_and_malformed_lines(spark, tmp_path):
+    (tmp_path / "stop").write_text("the,of\nand  to\n\nthe\n")
+    assert readers.stop_words(spark, str(tmp_path / "stop")) == ["and", "of", "the", "to"]
+    (tmp_path / "t.csv").write_text('"0","1","Mon","NO_QUERY","u","fine"\n"oops"\n"4","2","Tue","q","v","too"\n')
+    assert sorted(r.text for r in readers.tweets(spark, str(tmp_path / "t.csv"), malformed="drop").collect()) == ["fine", "too"]
+    (tmp_path / "s").write_text("a#####b#####c\nnone\n\nx#####\n")
+    assert sorted(tuple(r) for r in readers.separated(spark, str(tmp_path / "s"), ["k", "v"], "#####").collect()) == [("a", "b#####c"), ("x", "")]
+    with pytest.raises(ValueError):
+        writers.single_sorted_text(spark.range(5), str(tmp_path / "one"), "id", most=4)
 
 
 def test_tfidf_and_search(spark):
@@ -143,6 +212,9 @@ def test_cli_search(spark, tmp_path):
         (tmp_path / f"in/{n}").write_text(t)
     got = [r.doc_id for r in cli.search(spark, str(tmp_path / "in"), ["a", "d"]).collect()]
     assert got == ["d3", "d1", "d2"]
+    cli.main(["index", str(tmp_path / "in"), str(tmp_path / "postings")])
+    cli.main(["lookup", str(tmp_path / "postings"), str(tmp_path / "found"), "a", "d"])
+    assert [r.k for r in readers.separated(spark, str(tmp_path / "found"), ["k", "v"]).collect()] == ["d3", "d1", "d2"]
     (tmp_path / "w").write_text("<title>A</title>[[B]]\n<title>B</title>[[A]] [[A]]\n")
     assert {r.doc_id for r in cli.pagerank(spark, str(tmp_path / "w"), []).collect()} == {"A", "B"}
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,24 +16,49 @@ TITLE = r"<title>(.*?)</title>"
 WIKI_LINK = r"\[\[.*?\]\]"
 HREF = r'href="([^"]*)"'
 LINE_END = r"\r\n|\r|\n"
+RUN = r"[\p{L}\p{Nd}_][\p{L}\p{Nd}\p{Mn}_]*|[^\p{L}\p{Nd}_]+"
+SPACE = " \t\n\x0b\f\r"
 CSV_COMMA = r""",(?=([^"]*"[^"]*")*[^"]*$)"""
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, even where body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, as a line reader would give them."""
     return F.split(F.coalesce(text, F.lit("")), LINE_END)
 
 
 def boundary_tokens(line: Column, keep_empty: bool = False) -> Column:
-    """Runs of word characters and runs of others, split at word boundaries with the space around them.
+    """Runs of word characters and runs of others, without the space that touches a run of the other kind.
+
+    keep_empty keeps inner empty tokens and drops the trailing ones: a word after space has an empty token before it, and
+    a line that begins with space has one more.  Linear in the line, whatever it holds."""
+    runs = F.regexp_extract_all(line, F.lit(RUN), F.lit(0))
+
+    def bare(all_runs: Column) -> Column:
+        n = F.size(all_runs)
+        return F.transform(
+            all_runs,
+            lambda r, i: F.when((i > 0) & (i < n - 1), F.btrim(r, F.lit(SPACE))).when((i == 0) & (n > 1), F.rtrim(r, F.lit(SPACE))).when((i > 0) & (i == n - 1), F.ltrim(r, F.lit(SPACE))).otherwise(r),
+        )
 
-    keep_empty keeps inner empty tokens (two words with only space between have one between them) and drops the
-    trailing ones."""
-    parts = F.split(line, r"\s*\b\s*")
     if not keep_empty:
-        return F.filter(parts, lambda w: w != "")
-    last = F.aggregate(F.transform(parts, lambda w, i: F.when(w != "", i + 1).otherwise(0)), F.lit(0), lambda a, i: F.greatest(a, i))
-    return F.slice(parts, F.lit(1), last)
+        return F.filter(_let(runs, bare), lambda w: w != "")
+
+    def parted(all_runs: Column) -> Column:
+        none = F.array().cast("array<string>")
+        after_space = lambda i: (i > 0) & F.get(all_runs, i - 1).rlike("[ \\t-\\r]$") & all_runs[i].rlike(r"^[\p{L}\p{Nd}_]")
+        own = lambda w, i: F.when((w != "") | (i == 0), F.array(w)).otherwise(none)
+        return F.flatten(F.transform(_let(all_runs, bare), lambda w, i: F.when(after_space(i), F.array(F.lit(""), w)).otherwise(own(w, i))))
+
+    def ended(parts: Column) -> Column:
+        last = F.aggregate(F.transform(parts, lambda w, i: F.when(w != "", i + 1).otherwise(0)), F.lit(0), lambda a, i: F.greatest(a, i))
+        return F.slice(parts, F.lit(1), last)
+
+    return _let(_let(runs, parted), ended)
 
 
 def space_tokens(text: Column) -> Column:
@@ -77,37 +100,32 @@ def href_links(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit(HREF), F.lit(1))
 
 
-# Named character entities, & last so that nothing is undone twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITY = r"^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 
 
 def unescape_html(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def unescape_all_html(text: Column) -> Column:
-    """Every named entity of HTML 4 and every numeric one, in one pass; unknown ones stay.  An Arrow UDF: no built-in
-    function maps a matched name to a character."""
-    entity = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|(\w{2,8}));")
-
-    def char(m: re.Match) -> str:
-        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else name2codepoint.get(m[3])
-        return chr(code) if code is not None and code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: entity.sub(char, t) if t is not None and "&" in t else t)
-
-    return F.pandas_udf(run, "string")(text)
-
-
-def wiki_body(page: Column, all_entities: bool = False) -> Column:
-    """What <text ...> holds, entities resolved (the common ones, by built-in functions, or all), then tags removed; null
-    where there is no <text>."""
+    """Every named entity of HTML 4 and every numeric one resolved in one pass; unknown ones stay."""
+    names = F.create_map(*(F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))))
+
+    def resolved(part: Column) -> Column:
+        # part is what follows an ampersand
+        found = F.regexp_extract(part, ENTITY, 0)
+        name = F.substring(found, F.lit(1), F.length(found) - 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        number = (digits < 0x110000) & ~digits.between(0xD800, 0xDFFF)
+        char = F.when(name.startswith("#"), F.when(number, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(names, name))
+        plain = F.concat(F.lit("&"), part)
+        return F.when(found == "", plain).otherwise(F.coalesce(F.concat(char, F.substring(part, F.length(found) + 1, F.length(part))), plain))
+
+    parts = F.split(text, "&", -1)
+    joined = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolved)), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
+def wiki_body(page: Column) -> Column:
+    """What <text ...> holds, entities resolved, then tags removed; null where there is no <text>."""
     inner = F.regexp_replace(F.regexp_extract(page, r"<text(.*?)</text>", 1), "^[^>]*>", "")
-    plain = unescape_all_html(inner) if all_entities else unescape_html(inner)
-    return F.when(page.rlike(r"<text(.*?)</text>"), F.regexp_replace(plain, "<.*?>", ""))
+    return F.when(page.rlike(r"<text(.*?)</text>"), F.regexp_replace(unescape_html(inner), "<.*?>", ""))
 
 
 def split_csv(line: Column) -> Column:

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators.staging import cut
+from weftline.operators.staging import cut, drop
 
 DAMPING = 0.85
 ITERATIONS = 10
 CUT_EVERY = 5
+#: Targets of a source that stay under one key, at least; sources with more, at most.
+LINKS_OF_KEY = 100_000
+HUBS = 10_000
 
 
 def edges(pages: DataFrame, page: str = "html", links: Column | None = None, keep_empty: bool = False) -> DataFrame:
@@ -42,23 +45,37 @@ def pagerank(edge_table: DataFrame, node_table: DataFrame, iterations: int = ITE
     """(id, rank) after the given number of steps of rank = (1 - damping) + damping x sum(share), from 1 / nodes.
 
     A link shares its source's rank by the number of the source's links, repeats counted; ranks are not normalised
-    and what a node without links holds is not passed on.  Links are merged to (src, dst, share) once and kept
-    partitioned by src; a step shuffles only the contributions, partially summed, and each node adds a zero so that
-    no outer join is needed."""
-    share = F.count("*") / F.sum(F.count("*")).over(_by("src"))
-    links = edge_table.groupBy("src", "dst").agg(share.alias("share")).repartition("src").persist()
-    everyone = node_table.select("id").persist()
-    ranks = everyone.crossJoin(F.broadcast(everyone.agg((F.lit(1.0) / F.count("*")).alias("rank"))))
-    none = everyone.select("id", F.lit(0.0).alias("part"))
+    and what a node without links holds is not passed on.  Links are merged to (src, dst, n) once; a node carries its
+    number of links, so no link needs it, and a step shuffles only the contributions, partially summed.  Each node adds a
+    zero, so that no outer join is needed.  The links of a source with very many targets are dealt to several keys, and
+    its rank is sent to each; there are HUBS such sources at most.  Links, nodes and every CUT_EVERY-th step are written
+    to the shared folder; staging.clear() removes what the result still reads."""
+    merged = cut(edge_table.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    degrees = merged.groupBy("src").agg(F.sum("n").alias("k"), F.count("*").alias("targets"))
+    per_key = max(LINKS_OF_KEY, -(-merged.count() // HUBS))
+    parts = F.coalesce(F.ceil(F.col("targets") / per_key), F.lit(1)).cast("int")
+    found = node_table.select("id").join(degrees.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), parts.alias("parts"))
+    everyone = cut(found)
+    n_nodes, most = everyone.agg(F.count("*"), F.max("parts")).first()
+    split = (most or 1) > 1
+    if split:
+        # per_key bounds the number of hubs, so they can be sent to all tasks
+        hubs = F.broadcast(everyone.where("parts > 1").select(F.col("id").alias("src"), "parts"))
+        key = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+        merged = merged.join(hubs, "src", "left").select("src", "dst", "n", key.alias("key"))
+    ranks = everyone.withColumn("rank", F.lit(1.0 / max(n_nodes, 1)))
+    none = everyone.select("id", F.lit(0.0).alias("part"), "k", "parts")
+    before = None
     for step in range(1, iterations + 1):
-        parts = links.join(ranks, links["src"] == ranks["id"]).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("part"))
-        ranks = parts.unionByName(none).groupBy("id").agg((F.sum("part") * damping + (1 - damping)).alias("rank"))
+        gives = ranks.where("k > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("k")).alias("each"), "parts")
+        if split:
+            gives = gives.select("src", "each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("key"))
+        sent = merged.join(gives, ["src", "key"] if split else "src")
+        given = sent.select(F.col("dst").alias("id"), (F.col("each") * F.col("n")).alias("part"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("parts"))
+        ranks = given.unionByName(none).groupBy("id").agg((F.sum("part") * damping + (1 - damping)).alias("rank"), F.max("k").alias("k"), F.max("parts").alias("parts"))
         if step % CUT_EVERY == 0 and step < iterations:
             ranks = cut(ranks)
-    return ranks
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
+            if before is not None:
+                drop(before)
+            before = ranks
+    return ranks.select("id", "rank")

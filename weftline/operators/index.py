@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.operators.staging import cut
+
+#: Keys that the postings of one term are dealt to.
+KEYS = 8
 
 
 def boundary_terms(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep_empty: bool = False) -> DataFrame:
@@ -33,8 +37,13 @@ def doc_frequency(counts: DataFrame) -> DataFrame:
 def tfidf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     """tf x log10(1 + n div df).  counts has a row for each (doc_id, term); n_docs is one row with n_docs.
 
-    The frequencies are aggregated before they are shuffled and then joined, so no term's postings gather."""
-    weighed = log_tf(counts).join(doc_frequency(counts), "term").crossJoin(F.broadcast(n_docs))
+    Both uses of counts need the same columns and no filter is inferred on one alone, so its shuffle is run once and read
+    twice.  Frequencies are
+    aggregated before they are shuffled; a term's postings are dealt to KEYS keys, to each of which its frequency goes."""
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
+    sent = frequency.select("term", "df", F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))).alias("key"))
+    dealt = log_tf(counts).withColumn("key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(KEYS)).cast("int"), F.lit(0)))
+    weighed = dealt.join(sent, ["term", "key"]).crossJoin(F.broadcast(n_docs))
     idf = F.log10(F.lit(1) + F.expr("n_docs div df"))
     return weighed.select("doc_id", "term", (F.col("tf") * idf).alias("tfidf"))
 
@@ -69,3 +78,15 @@ def rank(hits: DataFrame, limit: int | None = None, by: str = "score", tie: str
     """Hits by descending score, ties by id; limit gives a top-k."""
     ordered = hits.orderBy(F.desc(by), tie)
     return ordered.limit(limit) if limit else ordered
+
+
+def positions(hits: DataFrame, by: str = "score", tie: str = "doc_id", tasks: int | None = None) -> DataFrame:
+    """Hits with their place, from 1, in the order of rank().  Sorted in ranges; a range's first place is the number of
+    hits in those before it, so no task sees more than its range."""
+    spark = hits.sparkSession
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(hits.repartitionByRange(n, F.desc(by), tie).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(by), tie)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn("position", place.cast("long")).drop("_range", "_before")

@@ -46,18 +46,22 @@ def nb_words(tweets: DataFrame, stop_words: list[str]) -> DataFrame:
     return _known_words(tweets, stop_words, at_only=True, ignore_case=True)
 
 
-def nb_counts(words: DataFrame, classes: tuple[int, ...] = CLASSES) -> DataFrame:
+def _by_word(words: DataFrame) -> DataFrame:
+    return words.groupBy("word").agg(*(F.count_if(F.col("class") == c).alias(f"c{c}") for c in CLASSES))
+
+
+def nb_counts(words: DataFrame) -> DataFrame:
     """(word, class, n): three rows a word, zeros included."""
-    wide = words.groupBy("word").agg(*(F.count_if(F.col("class") == c).alias(f"c{c}") for c in classes))
-    rows = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"c{c}").alias("n")) for c in classes))
-    return wide.select("word", F.explode(rows).alias("x")).select("word", "x.class", "x.n")
+    rows = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"c{c}").alias("n")) for c in CLASSES))
+    return _by_word(words).select("word", F.explode(rows).alias("x")).select("word", "x.class", "x.n")
 
 
 def nb_stats(tweets: DataFrame, words: DataFrame) -> DataFrame:
-    """One row: tweets and words in all and by class, and the size of the vocabulary."""
+    """One row: tweets and words in all and by class, and the size of the vocabulary.  Words are summed from the counts of
+    nb_counts, whose shuffle is read again, so that texts are split once."""
     names = ((4, "positive"), (2, "neutral"), (0, "negative"))
     t = tweets.agg(F.count("*").alias("total_tweets"), *(F.count_if(F.col("class") == c).alias(f"{n}_tweets") for c, n in names))
-    w = words.agg(F.countDistinct("word").alias("vocabulary"), *(F.count_if(F.col("class") == c).alias(f"{n}_words") for c, n in names))
+    w = _by_word(words).agg(F.count("word").alias("vocabulary"), *(F.coalesce(F.sum(f"c{c}"), F.lit(0)).alias(f"{n}_words") for c, n in names))
     return t.crossJoin(w)
 
 
@@ -75,7 +79,8 @@ def nb_scores(model: DataFrame, stats: DataFrame, tweets: DataFrame, at_only: bo
     """(tweet_id, class, probability): prior times the product over the words of each tweet, matched without case.
     Unknown words are passed over; a tweet without known words has no row."""
     words = tweets.select("tweet_id", F.explode(tx.space_tokens(tx.clean_tweet(F.col("text"), at_only))).alias("w")).select("tweet_id", F.lower("w").alias("w"))
-    met = words.join(model, F.col("w") == F.lower("word"))
+    # the key of the model is never null, so that no filter is inferred there and its shuffle is the one of the counts
+    met = words.where("w IS NOT NULL").join(model, F.col("w") == F.coalesce(F.lower("word"), F.lit("")))
     logs = met.groupBy("tweet_id", "class").agg(F.sum(F.ln("p")).alias("lp"))
     prior = _of_class("tweets") / F.col("total_tweets")
     return logs.crossJoin(F.broadcast(stats)).select("tweet_id", "class", (prior * F.exp("lp")).alias("probability"))
@@ -140,3 +145,8 @@ def parsed_sum(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFr
     """Sums of the values that are numbers, by key; and the rows whose values are not, as they are."""
     number = F.col(value).try_cast("double")
     return rows.where(number.isNotNull()).groupBy(key).agg(F.sum(number).alias("total")), rows.where(number.isNull() & F.col(value).isNotNull())
+
+
+def record_count(rows: DataFrame) -> DataFrame:
+    """(records): how many records there are, whatever tweet they are of."""
+    return rows.agg(F.count("*").alias("records"))

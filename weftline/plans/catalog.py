@@ -4,26 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import graph, index, sentiment
+from weftline.operators import graph, index, sentiment, staging
+from weftline.sources import readers, writers
 from weftline.sources.readers import table
 
 TERMS = ["the", "und", "stupid"]
 TWEET = "The und of idiot pour"
 #: A short stop list for the queries; the operators take any.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "der", "die", "und", "de", "la"]
-LEXICON = [("happy", 3), ("sad", -2), ("meh", 0), ("vulnerable", 2), ("vulnerable", -2), ("happy", 3), ("not good", -1)]
-WIKI = [
-    "<title>A</title> [[B]] [[C|x]] [[]] <text xml:space='p'>big &lt;b&gt;cat&lt;/b&gt;  &amp;amp; dog</text>",
-    "<title>B</title> [[C]] [[C]]",
-    "<title>C</title> [[C [[D]] <text>a &quot;q&quot; a</text>",
-    "no title [[E]]",
-    "<title>A</title> [[D]]",
-]
-TWEETS = ['"0","1","Mon","NO_QUERY","u","a, ""b"" c"', '"4","2","Tue","q","v","plain"', '"2","3","Wed, 1","q","w","x,y,z"']
 CLASS = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 4 ELSE 2 END"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,10 +116,10 @@ def search_ignore_case(spark, d):
 RANKED = TFIDF + f", hit AS (SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE term IN ({_sql_list(TERMS)}) GROUP BY doc_id)\n"
 
 
-@query(RANKED + "SELECT doc_id, score FROM hit")
+@query(RANKED + "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS position, doc_id, score FROM hit")
 def rank_desc(spark, d):
-    """Hits in one global order: a range-partitioned sort, not one task."""
-    return index.rank(search_exact(spark, d))
+    """Hits in one global order, with their places: a range-partitioned sort, not one task."""
+    return index.positions(search_exact(spark, d)).select("position", "doc_id", "score")
 
 
 @query(RANKED + "SELECT doc_id, score FROM hit ORDER BY score DESC, doc_id LIMIT 30")
@@ -155,7 +147,7 @@ def _clean_sql(at_only: bool) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(text, '{tx.URL}', '', 'gi'), '{handle}', '', 'gi'), '{tx.NOT_PLAIN}', '', 'g')"
 
 
-EXTRA = [(-1, "@switchfoot http://x.co/2y - Awww, that's"), (-2, "see http://x.co/a?b=c @bob @bobby"), (-3, "mail a@b.de, ftp://h/p+q")]
+EXTRA = [(-1, "@rivergate http://q.io/7k - Oh well, that's"), (-2, "see http://x.co/a?b=c @bob @bobby"), (-3, "mail a@b.de, ftp://h/p+q")]
 
 
 def _texts(spark, d):
@@ -206,24 +198,38 @@ def link_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(tx.href_links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"SELECT page, replace(replace(link, '[[', ''), ']]', '') AS link FROM (SELECT page, unnest(regexp_extract_all(line, '\\[\\[.*?\\]\\]')) AS link FROM (VALUES {_values(enumerate(WIKI))}) AS t(page, line))"
+# A wiki line made of each page: its title, links as [[...]], and its HTML escaped once more as the body.
+LINE_SQL = (
+    "wiki AS (SELECT page_id, regexp_replace(regexp_replace(html, 'href=\"([^\"]*)\"', '[[\\1]]', 'g'), '[\\r\\n]', ' ', 'g') AS linked, "
+    "CASE WHEN page_id % 3 = 0 THEN '' ELSE ' <text xml:space=\"preserve\">' || replace(replace(regexp_replace(html, '[\\r\\n]', ' ', 'g'), '<', '&lt;'), '>', '&gt;') || ' &#65;&eacute;&nope;</text>' END AS body FROM pages), "
+    "line AS (SELECT page_id, linked || body || '[[ [[odd]]' AS line FROM wiki)"
 )
+
+
+def _wiki(spark, d):
+    flat = F.regexp_replace("html", r"[\r\n]", " ")
+    linked = F.regexp_replace(F.regexp_replace("html", 'href="([^"]*)"', "[[$1]]"), r"[\r\n]", " ")
+    escaped = F.replace(F.replace(flat, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(' <text xml:space="preserve">'), escaped, F.lit(" &#65;&eacute;&nope;</text>")))
+    return table(spark, d, "pages").select("page_id", F.concat(linked, body, F.lit("[[ [[odd]]")).alias("line"))
+
+
+@query(f"WITH {LINE_SQL} SELECT page_id, link, count(*) AS n FROM (SELECT page_id, replace(replace(unnest(regexp_extract_all(line, '\\[\\[.*?\\]\\]')), '[[', ''), ']]', '') AS link FROM line) GROUP BY ALL")
 def wiki_link_extract(spark, d):
-    rows = spark.createDataFrame(list(enumerate(WIKI)), "page int, line string")
-    return rows.select("page", F.explode(tx.wiki_links(F.col("line"))).alias("link"))
+    links = _wiki(spark, d).select("page_id", F.explode(tx.wiki_links(F.col("line"))).alias("link"))
+    return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
+# The entities that the pages hold, the ampersand last so that nothing is resolved twice.
 BODY_SQL = (
-    "regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(line, '<text(.*?)</text>', 1), '^[^>]*>', ''), "
-    "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<.*?>', '', 'g')"
+    "regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(line, '<text(.*?)</text>', 1), '^[^>]*>', ''), "
+    "'&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&#65;', 'A'), '&eacute;', 'é'), '&amp;', '&'), '<.*?>', '', 'g')"
 )
 
 
-@query(f"SELECT page, {BODY_SQL} AS body FROM (VALUES {_values(enumerate(WIKI))}) AS t(page, line) WHERE regexp_matches(line, '<text(.*?)</text>')")
+@query(f"WITH {LINE_SQL} SELECT page_id, {BODY_SQL} AS body FROM line WHERE regexp_matches(line, '<text(.*?)</text>')")
 def wiki_text_strip(spark, d):
-    rows = spark.createDataFrame(list(enumerate(WIKI)), "page int, line string")
-    return rows.select("page", tx.wiki_body(F.col("line")).alias("body")).where("body IS NOT NULL")
+    return _wiki(spark, d).select("page_id", tx.wiki_body(F.col("line")).alias("body")).where("body IS NOT NULL")
 
 
 EDGES = "edge AS (SELECT src, dst FROM (SELECT regexp_extract(html, '<title>(.*?)</title>', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages WHERE regexp_matches(html, '<title>.*?</title>')) WHERE dst <> '')"
@@ -285,51 +291,58 @@ def pagerank_dense(spark, d):
 # --- wiki search --------------------------------------------------------------------------------------------------
 
 
+WIKI_TERMS = ["tion", "que"]
+
+
 @query(
-    f"WITH p AS (SELECT regexp_extract(line, '<title>(.*?)</title>', 1) AS doc_id, CASE WHEN regexp_matches(line, '<text(.*?)</text>') THEN {BODY_SQL} END AS body FROM (VALUES {_values(enumerate(WIKI))}) AS t(page, line) WHERE regexp_matches(line, '<title>.*?</title>')), "
+    f"WITH {LINE_SQL}, p AS (SELECT regexp_extract(line, '<title>(.*?)</title>', 1) AS doc_id, CASE WHEN regexp_matches(line, '<text(.*?)</text>') THEN {BODY_SQL} END AS body FROM line WHERE regexp_matches(line, '<title>.*?</title>')), "
     "w AS (SELECT doc_id, unnest(string_split(rtrim(body, ' '), ' ')) AS term FROM p WHERE body IS NOT NULL), wc AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM wc GROUP BY term) "
-    "SELECT doc_id, round(sum((1 + log10(n)) * log10(1 + (SELECT count(*) FROM p) // df)), 6) AS score FROM wc JOIN f USING (term) WHERE contains(term, 'ca') OR contains(term, 'dog') GROUP BY doc_id"
+    f"SELECT doc_id, round(sum((1 + log10(n)) * log10(1 + (SELECT count(*) FROM p) // df)), 6) AS score FROM wc JOIN f USING (term) WHERE {' OR '.join(f'contains(term, {_sql_list([t])})' for t in WIKI_TERMS)} GROUP BY doc_id"
 )
 def wiki_search(spark, d):
     """Pages to titles and bodies, space tokens, TF-IDF over pages with a title, substring search, ranked."""
-    from weftline.sources.readers import wiki_pages
-
-    pages = wiki_pages(spark.createDataFrame([(w,) for w in WIKI], "line string")).select(F.col("title").alias("doc_id"), F.col("body").alias("text"))
+    pages = readers.wiki_pages(_wiki(spark, d)).select(F.col("title").alias("doc_id"), F.col("body").alias("text"))
     terms = index.space_terms(pages.where("text IS NOT NULL"))
-    return index.rank(index.search(index.tfidf(index.word_count(terms), pages.agg(F.count("*").alias("n_docs"))), ["ca", "dog"], "substring").withColumn("score", r6("score")))
+    return index.rank(index.search(index.tfidf(index.word_count(terms), pages.agg(F.count("*").alias("n_docs"))), WIKI_TERMS, "substring").withColumn("score", r6("score")))
 
 
 # --- lexicon ------------------------------------------------------------------------------------------------------
 
-
-def _lexicon(spark):
-    return spark.createDataFrame(LEXICON, "term string, score int")
+# A lexicon made of the words of all conversations: each with one or two scores, every pair several times.
+LEX = (
+    "lex AS (SELECT DISTINCT term, CAST(length(term) % 7 - 3 + step AS INTEGER) AS score FROM (SELECT unnest(string_split(lower(text), ' ')) AS term FROM conversations WHERE text IS NOT NULL), "
+    "(VALUES (0), (1)) AS t(step) WHERE term <> '' AND (step = 0 OR length(term) % 2 = 0))"
+)
 
 
-LEX = f"lex AS (SELECT DISTINCT * FROM (VALUES {_values(LEXICON)}) AS t(term, score))"
+def _lexicon(spark, d):
+    words = table(spark, d, "conversations").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where("term <> ''")
+    steps = words.select("term", F.explode(F.when(F.length("term") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("step"))
+    return steps.select("term", (F.length("term") % 7 - 3 + F.col("step")).cast("int").alias("score"))
 
 
 @query(f"WITH {LEX} SELECT term, score FROM lex")
 def lexicon_dedup(spark, d):
-    return sentiment.lexicon(_lexicon(spark))
+    return sentiment.lexicon(_lexicon(spark, d))
+
+
+ASKED = ["The", "the", "that", "of", "zzzz", "thention"]
 
 
-@query(f"WITH {LEX}, a AS (SELECT avg(score) AS avg_score FROM lex WHERE lower(term) IN ('happy', 'vulnerable', 'zzz')) SELECT avg_score, CASE WHEN avg_score > 1 THEN 'positive' WHEN avg_score < -1 THEN 'negative' ELSE 'neutral' END AS label FROM a WHERE avg_score IS NOT NULL")
+@query(f"WITH {LEX}, a AS (SELECT avg(score) AS avg_score FROM lex WHERE term IN ({_sql_list(sorted({w.lower() for w in ASKED}))})) SELECT round(avg_score, 6) AS avg_score, CASE WHEN avg_score > 1 THEN 'positive' WHEN avg_score < -1 THEN 'negative' ELSE 'neutral' END AS label FROM a WHERE avg_score IS NOT NULL")
 def lexicon_classify(spark, d):
-    return sentiment.lexicon_classify(sentiment.lexicon(_lexicon(spark)), ["Happy", "happy", "vulnerable", "zzz"])
+    return sentiment.lexicon_classify(sentiment.lexicon(_lexicon(spark, d)), ASKED).withColumn("avg_score", r6("avg_score"))
 
 
 @query(
-    "WITH w AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(rtrim(text, ' '), ' '), lambda x: lower(x)))) AS word FROM documents WHERE text IS NOT NULL), "
-    "l AS (SELECT * FROM (VALUES ('the', 2), ('idiot', -3), ('stupid', -3), ('und', 1)) AS t(term, score)) "
-    "SELECT doc_id, round(avg(score), 6) AS avg_score, CASE WHEN avg(score) > 1 THEN 'positive' WHEN avg(score) < -1 THEN 'negative' ELSE 'neutral' END AS label FROM w JOIN l ON word = term GROUP BY doc_id"
+    f"WITH {LEX}, w AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(rtrim(text, ' '), ' '), lambda x: lower(x)))) AS word FROM documents WHERE text IS NOT NULL) "
+    "SELECT doc_id, round(avg(score), 6) AS avg_score, CASE WHEN avg(score) > 1 THEN 'positive' WHEN avg(score) < -1 THEN 'negative' ELSE 'neutral' END AS label FROM w JOIN lex ON word = term GROUP BY doc_id"
 )
 def lexicon_documents(spark, d):
     """Every document scored by a lexicon, joined, not filtered by a list."""
     from weftline.streaming.live import lexicon_scores
 
-    entries = spark.createDataFrame([("the", 2), ("idiot", -3), ("stupid", -3), ("und", 1)], "term string, score int")
-    met = lexicon_scores(table(spark, d, "documents"), entries).groupBy("doc_id").agg(F.avg("score").alias("a"))
+    met = lexicon_scores(table(spark, d, "documents"), sentiment.lexicon(_lexicon(spark, d))).groupBy("doc_id").agg(F.avg("score").alias("a"))
     label = F.when(F.col("a") > 1, "positive").when(F.col("a") < -1, "negative").otherwise("neutral")
     return met.select("doc_id", r6("a").alias("avg_score"), label.alias("label"))
 
@@ -448,13 +461,128 @@ def maxent_iterate(spark, d):
     return sentiment.maxent_iterate(sentiment.maxent_init(_turns(spark, d))).withColumn("lambda", r6("lambda"))
 
 
-@query(
-    "SELECT * FROM (VALUES (0, '1', '\"a, \"\"b\"\" c\"'), (4, '2', '\"plain\"'), (2, '3', '\"x,y,z\"')) AS t(class, tweet_id, text)"
+def _steps_sql(n: int) -> str:
+    ctes = [f's0 AS (SELECT *, 0.0::DOUBLE AS l FROM f0)']
+    for i in range(1, n + 1):
+        ctes.append(f"x{i} AS (SELECT *, sum(f * l) OVER (PARTITION BY tweet_id) AS x FROM s{i - 1}), s{i} AS MATERIALIZED (SELECT tweet_id, class, word, f, l + sum(f) OVER w / sum(f * exp(x) / exp(x + 2)) OVER w AS l FROM x{i} WINDOW w AS (PARTITION BY tweet_id))")
+    return MAXENT + ", " + ", ".join(ctes) + f' SELECT tweet_id, class, word, f, round(l, 6) AS "lambda" FROM s{n}'
+
+
+# Tweets of few words: exp() of the weighted counts of a long one is beyond a double after one step.
+@query(_steps_sql(3).replace("FROM conversations)", "FROM (SELECT conv_id, turn, substr(text, 1, 24) AS text FROM conversations))"))
+def maxent_three_steps(spark, d):
+    short = _turns(spark, d).withColumn("text", F.substring("text", 1, 24))
+    return sentiment.maxent_iterate(sentiment.maxent_init(short), 3).withColumn("lambda", r6("lambda"))
+
+
+@query(MAXENT + ", r AS (SELECT tweet_id, count(*) AS n FROM f0 GROUP BY tweet_id) SELECT sum(n)::BIGINT AS records FROM r")
+def maxent_record_count(spark, d):
+    return sentiment.record_count(sentiment.maxent_init(_turns(spark, d)))
+
+
+@query(MAXENT + ", j AS (SELECT tweet_id, string_agg(word || ':' || class || ':' || CAST(CAST(f AS BIGINT) AS VARCHAR) || ':0', ' ' ORDER BY word) AS records FROM f0 GROUP BY tweet_id) SELECT tweet_id, sha256(records) AS records FROM j")
+def maxent_tweet_records(spark, d):
+    rows = sentiment.maxent_records(sentiment.maxent_init(_turns(spark, d)))
+    told = F.transform("records", lambda r: F.concat_ws(":", r["word"], r["class"].cast("string"), r["f"].cast("long").cast("string"), r["lambda"].cast("long").cast("string")))
+    return rows.select("tweet_id", F.sha2(F.array_join(told, " "), 256).alias("records"))
+
+
+TWEET_SQL = (
+    "tweet_line AS (SELECT conv_id * 1000 + turn AS id, (turn % 3) * 2 AS class, replace(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '\"', '') AS text FROM conversations WHERE text IS NOT NULL)"
 )
+
+
+def _tweet_lines(spark, d):
+    flat = F.replace(F.regexp_replace("text", r"[\r\n]", " "), F.lit('"'), F.lit(""))
+    rows = table(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), ((F.col("turn") % 3) * 2).alias("class"), flat.alias("text"))
+    return rows.select(F.concat(F.lit('"'), F.concat_ws('","', F.col("class").cast("string"), F.col("id").cast("string"), F.lit("Mon, 1"), F.lit("NO_QUERY"), F.lit("u"), "text"), F.lit('"')).alias("line"))
+
+
+@query(f"WITH {TWEET_SQL} SELECT CAST(class AS INTEGER) AS class, CAST(id AS VARCHAR) AS tweet_id, '\"' || text || '\"' AS text FROM tweet_line")
 def tweet_csv_parse(spark, d):
-    from weftline.sources.readers import tweet_lines
+    return readers.tweet_lines(_tweet_lines(spark, d))
+
+
+# --- sources and sinks: written, and read back ----------------------------------------------------------------------
+
+
+def _path(spark) -> str:
+    return staging.new_path(spark)
+
+
+@query(f"WITH {TWEET_SQL} SELECT CAST(class AS INTEGER) AS class, CAST(id AS VARCHAR) AS tweet_id, trim(text) AS text FROM tweet_line")
+def tweet_csv_source(spark, d):
+    """A CSV file of tweets with a line in seven that is no tweet; those are dropped."""
+    lines = _tweet_lines(spark, d)
+    broken = lines.where(F.xxhash64("line") % 7 == 0).select(F.lit('"x"').alias("line"))
+    lines.unionByName(broken).write.text(path := _path(spark))
+    return readers.tweets(spark, path, malformed="drop").select("class", "tweet_id", F.trim("text").alias("text"))
+
+
+@query("SELECT c_custkey || chr(9) || c_name AS line, 4 AS files FROM customer")
+def text_sink_lines(spark, d):
+    """Key and value with a tab, as lines with the number of files that they stand in; no success file among them."""
+    path = _path(spark)
+    writers.text(table(spark, d, "customer").select("c_custkey", "c_name").repartition(4), path, success_file=False)
+    files = readers.file_count(spark, path).select(F.col("n_docs").cast("int").alias("files"))
+    return readers.text_lines(spark, path, drop_empty=True).select("line").crossJoin(F.broadcast(files))
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS term, CAST(count(*) AS VARCHAR) AS n FROM lineitem GROUP BY l_partkey")
+def separated_reread(spark, d):
+    """A stage's own output under another separator, read again by the next; lines without separator are dropped."""
+    path = _path(spark)
+    counts = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    writers.text(counts, f"{path}/part=0", sep="#####")
+    table(spark, d, "nation").select(F.col("n_name").alias("value")).write.text(f"{path}/part=1")
+    return readers.separated(spark, [f"{path}/part=0", f"{path}/part=1"], ["term", "n"], "#####")
+
 
-    return tweet_lines(spark.createDataFrame([(t,) for t in TWEETS], "line string"))
+@query("SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, c_custkey || '|' || c_name AS line, 1 AS files FROM customer")
+def single_file_sink(spark, d):
+    """One file in order: the place of each line in it."""
+    path = _path(spark)
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    writers.single_sorted_text(rows.orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_name", "c_acctbal"), path, F.desc("c_acctbal"), "c_custkey", sep="|")
+    n = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    files = n.agg(F.countDistinct("f").cast("int").alias("files"))
+    placed = n.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy("i")).cast("long"))
+    return placed.select("place", F.regexp_replace("value", r"\|[^|]*$", "").alias("line")).crossJoin(F.broadcast(files))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def write_once_sink(spark, d):
+    path = _path(spark)
+    writers.once(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    writers.once(table(spark, d, "nation").select("n_nationkey", F.lit("again").alias("n_name")), path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {LEX} SELECT term, score FROM lex WHERE NOT contains(term, chr(9)) AND NOT contains(term, chr(10)) AND NOT contains(term, chr(13)) AND trim(term) = term")
+def lexicon_source(spark, d):
+    """Two lexicon files, read as one and without the rows that repeat."""
+    path = _path(spark)
+    rows = _lexicon(spark, d).where(r"NOT term rlike '[\t\r\n]' AND trim(term) = term")
+    for n in (0, 1):
+        writers.text(rows.where(F.length("term") % 2 >= n), f"{path}/file{n}")
+    return sentiment.lexicon(readers.lexicon(spark, [f"{path}/file0", f"{path}/file1"]))
+
+
+@query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE term IN ({_sql_list(TERMS)}) GROUP BY doc_id")
+def postings_lookup(spark, d):
+    """The index written once, and a search that reads only the buckets of its words."""
+    path = _path(spark)
+    writers.postings(_postings(spark, d), path, 16)
+    return index.search(writers.read_postings(spark, path, TERMS, 16), TERMS).withColumn("score", r6("score"))
+
+
+@query(
+    "SELECT event_type, round(sum(value) FILTER (event_id % 5 <> 0), 6) AS total FROM events GROUP BY event_type HAVING count(*) FILTER (event_id % 5 <> 0) > 0"
+)
+def parseable_sum(spark, d):
+    """Sums of the values that are numbers, where every fifth is not."""
+    value = F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return sentiment.parsed_sum(table(spark, d, "events").select("event_type", value.alias("v")), "event_type", "v")[0].withColumn("total", r6("total"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

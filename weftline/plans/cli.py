@@ -1,4 +1,6 @@
-"""Command line: python -m weftline.plans.cli PIPELINE IN OUT [WORDS ...]."""
+"""Command line: python -m weftline.plans.cli PIPELINE IN OUT [WORDS ...] [--stop-words FILE].
+
+`index` writes an index once that `lookup` searches as often as wanted: its IN is the OUT of `index`."""
 
 from __future__ import annotations
 
@@ -8,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import graph, index, sentiment
+from weftline.operators import graph, index, sentiment, staging
 from weftline.sources import readers, writers
 
 
@@ -18,7 +20,7 @@ def _terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pagerank(spark, path, words) -> DataFrame:
-    lines = readers.text_lines(spark, path).cache()
+    lines = readers.text_lines(spark, path)
     e = graph.edges(lines, "line")
     return index.rank(graph.pagerank(e, graph.nodes(lines, e, "line")).select(F.col("id").alias("doc_id"), F.col("rank").alias("score")))
 
@@ -39,6 +41,11 @@ def search(spark, path, words) -> DataFrame:
     return index.rank(index.search(tfidf(spark, path, words), words))
 
 
+def lookup(spark, path, words) -> DataFrame:
+    """Documents of an index written by `index`; only the buckets of the words are read."""
+    return index.rank(index.search(writers.read_postings(spark, path, words), words))
+
+
 def wikisearch(spark, path, words) -> DataFrame:
     pages = readers.wiki_pages(readers.text_lines(spark, path)).select(F.col("title").alias("doc_id"), F.col("body").alias("text"))
     postings = index.tfidf(index.word_count(index.space_terms(pages.where("text IS NOT NULL"))), pages.agg(F.count("*").alias("n_docs")))
@@ -49,7 +56,13 @@ def lexicon(spark, path, words) -> DataFrame:
     return sentiment.lexicon_classify(sentiment.lexicon(readers.lexicon(spark, path.split(","))), words)
 
 
-def _stop_words() -> list[str]:
+#: A path to a stop list; without one, Spark's own English list.
+STOP_WORDS: list[str] = []
+
+
+def _stop_words(spark) -> list[str]:
+    if STOP_WORDS:
+        return readers.stop_words(spark, STOP_WORDS[0])
     from pyspark.ml.feature import StopWordsRemover
 
     return StopWordsRemover.loadDefaultStopWords("english")
@@ -61,32 +74,38 @@ def _tweets(spark, path) -> DataFrame:
 
 def naivebayes(spark, path, words) -> DataFrame:
     tweets = _tweets(spark, path)
-    known = sentiment.nb_words(tweets, _stop_words())
+    known = sentiment.nb_words(tweets, _stop_words(spark))
     stats = sentiment.nb_stats(tweets, known)
     asked = spark.createDataFrame([("query", " ".join(words))], "tweet_id string, text string")
     return sentiment.nb_classify(sentiment.nb_model(sentiment.nb_counts(known), stats), stats, asked)
 
 
 def knn(spark, path, words) -> DataFrame:
-    return sentiment.knn_class_scores(sentiment.knn_neighbours(sentiment.knn_index(_tweets(spark, path), _stop_words()), words))
+    return sentiment.knn_class_scores(sentiment.knn_neighbours(sentiment.knn_index(_tweets(spark, path), _stop_words(spark)), words))
 
 
 def maxent(spark, path, words) -> DataFrame:
     return sentiment.maxent_iterate(sentiment.maxent_init(_tweets(spark, path)))
 
 
-PIPELINES = {f.__name__: f for f in (pagerank, wordcount, tf, tfidf, search, wikisearch, lexicon, naivebayes, knn, maxent)}
+PIPELINES = {f.__name__: f for f in (pagerank, wordcount, tf, tfidf, search, lookup, wikisearch, lexicon, naivebayes, knn, maxent)}
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
-    p.add_argument("pipeline", choices=PIPELINES)
+    p.add_argument("pipeline", choices=[*PIPELINES, "index"])
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("words", nargs="*")
+    p.add_argument("--stop-words", help="a file of stop words, one a line")
     a = p.parse_args(argv)
+    STOP_WORDS[:] = [a.stop_words] if a.stop_words else []
     spark = SparkSession.builder.appName(f"weftline-{a.pipeline}").getOrCreate()
-    writers.text(PIPELINES[a.pipeline](spark, a.input, a.words), a.output)
+    if a.pipeline == "index":
+        writers.postings(tfidf(spark, a.input, a.words), a.output)
+    else:
+        writers.text(PIPELINES[a.pipeline](spark, a.input, a.words), a.output)
+    staging.clear(spark)
 
 
 if __name__ == "__main__":

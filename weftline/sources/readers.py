@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +27,30 @@ def file_count(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n_docs"))
 
 
-def wiki_pages(lines: DataFrame, column: str = "line", all_entities: bool = False) -> DataFrame:
+def wiki_pages(lines: DataFrame, column: str = "line") -> DataFrame:
     """(title, body, links) of the lines that have a title, one page a line."""
     page = F.col(column)
-    rows = lines.select(tx.title(page).alias("title"), tx.wiki_body(page, all_entities).alias("body"), tx.wiki_links(page).alias("links"))
+    rows = lines.select(tx.title(page).alias("title"), tx.wiki_body(page).alias("body"), tx.wiki_links(page).alias("links"))
     return rows.where("title IS NOT NULL")
 
 
-def tweets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Six quoted fields a line; a line of other form stops the read."""
-    return spark.read.schema(TWEET).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(paths)
+def tweets(spark: SparkSession, paths: str | list[str], malformed: str = "fail") -> DataFrame:
+    """Six quoted fields a line; a line of other form stops the read, or with malformed="drop" is left out."""
+    mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}[malformed]
+    return spark.read.schema(TWEET).option("quote", '"').option("escape", '"').option("mode", mode).csv(paths)
+
+
+def separated(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = "\t") -> DataFrame:
+    """What writers.text writes, read again as strings.  A line with fewer fields than columns is left out, and more fields
+    belong to the last."""
+    parts = F.split("value", re.escape(sep), len(columns))
+    return spark.read.text(path).where(F.size(parts) == len(columns)).select(*(parts[i].alias(c) for i, c in enumerate(columns)))
+
+
+def stop_words(spark: SparkSession, path: str) -> list[str]:
+    """The words of a stop list, one a line or parted by commas or space.  Meant for lists of some hundred words."""
+    found = spark.read.text(path).select(F.explode(F.split("value", r"[\s,]+")).alias("w")).where("w <> ''").distinct()
+    return sorted(r.w for r in found.collect())
 
 
 def tweet_lines(lines: DataFrame, column: str = "line") -> DataFrame:

@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _lines(df: DataFrame, sep: str) -> DataFrame:
+    return df.select(F.concat_ws(sep, *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias("value"))
+
+
 def text(df: DataFrame, path: str, sep: str = "\t", success_file: bool = True) -> None:
-    df.write.option("sep", sep).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(success_file).lower()).csv(path)
+    """Fields parted by sep, one row a line, as readers.separated reads them: nothing is quoted, nulls are empty."""
+    _lines(df, sep).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(success_file).lower()).text(path)
+
+
+#: Rows that one file may get.
+ONE_FILE = 10_000_000
 
 
-def single_sorted_text(df: DataFrame, path: str, *order, sep: str = "\t") -> None:
-    """One ordered file; meant for results of bounded size, such as a top-k."""
-    df.orderBy(*order).coalesce(1).write.option("sep", sep).csv(path)
+def single_sorted_text(df: DataFrame, path: str, *order, sep: str = "\t", most: int = ONE_FILE) -> None:
+    """One ordered file, for results of bounded size, such as a top-k; more rows than `most` are refused."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows for one file; sort them into ranges instead")
+    _lines(df.orderBy(*order), sep).coalesce(1).write.text(path)
 
 
 def postings(df: DataFrame, path: str, buckets: int = 256) -> None:
