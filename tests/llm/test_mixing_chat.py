@@ -89,7 +89,7 @@ def test_splitting_tree_is_hypergeometric(spark):
 
 
 def test_mix_places(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS copy", "2 AS _k1", "3 AS _shards")
     plan = {r.doc_id: r for r in mixing.plan(docs).collect()}
     placed = mixing.mix(docs, with_place=True)
@@ -103,7 +103,7 @@ def test_mix_places(spark, monkeypatch):
     ids = [r.doc_id for r in rows if r.shard == 0]
     assert ids != sorted(ids)
     assert mixing.mix(docs).columns == docs.columns
-    assert mixing.tree_depth(1e15) == (mixing.DEEPEST, -(-10**15 // 20_000 // 2**mixing.DEEPEST))
+    assert mixing.tree_depth(1e15) == (mixing.DEEPEST, -(-10**15 // 5_000 // 2**mixing.DEEPEST))
 
 
 def test_very_many_alike_rows(spark):

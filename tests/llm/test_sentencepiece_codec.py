@@ -21,9 +21,9 @@ def want(t):
 
 
 def test_odd_texts_and_small_table(monkeypatch):
-    assert codec.Codec(MODEL).by_chunk
+    assert codec.Codec(open(MODEL, "rb").read()).by_chunk
     monkeypatch.setattr(codec, "TABLE_CHUNKS", 3)
-    c = codec.Codec(MODEL)
+    c = codec.Codec(open(MODEL, "rb").read())
     for t in ODD:
         ids, text = next(iter(c.documents([t])))
         assert (len(ids.split(",")) if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) == want(t), t
@@ -39,5 +39,6 @@ def test_documents(spark):
 def test_encode_keeps_columns(spark):
     df = spark.createDataFrame([(None, "a b", 1, "z"), (1, None, 2, "y"), (1, None, 2, "y")], "doc_id long, text string, ids int, lang string")
     rows = codec.encode(df, MODEL, decoded="back").collect()
-    assert [r.back for r in rows] == ["a b", "", ""] and rows[1].ids == [] and rows[0].lang == "z"
+    assert [r.back for r in rows] == ["a b", "", ""] and rows[1]._ids == [] and rows[0].ids == 1 and rows[0].lang == "z"
+    assert codec.encode(df.drop("ids").withColumn("Back", df.lang), open(MODEL, "rb").read(), decoded="back").columns == ["doc_id", "text", "lang", "Back", "ids", "_back"]
     assert codec.digest(df.limit(0), MODEL).count() == 0

@@ -13,7 +13,7 @@ The model's bytes are read where the plan is made and sent to the tasks, so that
 Defined results: a null text is empty and has no ids; a NUL or an unknown character is encoded by bytes; U+2581 in a
 text is a space, as in the library; a very long text is one row, and its chunks are put together 256 rows at a time;
 repeated rows are encoded alike, and ties cannot arise; an empty table gives an empty table; other columns are ignored by
-`digest` and kept by `encode`, which refuses names for its own columns that the table has.
+`digest` and kept by `encode`, whose own columns get underscores before their names where the table has such.
 """
 
 from __future__ import annotations
@@ -111,9 +111,11 @@ def _sent(docs: DataFrame, model: str | bytes):
 
 def encode(docs: DataFrame, model: str | bytes, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with the ids of its texts as array<int>, and if named, the text decoded from them."""
-    clash = {c.lower() for c in docs.columns} & {c.lower() for c in (ids, decoded) if c}
-    if clash:
-        raise ValueError(f"docs has columns of these names already: {sorted(clash)}")
+    have = {c.lower() for c in docs.columns}
+    while ids.lower() in have:
+        ids = f"_{ids}"
+    while decoded and decoded.lower() in have | {ids.lower()}:
+        decoded = f"_{decoded}"
     bound_batches(docs.sparkSession)
     sent = _sent(docs, model)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
