@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bound_batches
+from weftline.llm.common import bound_batches, stage, unstage
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 10.0
@@ -262,7 +262,17 @@ def corpus_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY_WOR
         yield counted(words)
 
     each = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in each.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = stage(each)
+    # a histogram of the counts by powers of two tells which words can be among the first, so that few are put in order
+    size = F.floor(F.log2("n")).cast("int")
+    some, least = 0, 0
+    for r in sorted(counts.groupBy(size.alias("b")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.b):
+        some, least = some + r.words, r.b
+        if some >= most:
+            break
+    first = counts.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(most).collect()
+    unstage(counts)
+    return [r.word for r in first]
 
 
 def _ranked(docs: DataFrame, text: str, words: Sequence[str] | None):
