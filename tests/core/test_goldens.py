@@ -61,6 +61,10 @@ def test_boundary_tokens_as_java_splits(spark):
         while kept and not kept[-1]:
             kept.pop()
         assert (r.some, r.every) == ([w for w in r.p if w], kept), repr(r.t)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id int, text string")
+    terms = index.word_count(index.boundary_terms(rows)).collect()
+    want = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id int, t string").select("doc_id", F.explode(tx.boundary_tokens(F.col("t"))).alias("term")).groupBy("doc_id", "term").count().collect()
+    assert {tuple(r) for r in terms} == {tuple(r) for r in want}
     import time
 
     long = spark.createDataFrame([("x" + " " * 200_000 + "y",)], "t string").select(tx.boundary_tokens(F.col("t")).alias("w"))
@@ -100,6 +104,17 @@ def test_hubs_of_a_graph(spark, monkeypatch):
     assert got == pytest.approx(rank) and want == pytest.approx(rank)
 
 
+def test_without_the_corpus_operators(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__ as e
+
+    from weftline.plans import catalog
+
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
+    assert e.queries() == catalog.QUERIES and e.oracle_sql() == catalog.ORACLES
+
+
 def test_positions(spark):
     hits = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "doc_id long, score double")
     got = sorted((r.position, r.doc_id) for r in index.positions(hits, tasks=6).collect())

@@ -31,12 +31,27 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), LINE_END)
 
 
+def runs(line: Column) -> Column:
+    """Runs of word characters and runs of others, by turns."""
+    return F.regexp_extract_all(line, F.lit(RUN), F.lit(0))
+
+
+def begins_with_word(line: Column) -> Column:
+    return line.rlike(r"^[\p{L}\p{Nd}_]")
+
+
+def bare_run(run: Column, i: Column, n: Column, word_first: Column) -> Column:
+    """Run i of n without the space that touches a run of the other kind; only runs of others can have any."""
+    inner = F.when(run == " ", F.lit("")).when((i > 0) & (i < n - 1), F.btrim(run, F.lit(SPACE))).when(i > 0, F.ltrim(run, F.lit(SPACE))).when(n > 1, F.rtrim(run, F.lit(SPACE))).otherwise(run)
+    return F.when(((i % 2) == 0) == word_first, run).when(n == 1, run).otherwise(inner)
+
+
 def boundary_tokens(line: Column, keep_empty: bool = False) -> Column:
     """Runs of word characters and runs of others, without the space that touches a run of the other kind.
 
     keep_empty keeps inner empty tokens and drops the trailing ones: a word after space has an empty token before it, and
     a line that begins with space has one more.  Linear in the line, whatever it holds."""
-    runs = F.regexp_extract_all(line, F.lit(RUN), F.lit(0))
+    found = runs(line)
 
     def bare(all_runs: Column) -> Column:
         n = F.size(all_runs)
@@ -46,7 +61,7 @@ def boundary_tokens(line: Column, keep_empty: bool = False) -> Column:
         )
 
     if not keep_empty:
-        return F.filter(_let(runs, bare), lambda w: w != "")
+        return F.filter(_let(found, bare), lambda w: w != "")
 
     def parted(all_runs: Column) -> Column:
         none = F.array().cast("array<string>")
@@ -58,7 +73,7 @@ def boundary_tokens(line: Column, keep_empty: bool = False) -> Column:
         last = F.aggregate(F.transform(parts, lambda w, i: F.when(w != "", i + 1).otherwise(0)), F.lit(0), lambda a, i: F.greatest(a, i))
         return F.slice(parts, F.lit(1), last)
 
-    return _let(_let(runs, parted), ended)
+    return _let(_let(found, parted), ended)
 
 
 def space_tokens(text: Column) -> Column:

@@ -13,8 +13,12 @@ KEYS = 8
 
 
 def boundary_terms(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep_empty: bool = False) -> DataFrame:
-    """(doc_id, term): a row for each token of each line."""
+    """(doc_id, term): a row for each token of each line.  Tokens are cut to size after they are rows, in generated code."""
     by_line = docs.select(F.col(id_column).alias("doc_id"), F.explode(tx.lines(F.col(text))).alias("line"))
+    if not keep_empty:
+        found = by_line.select("doc_id", tx.runs(F.col("line")).alias("runs"), tx.begins_with_word(F.col("line")).alias("word_first"))
+        each = found.select("doc_id", "word_first", F.size("runs").alias("n"), F.posexplode("runs").alias("i", "run"))
+        return each.select("doc_id", tx.bare_run(F.col("run"), F.col("i"), F.col("n"), F.col("word_first")).alias("term")).where("term <> ''")
     return by_line.select("doc_id", F.explode(tx.boundary_tokens(F.col("line"), keep_empty)).alias("term"))
 
 

@@ -9,14 +9,12 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import text as tx
 from weftline.operators import graph, index, sentiment, staging
 from weftline.sources import readers, writers
 
 
 def _terms(spark: SparkSession, path: str) -> DataFrame:
-    lines = readers.text_lines(spark, path)
-    return lines.select("doc_id", F.explode(tx.boundary_tokens(F.col("line"))).alias("term"))
+    return index.boundary_terms(readers.text_lines(spark, path), text="line")
 
 
 def pagerank(spark, path, words) -> DataFrame:
