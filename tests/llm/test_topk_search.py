@@ -41,8 +41,9 @@ def test_scores_beyond_double_precision(spark):
     got = {tuple(r) for r in ts.search(df, df.where("vec_id % 50 = 0"), 5).collect()}
     assert got == brute(rows, 5)
     q = ts.Integers(np.array([1e300, 2.0**52 + 1, -1e300]), 3, 256)
-    c = ts.Integers(np.array([1e300, 3.0, 1e300, 0.0, 2.0**-8, 0.0]), 3, 256)
-    assert ts.scores(q, c, slice(0, 1)).tolist() == [[256 * (2**52 + 1) * 768, 256 * (2**52 + 1)]]
+    c = ts.Integers(np.array([1e300, 2.0**-7, 1e300, 0.0, 2.0**-8, 0.0]), 3, 256)
+    assert ts.scores(q, c, slice(0, 1)).tolist() == [[512 * (2**52 + 1), 256 * (2**52 + 1)]]
+    assert ts.scores(q, q, slice(0, 1)).tolist() == [[ts.MOST]]
 
 
 def test_few_and_none(spark):
