@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, mixing, near_duplicates, quality_model, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
+from weftline.llm import centroid_clustering, chat, embedding_dedup, mixing, near_duplicates, quality_model, quality_rules, ranking_ties, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
 from weftline.llm.common import documents
 
 
@@ -60,6 +60,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op12_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking_ties.rank_lines(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"), k=2)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,8 +83,32 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_ranking_ties": op12_ranking_ties,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
+FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds one after another; the least of 64 x distance + number gives both."""
+    ctes = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {FINE} AND len(embedding) = 64)",
+        f"s0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, e FROM (SELECT e, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT vec_id, v.e, CAST(min(64 * (list_dot_product(v.e, v.e) - 2 * list_dot_product(v.e, s.e) + list_dot_product(s.e, s.e)) + c) AS BIGINT) AS m FROM v CROSS JOIN s{i} s GROUP BY vec_id, v.e)")
+        if i < rounds:
+            ctes.append(f"n{i} AS (SELECT c, list(x ORDER BY pos) AS e FROM (SELECT c, pos, floor(sum(x) / count(*)) AS x FROM (SELECT m % 64 AS c, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{i}) GROUP BY c, pos) GROUP BY c)")
+            ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT s.c, coalesce(n.e, s.e) AS e FROM s{i} s LEFT JOIN n{i} n ON n.c = s.c)")
+    return f"""
+WITH {", ".join(ctes)}
+SELECT vec_id, CAST(m % 64 AS INTEGER) AS cluster, m // 64 AS distance, CAST(sum(m // 64) OVER (PARTITION BY m % 64) AS BIGINT) AS cluster_inertia, CAST(sum(m // 64) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(s.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN s{rounds} s ON s.c = m % 64
+"""
+
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": r"""
 WITH said AS (
@@ -123,6 +159,43 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_ranking_ties": r"""
+WITH id AS (
+  SELECT sale_id, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS crc
+  FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL)
+), pooled AS (
+  SELECT sale_id FROM id WHERE xor(crc, 4294967295) % 5 = 0
+), line AS (
+  SELECT CASE WHEN p.sale_id IS NOT NULL THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN p.sale_id IS NOT NULL THEN -1 ELSE coalesce(item_id % 5, -1) END AS part,
+    CASE WHEN p.sale_id IS NOT NULL THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,
+    l.sale_id, CAST(line_no AS BIGINT) AS line_no, CAST(quantity AS BIGINT) AS quantity, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent,
+    CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents, floor(quantity / 10) AS tens
+  FROM sale_lines l LEFT JOIN pooled p ON p.sale_id = l.sale_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+    count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM line
+)
+SELECT vendor_id, CAST(part AS BIGINT) AS part, CAST(month AS BIGINT) AS month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied FROM ranked WHERE pos <= 2
+""",
+    "op13_embedding_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE {FINE} AND label IS NOT NULL
+), u AS MATERIALIZED (
+  SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0
+), arc AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93 END
+), reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, arc.y FROM reach r JOIN arc ON arc.x = r.other
+), class AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+), degree AS (
+  SELECT x, count(*) AS n FROM arc GROUP BY x
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN class ON id = e.vec_id LEFT JOIN degree ON x = e.vec_id
 """,
     "op9_near_duplicates": r"""
 WITH RECURSIVE node AS (
