@@ -41,14 +41,14 @@ from weftline.llm.components import components
 THRESHOLD = 0.93
 BLOCKS = 8
 #: Vectors of a cell that meet in one task; more are cut into parts.
-CHUNK = 2048
+CHUNK = 8192
 #: Room for rounding in what only proposes a pair.
 SLACK = 1e-6
 SEED = 13
 #: Pairs whose vectors are compared at once.
 PAIRS = 1 << 15
 
-ROW = "cell binary, part int, node binary, copies long, home boolean, v array<double>"
+ROW = "cell binary, part int, node binary, copies long, home boolean, v {}"
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def _named(vectors: DataFrame) -> DataFrame:
         for b in batches:
             labels, v = b.column(1).to_pylist(), b.column(2)
             begin = v.offsets.to_numpy()
-            flat = v.values.to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+            flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zeros
             nodes: list[bytes | None] = []
             for i, label in enumerate(labels):
                 x = flat[begin[i] : begin[i + 1]]
@@ -135,7 +135,7 @@ def _named(vectors: DataFrame) -> DataFrame:
                 nodes.append(hashlib.blake2b(x.tobytes(), digest_size=16, key=label.encode()[:64] or b"\0", salt=hashlib.blake2b(label.encode(), digest_size=16).digest()).digest() if fine else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.binary())], names=["vec_id", "label", "v", "node"])
 
-    return vectors.mapInArrow(run, "vec_id long, label string, v array<double>, node binary")
+    return vectors.mapInArrow(run, f"vec_id long, label string, v {vectors.schema['v'].dataType.simpleString()}, node binary")
 
 
 def _dealt(nodes: DataFrame, axes: int, threshold: float) -> DataFrame:
@@ -162,7 +162,7 @@ def _dealt(nodes: DataFrame, axes: int, threshold: float) -> DataFrame:
                                 names=["cell", "part", "node", "copies", "home", "v"],
                             )
 
-    return nodes.mapInArrow(run, ROW)
+    return nodes.mapInArrow(run, ROW.format(nodes.schema["v"].dataType.simpleString()))
 
 
 class Union:
@@ -253,7 +253,7 @@ def _seated(dealt: DataFrame, chunk: int) -> DataFrame:
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    v = F.col(vector) if dict(vectors.dtypes)[vector] == "array<float>" else F.transform(F.col(vector), lambda x: x.cast("double"))
     whole = F.when(F.forall(v, lambda x: x.isNotNull()), v)
     named = _named(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), whole.alias("v")))
     # equal vectors of a label meet as counts; every row keeps the name of its node
