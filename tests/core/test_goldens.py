@@ -1,6 +1,7 @@
 """Hand-sized goldens of the operators (FIXTURES.md)."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,16 +73,24 @@ def test_boundary_tokens_as_java_splits(spark):
     assert long.first().w == ["x", "y"] and time.time() - began < 10
 
 
-def test_plans_read_texts_once(spark):
-    """One scan of documents in the TF-IDF family beside the count, one of the texts for the Naive Bayes model."""
+def test_plans_read_texts_once(spark, monkeypatch):
+    """One scan of documents in all in the TF-IDF family, one of documents and of labels for the Naive Bayes model."""
+    from weftline.operators import staging
     from weftline.plans import catalog
 
-    def plan(df):
-        df.collect()
-        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    plans = []
 
-    text = plan(catalog.tfidf(spark, "/root/testdata/sf0.001"))
-    assert text.count("ReusedExchange") >= 1 and text.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return staging.cut(df)
+
+    for module in (index, sentiment):
+        monkeypatch.setattr(module, "cut", noted)
+    for run, tables in ((catalog.tfidf, 1), (catalog.search_substring, 1), (catalog.nb_model, 2)):
+        plans.clear()
+        df = run(spark, "/root/testdata/sf0.001")
+        noted(df)
+        assert "".join(plans).count("/root/testdata") == tables
 
 
 def test_hubs_of_a_graph(spark, monkeypatch):
@@ -248,3 +257,79 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.doc_id, r.score) for r in spark.table("lex").collect()] == [(1, 2)]
+
+
+def _rank_edges(spark):
+    rng = random.Random(4)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(300)] + [("hub", f"n{i % 40}") for i in range(60)] + [("n1", "end")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    return pairs, edges, graph.endpoints(edges)
+
+
+@pytest.mark.parametrize("per_key", [100_000, 5])
+def test_pagerank_shuffles_links_once(spark, monkeypatch, per_key):
+    """After the layout, the only exchanges of a run are those of what links carry (and, with hubs, of what nodes give)."""
+    monkeypatch.setattr(graph, "LINKS_OF_KEY", per_key)
+    monkeypatch.setattr(graph, "HUBS", 1000)
+    monkeypatch.setattr(graph, "CUT_EVERY", 100)
+    _, edges, nodes = _rank_edges(spark)
+    lines = graph.pagerank(edges, nodes, 10)._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == (10 if per_key > 5 else 20)
+    carried = [i for i in exchanges if "HashAggregate(keys=[dst" in lines[i + 1]]
+    given = [i for i in exchanges if "Generate explode" in "".join(lines[i + 1 : i + 3])]
+    assert len(carried) == 10 and len(carried) + len(given) == len(exchanges)
+
+
+def test_pagerank_fixed_point(spark):
+    """Nodes that wait change the ranks by less than what the docstring allows; a run that ends early is cut at a step."""
+    pairs, edges, nodes = _rank_edges(spark)
+    names = sorted({x for p in pairs for x in p})
+    out = {n: [b for a, b in pairs if a == n] for n in names}
+    exact = dict.fromkeys(names, 0.0)
+    for _ in range(400):
+        new = dict.fromkeys(names, 0.15)
+        for n in names:
+            for t in out[n]:
+                new[t] += 0.85 * exact[n] / len(out[n])
+        exact = new
+    for error in (1e-2, 1e-6):
+        got = {r.id: r["rank"] for r in graph.pagerank_converged(edges, nodes, error).collect()}
+        assert got.keys() == exact.keys()
+        assert sum(abs(got[n] - exact[n]) for n in names) <= len(names) * error * 0.85 / 0.15
+    assert [r["rank"] for r in graph.pagerank_converged(edges, nodes, 1.0).collect()] == pytest.approx([0.15] * len(names))
+    assert graph.pagerank_converged(edges.limit(0), nodes.limit(0)).count() == 0
+
+
+def test_index_counts_documents_in_its_pass(spark, monkeypatch):
+    rows = [("d1", "a b a\n\n c"), ("d2", ""), ("d3", None), ("d4", "a a\r\na"), ("d4", "z"), ("d5", "  ,"), (None, "a")] + [(f"e{i}", f"a w{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    plain = lambda df: sorted(((r.doc_id, r.term, round(r.tfidf, 9)) for r in df.collect()), key=repr)
+    want = plain(index.index(docs, index.boundary_terms(docs)))
+    assert len(want) > 100 and plain(index.text_index(docs)) == want
+    monkeypatch.setattr(index, "HOT_TIMES", 2)  # now one term is met without a shuffle, others stay whole
+    hot = index._hot(index.doc_frequency(index.word_count(index.boundary_terms(docs))))
+    assert [r.term for r in hot.collect()] == ["a"] and plain(index.text_index(docs)) == want
+    assert sorted((r.doc_id, round(r.score, 9)) for r in index.search_texts(docs, ["w3", "z"]).collect()) == sorted((d, w) for d, t, w in want if t in ("w3", "z"))
+    assert index.text_index(docs.limit(0)).count() == 0 and index.search_texts(docs, []).count() == 0
+
+
+def test_naive_bayes_of_long_texts(spark):
+    """A product of 2,000 probabilities is no double; its logarithm still tells the classes apart."""
+    tweets = spark.createDataFrame([("1", 4, "good great day " * 50), ("2", 0, "bad day " * 50), ("3", 2, None), ("4", 2, "")], "tweet_id string, class int, text string")
+    counts, stats = sentiment.nb_train(tweets, [])
+    words = sentiment.nb_words(tweets, [])
+    assert stats.collect() == sentiment.nb_stats(tweets, words).collect()
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, sentiment.nb_counts(words).collect()))
+    asked = spark.createDataFrame([("a", "good day " * 1000), ("b", "bad " * 3000), ("c", "zzz"), ("d", None)], "tweet_id string, text string")
+    got = {r.tweet_id: r for r in sentiment.nb_classify(sentiment.nb_model(counts, stats), stats, asked).collect()}
+    assert got["a"]["class"] == 4 and got["b"]["class"] == 0 and got["a"].probability == 0.0 and got["a"].log_probability < -1000
+    assert got["c"]["class"] == -1 and got["c"].log_probability is None
+
+
+def test_maxent_stops_at_its_error(spark):
+    rows = sentiment.maxent_init(spark.createDataFrame([("1", 4, "w " * 3000 + "x y")], "tweet_id string, class int, text string"))
+    step = math.exp(2)
+    for error, steps in ((8.0, 1), (1.0, 5), (math.inf, 1)):
+        assert {round(r["lambda"], 6) for r in sentiment.maxent_converged(rows, error, 5).collect()} == {round(step * steps, 6)}
+    assert sentiment.maxent_converged(rows.limit(0), 1.0).count() == 0

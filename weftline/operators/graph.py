@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators.staging import cut, drop
+from weftline.operators.staging import cut, cut_bucketed, drop
 
 DAMPING = 0.85
 ITERATIONS = 10
@@ -41,41 +43,92 @@ def node_count(node_table: DataFrame) -> DataFrame:
     return node_table.agg(F.count("*").alias("n_nodes"))
 
 
+class Links:
+    """Links and nodes laid out for many steps: links (src, dst, n[, key]) in buckets of src, nodes (id, k, parts) in buckets of
+    id, k being the number of a node's links.  What a step joins lies together already, so a step shuffles nothing but what
+    links carry, added up by target in each task first.
+
+    The links of a source with very many targets are dealt to several keys, and what it gives is sent to each; there are
+    HUBS such sources at most, and in such a graph what sources give is shuffled, links are not."""
+
+    def __init__(self, edge_table: DataFrame, node_table: DataFrame):
+        spark = edge_table.sparkSession
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        merged = cut(edge_table.groupBy("src", "dst").agg(F.count("*").alias("n")))
+        per_key = max(LINKS_OF_KEY, -(-merged.count() // HUBS))
+        degrees = merged.groupBy("src").agg(F.sum("n").alias("k"), F.ceil(F.count("*") / per_key).cast("int").alias("parts"))
+        found = node_table.select("id").join(degrees.withColumnRenamed("src", "id"), "id", "left")
+        self.nodes = cut_bucketed(found.select("id", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("parts", F.lit(1)).alias("parts")), "id", buckets=self.buckets)
+        self.n_nodes, most = self.nodes.agg(F.count("*"), F.max("parts")).first()
+        self.keys = ["src"]
+        laid = merged
+        if (most or 1) > 1:
+            # per_key bounds the number of hubs, so they can be sent to all tasks
+            hubs = F.broadcast(self.nodes.where("parts > 1").select(F.col("id").alias("src"), "parts"))
+            key = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+            laid = merged.join(hubs, "src", "left").select("src", "dst", "n", key.alias("key"))
+            self.keys = ["src", "key"]
+        self.links = cut_bucketed(laid.repartition(self.buckets, *self.keys), *self.keys, buckets=self.buckets)
+        drop(merged)
+
+    def received(self, state: DataFrame, gives: Column, sends: Column | None = None) -> DataFrame:
+        """(id, got): the sum of what links to a node carry, each an equal share of what its source gives."""
+        each = state.where(F.col("k") > 0 if sends is None else (F.col("k") > 0) & sends).select(F.col("id").alias("src"), (gives / F.col("k")).alias("each"), "parts")
+        if len(self.keys) > 1:
+            each = each.withColumn("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sent = self.links.join(each.drop("parts").hint("shuffle_hash"), self.keys)
+        return sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("each") * F.col("n")).alias("got"))
+
+    def steps(self, state: DataFrame, one: Callable[[DataFrame], DataFrame], most: int, more: Column | None = None) -> DataFrame:
+        """state after `most` steps of one(), or when `more`, a condition, holds for no row.  Every CUT_EVERY-th state is
+        written, where the condition is looked at too: one() must leave a state alone in which it holds for no row."""
+        for step in range(1, most + 1):
+            state = one(state)
+            if step % CUT_EVERY == 0 and step < most:
+                seen = Observation()
+                # a task that runs twice counts twice, which does not make more of nothing
+                now = cut_bucketed(state if more is None else state.observe(seen, F.count_if(more).alias("n")), "id", buckets=self.buckets)
+                if step > CUT_EVERY:
+                    drop(before)
+                state = before = now
+                if more is not None and not seen.get["n"]:
+                    break
+        return state
+
+
 def pagerank(edge_table: DataFrame, node_table: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """(id, rank) after the given number of steps of rank = (1 - damping) + damping x sum(share), from 1 / nodes.
 
     A link shares its source's rank by the number of the source's links, repeats counted; ranks are not normalised
-    and what a node without links holds is not passed on.  Links are merged to (src, dst, n) once; a node carries its
-    number of links, so no link needs it, and a step shuffles only the contributions, partially summed.  Each node adds a
-    zero, so that no outer join is needed.  The links of a source with very many targets are dealt to several keys, and
-    its rank is sent to each; there are HUBS such sources at most.  Links, nodes and every CUT_EVERY-th step are written
-    to the shared folder; staging.clear() removes what the result still reads."""
-    merged = cut(edge_table.groupBy("src", "dst").agg(F.count("*").alias("n")))
-    degrees = merged.groupBy("src").agg(F.sum("n").alias("k"), F.count("*").alias("targets"))
-    per_key = max(LINKS_OF_KEY, -(-merged.count() // HUBS))
-    parts = F.coalesce(F.ceil(F.col("targets") / per_key), F.lit(1)).cast("int")
-    found = node_table.select("id").join(degrees.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), parts.alias("parts"))
-    everyone = cut(found)
-    n_nodes, most = everyone.agg(F.count("*"), F.max("parts")).first()
-    split = (most or 1) > 1
-    if split:
-        # per_key bounds the number of hubs, so they can be sent to all tasks
-        hubs = F.broadcast(everyone.where("parts > 1").select(F.col("id").alias("src"), "parts"))
-        key = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
-        merged = merged.join(hubs, "src", "left").select("src", "dst", "n", key.alias("key"))
-    ranks = everyone.withColumn("rank", F.lit(1.0 / max(n_nodes, 1)))
-    none = everyone.select("id", F.lit(0.0).alias("part"), "k", "parts")
-    before = None
-    for step in range(1, iterations + 1):
-        gives = ranks.where("k > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("k")).alias("each"), "parts")
-        if split:
-            gives = gives.select("src", "each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("key"))
-        sent = merged.join(gives, ["src", "key"] if split else "src")
-        given = sent.select(F.col("dst").alias("id"), (F.col("each") * F.col("n")).alias("part"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("parts"))
-        ranks = given.unionByName(none).groupBy("id").agg((F.sum("part") * damping + (1 - damping)).alias("rank"), F.max("k").alias("k"), F.max("parts").alias("parts"))
-        if step % CUT_EVERY == 0 and step < iterations:
-            ranks = cut(ranks)
-            if before is not None:
-                drop(before)
-            before = ranks
-    return ranks.select("id", "rank")
+    and what a node without links holds is not passed on.  Links are shuffled once in all, when they are merged and laid out
+    (`Links`); staging.clear() removes what the result still reads."""
+    graph = Links(edge_table, node_table)
+
+    def one(state: DataFrame) -> DataFrame:
+        got = graph.received(state, F.col("rank"))
+        rank = F.coalesce("got", F.lit(0.0)) * damping + (1 - damping)
+        return graph.nodes.join(got.hint("shuffle_hash"), "id", "left").select("id", "k", "parts", rank.alias("rank"))
+
+    start = graph.nodes.withColumn("rank", F.lit(1.0 / max(graph.n_nodes, 1)))
+    return graph.steps(start, one, iterations).select("id", "rank")
+
+
+def pagerank_converged(edge_table: DataFrame, node_table: DataFrame, error: float = 1e-4, damping: float = DAMPING, most: int = 1000) -> DataFrame:
+    """(id, rank) where pagerank() does not move on.
+
+    A node holds its rank and what has come since it last sent: the difference to pass on.  Only nodes whose difference is
+    over `error` send it, damped and shared by their links, and add it to their rank; the others wait for more.  It ends when none
+    is over it, or after `most` steps.  A difference shrinks by the damping with each link, so that what waits at the end, which
+    the rank given includes, would have moved ranks by nodes x error x damping / (1 - damping) in all, at most."""
+    graph = Links(edge_table, node_table)
+    over = F.abs("waits") > error
+
+    def one(state: DataFrame) -> DataFrame:
+        got = graph.received(state, F.col("waits"), over)
+        waits = F.when(over, F.lit(0.0)).otherwise(F.col("waits")) + F.coalesce("got", F.lit(0.0)) * damping
+        rank = F.col("rank") + F.when(over, F.col("waits")).otherwise(F.lit(0.0))
+        return state.join(got.hint("shuffle_hash"), "id", "left").select("id", "k", "parts", rank.alias("rank"), waits.alias("waits"))
+
+    # the fixed point is the sum of what 1 - damping at each node becomes on links of every number
+    start = graph.nodes.withColumn("rank", F.lit(0.0)).withColumn("waits", F.lit(1.0 - damping))
+    return graph.steps(start, one, most, over).select("id", (F.col("rank") + F.col("waits")).alias("rank"))

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators.staging import cut
 
-#: Keys that the postings of one term are dealt to.
-KEYS = 8
-
-
-def boundary_terms(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep_empty: bool = False) -> DataFrame:
-    """(doc_id, term): a row for each token of each line.  Tokens are cut to size after they are rows, in generated code."""
-    by_line = docs.select(F.col(id_column).alias("doc_id"), F.explode(tx.lines(F.col(text))).alias("line"))
+#: A term with this many times the mean of postings is hot, and at most this many terms are.
+HOT_TIMES = 100
+HOT_TERMS = 1000
+
+
+def boundary_terms(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep_empty: bool = False, with_docs: bool = False) -> DataFrame:
+    """(doc_id, term): a row for each token of each line.  Tokens are cut to size after they are rows, in generated code.
+    with_docs adds one row without term for each document, so that documents are counted where their tokens are."""
+    lines = tx.lines(F.col(text))
+    if with_docs:
+        lines = F.concat(lines, F.array(F.lit(None).cast("string")))
+    by_line = docs.select(F.col(id_column).alias("doc_id"), F.explode(lines).alias("line"))
+    if with_docs and not keep_empty:
+        found = by_line.select("doc_id", F.col("line").isNull().alias("doc"), tx.runs(F.col("line")).alias("runs"), tx.begins_with_word(F.col("line")).alias("word_first"))
+        each = found.select("doc_id", "doc", "word_first", F.size("runs").alias("n"), F.posexplode_outer("runs").alias("i", "run"))
+        return each.select("doc_id", "doc", tx.bare_run(F.col("run"), F.col("i"), F.col("n"), F.col("word_first")).alias("term")).where("doc OR term <> ''").drop("doc")
     if not keep_empty:
         found = by_line.select("doc_id", tx.runs(F.col("line")).alias("runs"), tx.begins_with_word(F.col("line")).alias("word_first"))
         each = found.select("doc_id", "word_first", F.size("runs").alias("n"), F.posexplode("runs").alias("i", "run"))
@@ -38,24 +47,54 @@ def doc_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _hot(frequency: DataFrame) -> DataFrame | None:
+    """The terms with far more postings than others, if there are any; HOT_TERMS at most, since each has that share of all."""
+    r = frequency.agg(F.sum("df").alias("all"), F.count("*").alias("terms"), F.max("df").alias("most")).first()
+    bar = max(HOT_TIMES * (r["all"] or 0) / max(r["terms"], 1), (r["all"] or 0) / HOT_TERMS)
+    return frequency.where(F.col("df") > bar) if (r["most"] or 0) > bar else None
+
+
+def _weighed(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
+    frequency = cut(doc_frequency(counts))
+    hot = _hot(frequency)
+    tf = log_tf(counts)
+    if hot is None:
+        met = tf.join(frequency, "term")
+    else:
+        # postings of hot terms are met where they are read and never shuffled by term; all others are few for a term
+        known = tf.join(F.broadcast(hot), "term", "left")
+        met = known.where("df IS NOT NULL").unionByName(known.where("df IS NULL").drop("df").join(frequency, "term"))
+    idf = F.log10(F.lit(1) + F.expr("n_docs div df"))
+    return met.crossJoin(F.broadcast(n_docs)).select("doc_id", "term", (F.col("tf") * idf).alias("tfidf"))
+
+
 def tfidf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     """tf x log10(1 + n div df).  counts has a row for each (doc_id, term); n_docs is one row with n_docs.
 
-    Both uses of counts need the same columns and no filter is inferred on one alone, so its shuffle is run once and read
-    twice.  Frequencies are
-    aggregated before they are shuffled; a term's postings are dealt to KEYS keys, to each of which its frequency goes."""
-    frequency = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
-    sent = frequency.select("term", "df", F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))).alias("key"))
-    dealt = log_tf(counts).withColumn("key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(KEYS)).cast("int"), F.lit(0)))
-    weighed = dealt.join(sent, ["term", "key"]).crossJoin(F.broadcast(n_docs))
-    idf = F.log10(F.lit(1) + F.expr("n_docs div df"))
-    return weighed.select("doc_id", "term", (F.col("tf") * idf).alias("tfidf"))
+    Counts are written once and read for both, and how terms are joined with their frequency follows from what is found
+    there; staging.clear() removes what the result still reads."""
+    return _weighed(cut(counts), n_docs)
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tfidf(word_count(terms), docs.agg(F.count("*").alias("n_docs")))
 
 
+def text_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", asked: Column | None = None) -> DataFrame:
+    """index() of boundary tokens in one pass over docs, which counts documents as well: each has a row without term.  (An
+    observed metric would count a task's documents twice where a lost executor makes it run again.)  With a condition on
+    term, only the postings that meet it."""
+    terms = boundary_terms(docs, id_column, text, with_docs=True)
+    counts = cut(word_count(terms if asked is None else terms.where(asked | F.col("term").isNull())))
+    n_docs = counts.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
+    return _weighed(counts.where("term IS NOT NULL"), n_docs)
+
+
+def search_texts(docs: DataFrame, terms: list[str], how: str = "exact", id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """search() without an index: only postings of matching terms are counted."""
+    return search(text_index(docs, id_column, text, matches(terms, how)), terms, how)
+
+
 def matches(terms: list[str], how: str = "exact") -> Column:
     """exact: case matters; ignore_case and substring: query terms are trimmed."""
     col = F.col("term")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window
 
 from weftline.functions import text as tx
 from weftline.operators import index
+from weftline.operators.staging import cut, drop
 
 CLASSES = (0, 2, 4)
 NEIGHBOURS = 30
@@ -50,10 +52,14 @@ def _by_word(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(*(F.count_if(F.col("class") == c).alias(f"c{c}") for c in CLASSES))
 
 
+def _three_rows(by_word: DataFrame) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"c{c}").alias("n")) for c in CLASSES))
+    return by_word.select("word", F.explode(rows).alias("x")).select("word", "x.class", "x.n")
+
+
 def nb_counts(words: DataFrame) -> DataFrame:
     """(word, class, n): three rows a word, zeros included."""
-    rows = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"c{c}").alias("n")) for c in CLASSES))
-    return _by_word(words).select("word", F.explode(rows).alias("x")).select("word", "x.class", "x.n")
+    return _three_rows(_by_word(words))
 
 
 def nb_stats(tweets: DataFrame, words: DataFrame) -> DataFrame:
@@ -65,6 +71,23 @@ def nb_stats(tweets: DataFrame, words: DataFrame) -> DataFrame:
     return t.crossJoin(w)
 
 
+def nb_train(tweets: DataFrame, stop_words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """nb_counts and nb_stats of tweets from one pass: each tweet has one row without word, which the counts by word gather
+    under no word.  Those counts are written; staging.clear() removes what the results still read."""
+    cleaned = tweets.select("class", tx.space_tokens(tx.clean_tweet(F.col("text"), at_only=True)).alias("words"))
+    each = cleaned.select("class", F.explode(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("word"))
+    stop = F.lower("word").isin([w.lower() for w in stop_words]) if stop_words else F.lit(False)
+    known = each.where(F.col("word").isNull() | ~stop)
+    found = cut(known.groupBy("word").agg(F.count("*").alias("n"), *(F.count_if(F.col("class") == c).alias(f"c{c}") for c in CLASSES)))
+    names = ((4, "positive"), (2, "neutral"), (0, "negative"))
+    tweet, word = F.col("word").isNull(), F.col("word").isNotNull()
+    total = lambda of, c: F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0))
+    stats = found.agg(
+        total(tweet, "n").alias("total_tweets"), *(total(tweet, f"c{c}").alias(f"{n}_tweets") for c, n in names), F.count("word").alias("vocabulary"), *(total(word, f"c{c}").alias(f"{n}_words") for c, n in names)
+    )
+    return _three_rows(found.where("word IS NOT NULL")), stats
+
+
 def _of_class(stats: str) -> Column:
     return F.when(F.col("class") == 4, F.col(f"positive_{stats}")).when(F.col("class") == 2, F.col(f"neutral_{stats}")).otherwise(F.col(f"negative_{stats}"))
 
@@ -76,21 +99,24 @@ def nb_model(counts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def nb_scores(model: DataFrame, stats: DataFrame, tweets: DataFrame, at_only: bool = True) -> DataFrame:
-    """(tweet_id, class, probability): prior times the product over the words of each tweet, matched without case.
-    Unknown words are passed over; a tweet without known words has no row."""
+    """(tweet_id, class, probability, log_probability): prior times the product over the words of each tweet, matched without
+    case.  The product of a long text may be too small for a double, its logarithm never is.  Unknown words are passed over; a
+    tweet without known words has no row, and a class without tweets has probability 0 and no logarithm."""
     words = tweets.select("tweet_id", F.explode(tx.space_tokens(tx.clean_tweet(F.col("text"), at_only))).alias("w")).select("tweet_id", F.lower("w").alias("w"))
     # the key of the model is never null, so that no filter is inferred there and its shuffle is the one of the counts
     met = words.where("w IS NOT NULL").join(model, F.col("w") == F.coalesce(F.lower("word"), F.lit("")))
     logs = met.groupBy("tweet_id", "class").agg(F.sum(F.ln("p")).alias("lp"))
     prior = _of_class("tweets") / F.col("total_tweets")
-    return logs.crossJoin(F.broadcast(stats)).select("tweet_id", "class", (prior * F.exp("lp")).alias("probability"))
+    log = logs.crossJoin(F.broadcast(stats)).select("tweet_id", "class", (F.ln(prior) + F.col("lp")).alias("log_probability"))
+    return log.select("tweet_id", "class", F.coalesce(F.exp("log_probability"), F.lit(0.0)).alias("probability"), "log_probability")
 
 
 def nb_classify(model: DataFrame, stats: DataFrame, tweets: DataFrame) -> DataFrame:
-    """(tweet_id, class, probability) of the best class, the lower one on ties; (-1, 0.0) where nothing is known."""
-    order = F.struct(F.col("probability"), (-F.col("class")).alias("c"))
-    best = nb_scores(model, stats, tweets).where("probability > 0").groupBy("tweet_id").agg(F.max_by(F.struct("class", "probability"), order).alias("b"))
-    return tweets.select("tweet_id").distinct().join(best, "tweet_id", "left").select("tweet_id", F.coalesce("b.class", F.lit(-1)).alias("class"), F.coalesce("b.probability", F.lit(0.0)).alias("probability"))
+    """(tweet_id, class, probability, log_probability) of the best class, the lower one on ties; (-1, 0.0, null) where no word is known."""
+    order = F.struct(F.col("log_probability"), (-F.col("class")).alias("c"))
+    best = nb_scores(model, stats, tweets).where("log_probability IS NOT NULL").groupBy("tweet_id").agg(F.max_by(F.struct("class", "probability", "log_probability"), order).alias("b"))
+    known = tweets.select("tweet_id").distinct().join(best, "tweet_id", "left")
+    return known.select("tweet_id", F.coalesce("b.class", F.lit(-1)).alias("class"), F.coalesce("b.probability", F.lit(0.0)).alias("probability"), "b.log_probability")
 
 
 def knn_index(tweets: DataFrame, stop_words: list[str]) -> DataFrame:
@@ -123,17 +149,28 @@ def maxent_init(tweets: DataFrame) -> DataFrame:
     return words.groupBy("tweet_id", "class", "word").agg(F.count("*").cast("double").alias("f")).withColumn("lambda", F.lit(0.0))
 
 
-def maxent_iterate(rows: DataFrame, iterations: int = 1) -> DataFrame:
-    """Every weight grows by sum(f) / sum(f x p), p = exp(x) / exp(x + 2), x = sum(f x lambda) of the tweet."""
+def maxent_step(rows: DataFrame) -> DataFrame:
+    """Every weight grows by sum(f) / sum(f x p), p = exp(x) / exp(x + 2), x = sum(f x lambda) of the tweet.  The quotient is
+    taken of the exponents, so that it is exact for texts of any length, where exp(x) is beyond a double."""
     tweet = Window.partitionBy("tweet_id")
+    delta = F.sum("f").over(tweet) / F.sum(F.col("f") * math.exp(-2)).over(tweet)
+    return rows.withColumn("lambda", F.col("lambda") + delta)
 
-    def step(df: DataFrame, _: int) -> DataFrame:
-        x = F.sum(F.col("f") * F.col("lambda")).over(tweet)
-        with_p = df.withColumn("_p", F.exp(x) / F.exp(x + 2))
-        delta = F.sum("f").over(tweet) / F.sum(F.col("f") * F.col("_p")).over(tweet)
-        return with_p.withColumn("lambda", F.col("lambda") + delta).drop("_p")
 
-    return reduce(step, range(iterations), rows)
+def maxent_iterate(rows: DataFrame, iterations: int = 1) -> DataFrame:
+    return reduce(lambda df, _: maxent_step(df), range(iterations), rows)
+
+
+def maxent_converged(rows: DataFrame, error: float, most: int = 100) -> DataFrame:
+    """Steps until none moves a weight by more than the allowed error, or `most` of them.  Each step's rows are written, and
+    the largest move is looked at there; staging.clear() removes what the result still reads."""
+    now = cut(rows.withColumn("_moved", F.lit(0.0)))
+    for _ in range(most):
+        before, now = now, cut(maxent_step(now.withColumn("_moved", F.col("lambda"))).withColumn("_moved", F.abs(F.col("lambda") - F.col("_moved"))))
+        drop(before)
+        if not (now.agg(F.max("_moved")).first()[0] or 0.0) > error:
+            break
+    return now.drop("_moved")
 
 
 def maxent_records(rows: DataFrame) -> DataFrame:

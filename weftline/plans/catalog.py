@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def _counts(spark, d):
 
 
 def _postings(spark, d):
-    return index.tfidf(_counts(spark, d), table(spark, d, "documents").agg(F.count("*").alias("n_docs")))
+    return index.text_index(table(spark, d, "documents"))
 
 
 @query(TOKENS + "SELECT doc_id, term, n FROM wc")
@@ -100,17 +101,17 @@ def tfidf(spark, d):
 
 @query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE term IN ({_sql_list(TERMS)}) GROUP BY doc_id")
 def search_exact(spark, d):
-    return index.search(_postings(spark, d), TERMS).withColumn("score", r6("score"))
+    return index.search_texts(table(spark, d, "documents"), TERMS).withColumn("score", r6("score"))
 
 
 @query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE {' OR '.join(f'contains(term, {_sql_list([t])})' for t in TERMS)} GROUP BY doc_id")
 def search_substring(spark, d):
-    return index.search(_postings(spark, d), TERMS, "substring").withColumn("score", r6("score"))
+    return index.search_texts(table(spark, d, "documents"), TERMS, "substring").withColumn("score", r6("score"))
 
 
 @query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE lower(term) IN ({_sql_list(TERMS)}) GROUP BY doc_id")
 def search_ignore_case(spark, d):
-    return index.search(_postings(spark, d), TERMS, "ignore_case").withColumn("score", r6("score"))
+    return index.search_texts(table(spark, d, "documents"), TERMS, "ignore_case").withColumn("score", r6("score"))
 
 
 RANKED = TFIDF + f", hit AS (SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE term IN ({_sql_list(TERMS)}) GROUP BY doc_id)\n"
@@ -220,11 +221,14 @@ def wiki_link_extract(spark, d):
     return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-# The entities that the pages hold, the ampersand last so that nothing is resolved twice.
-BODY_SQL = (
-    "regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(line, '<text(.*?)</text>', 1), '^[^>]*>', ''), "
-    "'&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&#65;', 'A'), '&eacute;', 'é'), '&amp;', '&'), '<.*?>', '', 'g')"
-)
+# Text is cut at ampersands, and what follows each is looked up among all names and numbers, so that nothing is resolved twice.
+_NAMES = "MAP {" + ", ".join(f"'{name}': chr({code})" for name, code in sorted(name2codepoint.items())) + "}"
+_FOUND = f"regexp_extract(p, '{tx.ENTITY}')"
+_DIGITS = f"CASE WHEN regexp_matches(p, '^#[xX]') THEN TRY_CAST('0x' || {_FOUND}[3:-2] AS INTEGER) ELSE TRY_CAST({_FOUND}[2:-2] AS INTEGER) END"
+_NUMBER = f"CASE WHEN {_DIGITS} < 1114112 AND {_DIGITS} NOT BETWEEN 55296 AND 57343 THEN chr({_DIGITS}) END"
+_RESOLVED = f"coalesce(CASE WHEN {_FOUND} = '' THEN NULL WHEN starts_with(p, '#') THEN {_NUMBER} ELSE list_extract(map_extract({_NAMES}, {_FOUND}[1:-2]), 1) END || p[length({_FOUND}) + 1:], '&' || p)"
+_INNER = "string_split(regexp_replace(regexp_extract(line, '<text(.*?)</text>', 1), '^[^>]*>', ''), '&')"
+BODY_SQL = f"regexp_replace(array_to_string([({_INNER})[1]] || list_transform(({_INNER})[2:], lambda p: {_RESOLVED}), ''), '<.*?>', '', 'g')"
 
 
 @query(f"WITH {LINE_SQL} SELECT page_id, {BODY_SQL} AS body FROM line WHERE regexp_matches(line, '<text(.*?)</text>')")
@@ -288,6 +292,27 @@ def pagerank_dense(spark, d):
     return graph.pagerank(e, graph.endpoints(e)).withColumn("rank", r6("rank"))
 
 
+ERROR = 1e-3
+
+
+def _converged_sql(steps: int) -> str:
+    """Steps in which only nodes with over ERROR waiting send; with enough of them the last ones change nothing."""
+    ctes = [EDGES, NODES, "deg AS (SELECT src, count(*) AS k FROM edge GROUP BY src)", "link AS MATERIALIZED (SELECT src, dst, count(*) AS n, k FROM edge JOIN deg USING (src) GROUP BY ALL)", "r0 AS (SELECT id, 0.0::DOUBLE AS rank, 0.15::DOUBLE AS waits FROM node)"]
+    for i in range(1, steps + 1):
+        ctes.append(
+            f"r{i} AS MATERIALIZED (SELECT id, rank + CASE WHEN waits > {ERROR} THEN waits ELSE 0 END AS rank, CASE WHEN waits > {ERROR} THEN 0 ELSE waits END + 0.85 * coalesce(got, 0) AS waits "
+            f"FROM r{i - 1} LEFT JOIN (SELECT dst, sum(waits / k * n) AS got FROM link JOIN r{i - 1} ON src = id WHERE waits > {ERROR} GROUP BY dst) ON dst = id)"
+        )
+    return f"WITH {', '.join(ctes)} SELECT id, round(rank + waits, 6) AS rank FROM r{steps}"
+
+
+@query(_converged_sql(70))
+def pagerank_converged(spark, d):
+    """Ranks at the fixed point: nodes send what has come to them until less than ERROR waits at each."""
+    e = _edges(spark, d)
+    return graph.pagerank_converged(e, graph.nodes(table(spark, d, "pages"), e), ERROR).withColumn("rank", r6("rank"))
+
+
 # --- wiki search --------------------------------------------------------------------------------------------------
 
 
@@ -302,7 +327,7 @@ WIKI_TERMS = ["tion", "que"]
 def wiki_search(spark, d):
     """Pages to titles and bodies, space tokens, TF-IDF over pages with a title, substring search, ranked."""
     pages = readers.wiki_pages(_wiki(spark, d)).select(F.col("title").alias("doc_id"), F.col("body").alias("text"))
-    terms = index.space_terms(pages.where("text IS NOT NULL"))
+    terms = index.space_terms(pages.where("text IS NOT NULL")).where(index.matches(WIKI_TERMS, "substring"))
     return index.rank(index.search(index.tfidf(index.word_count(terms), pages.agg(F.count("*").alias("n_docs"))), WIKI_TERMS, "substring").withColumn("score", r6("score")))
 
 
@@ -376,10 +401,7 @@ NB_MODEL = NB_STATS + ", model AS MATERIALIZED (SELECT word, class, (n + 1)::DOU
 
 
 def _nb(spark, d):
-    tweets = _labelled(spark, d)
-    words = sentiment.nb_words(tweets, STOP_WORDS)
-    stats = sentiment.nb_stats(tweets, words)
-    counts = sentiment.nb_counts(words)
+    counts, stats = sentiment.nb_train(_labelled(spark, d), STOP_WORDS)
     return counts, stats, sentiment.nb_model(counts, stats)
 
 
@@ -407,7 +429,22 @@ def nb_model(spark, d):
 def nb_classify(spark, d):
     _, stats, model = _nb(spark, d)
     best = sentiment.nb_classify(model, stats, spark.createDataFrame([(1, TWEET)], "tweet_id int, text string"))
-    return best.select("tweet_id", "class", r6(F.ln("probability")).alias("log_probability"))
+    return best.select("tweet_id", "class", r6("log_probability").alias("log_probability"))
+
+
+@query(
+    NB_MODEL
+    + f", asked AS (SELECT doc_id AS tweet_id, {_clean_sql(True)} AS text FROM documents), q AS (SELECT tweet_id, unnest(string_split(rtrim(text, ' '), ' ')) AS word FROM asked WHERE text IS NOT NULL AND (text = '' OR rtrim(text, ' ') <> '')), "
+    "known AS (SELECT lower(word) AS lw, class, sum(ln(p)) AS lp FROM model GROUP BY ALL), s AS (SELECT tweet_id, class, sum(lp) AS lp FROM q JOIN known ON lower(q.word) = lw GROUP BY ALL), "
+    "sc AS (SELECT tweet_id, class, lp + ln((CASE class WHEN 4 THEN positive_tweets WHEN 2 THEN neutral_tweets ELSE negative_tweets END)::DOUBLE / total_tweets) AS lp FROM s CROSS JOIN st WHERE CASE class WHEN 4 THEN positive_tweets WHEN 2 THEN neutral_tweets ELSE negative_tweets END > 0), "
+    "best AS (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY round(lp, 6) DESC, class) AS r FROM sc) "
+    "SELECT a.tweet_id, CAST(coalesce(class, -1) AS INTEGER) AS class, round(lp, 4) AS log_probability FROM asked a LEFT JOIN best b ON b.tweet_id = a.tweet_id AND r = 1"
+)
+def nb_classify_documents(spark, d):
+    """Every whole text classified, however long: scores are logarithms throughout."""
+    _, stats, model = _nb(spark, d)
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("tweet_id"), "text")
+    return sentiment.nb_classify(model, stats, asked).select("tweet_id", "class", F.round("log_probability", 4).alias("log_probability"))
 
 
 KNN = (
@@ -464,15 +501,22 @@ def maxent_iterate(spark, d):
 def _steps_sql(n: int) -> str:
     ctes = [f's0 AS (SELECT *, 0.0::DOUBLE AS l FROM f0)']
     for i in range(1, n + 1):
-        ctes.append(f"x{i} AS (SELECT *, sum(f * l) OVER (PARTITION BY tweet_id) AS x FROM s{i - 1}), s{i} AS MATERIALIZED (SELECT tweet_id, class, word, f, l + sum(f) OVER w / sum(f * exp(x) / exp(x + 2)) OVER w AS l FROM x{i} WINDOW w AS (PARTITION BY tweet_id))")
+        ctes.append(f"s{i} AS MATERIALIZED (SELECT tweet_id, class, word, f, l + sum(f) OVER w / sum(f * exp(-2.0)) OVER w AS l FROM s{i - 1} WINDOW w AS (PARTITION BY tweet_id))")
     return MAXENT + ", " + ", ".join(ctes) + f' SELECT tweet_id, class, word, f, round(l, 6) AS "lambda" FROM s{n}'
 
 
-# Tweets of few words: exp() of the weighted counts of a long one is beyond a double after one step.
-@query(_steps_sql(3).replace("FROM conversations)", "FROM (SELECT conv_id, turn, substr(text, 1, 24) AS text FROM conversations))"))
+@query(_steps_sql(3))
 def maxent_three_steps(spark, d):
-    short = _turns(spark, d).withColumn("text", F.substring("text", 1, 24))
-    return sentiment.maxent_iterate(sentiment.maxent_init(short), 3).withColumn("lambda", r6("lambda"))
+    return sentiment.maxent_iterate(sentiment.maxent_init(_turns(spark, d)), 3).withColumn("lambda", r6("lambda"))
+
+
+# A step adds e^2 to every weight: an error of 7 is never met, so the bound on steps ends it; one of 8 is met by the first.
+@query("WITH low AS (" + _steps_sql(4) + "), high AS (" + _steps_sql(1) + ") SELECT 7 AS error, * FROM low UNION ALL SELECT 8, * FROM high")
+def maxent_converged(spark, d):
+    """The update until weights move by no more than an allowed error, or for four steps."""
+    rows = sentiment.maxent_init(_turns(spark, d))
+    runs = [sentiment.maxent_converged(rows, error, 4).select(F.lit(error).alias("error"), "*") for error in (7, 8)]
+    return runs[0].unionByName(runs[1]).withColumn("lambda", r6("lambda"))
 
 
 @query(MAXENT + ", r AS (SELECT tweet_id, count(*) AS n FROM f0 GROUP BY tweet_id) SELECT sum(n)::BIGINT AS records FROM r")

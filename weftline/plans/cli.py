@@ -72,10 +72,9 @@ def _tweets(spark, path) -> DataFrame:
 
 def naivebayes(spark, path, words) -> DataFrame:
     tweets = _tweets(spark, path)
-    known = sentiment.nb_words(tweets, _stop_words(spark))
-    stats = sentiment.nb_stats(tweets, known)
+    counts, stats = sentiment.nb_train(tweets, _stop_words(spark))
     asked = spark.createDataFrame([("query", " ".join(words))], "tweet_id string, text string")
-    return sentiment.nb_classify(sentiment.nb_model(sentiment.nb_counts(known), stats), stats, asked)
+    return sentiment.nb_classify(sentiment.nb_model(counts, stats), stats, asked)
 
 
 def knn(spark, path, words) -> DataFrame:
