@@ -2,17 +2,18 @@
 
 Texts are sets of SHINGLE-word shingles (a text of fewer words is one shingle, a text without words none).  Each text
 gets TREES labels of DEPTH minimum hashes, the paths of a forest of prefix tries.  A trie's rows are sorted, so that
-those under one prefix stand together.  Matching starts at the full path and shortens it by a label at a time, down to the
-longest prefix at which the forest finds TARGET_RECALL of the pairs at the threshold (`prefix_length`): the lower the
-threshold, the shorter.  Under a node, texts close to a leader (by all minima) are linked to it and stand behind it, and
-only leaders go on to the shorter prefix, where they are compared again.  What would be a huge bucket is thus folded first
-inside each input batch, then under long prefixes, before it meets anything else.  A node that still has over NODE leaders
-is split by the prefixes of all other trees: its pairs are compared where they agree in a second tree.  The prefix length is
-chosen so that pairs are found with that recall even if every node were split.
-
-The links so found only say which texts may belong together.  Their components are cut into blocks of BLOCK texts,
-and every pair of blocks of one component is compared exactly, in one task each: a text's links are counted there and
-leave as one number, pairs never do.  Exactly equal texts are one node throughout.
+those under one prefix stand together.  Matching starts at the full path and shortens it by a label at a time.  Under a
+node, texts close to a leader (by all minima) are linked to it and stand behind it, and only leaders go on to the shorter
+prefix, where they are compared again.  What would be a huge bucket is thus folded first inside each input batch, then under
+long prefixes, before it meets anything else.  How far a node shortens depends on it: a node with over NODE leaders stops at
+the longest prefix at which the forest finds TARGET_RECALL of the pairs at the threshold, even if all nodes stopped there;
+others go one label further (`prefix_length`), which finds more.  Where no prefix of two labels meets the target all nodes
+go down to one label.
+
+The links so found only say which texts may belong together.  Their components are cut into blocks of BLOCK texts and
+BLOCK_BYTES, and every pair of blocks of one component is compared exactly, in one task each: words are told apart by
+themselves and shingles by the words they are made of, no hash decides.  A text's links are counted there and leave as one
+number, pairs never do.  Exactly equal texts are one node throughout.
 
 Result of `classes`: one row a document with class_id (the least doc_id of its class), n_links (different texts with
 similarity >= threshold) and n_copies (documents with its text).  Defined results: a null text is an empty text;
@@ -24,6 +25,8 @@ ignored, whatever their names (`keep_first` keeps them).
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -31,29 +34,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textscan as ts
-from weftline.llm.common import bound_batches, fresh, stage, text_of
+from weftline.llm.common import bound_batches, fresh, stage, staging, text_of
 from weftline.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 20
-DEPTH = 5
+DEPTH = 7
 TARGET_RECALL = 0.995
-#: Leaders under one node beyond which it is split by the other trees.
+#: Leaders under one node beyond which its prefix is not shortened further than the recall needs.
 NODE = 4096
-BLOCK = 256
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 SEED = 17
 
 
-def recall(similarity: float, depth: int, trees: int = TREES, matches: int = 1) -> float:
-    """The share of pairs that agree in a prefix of `depth` labels in `matches` trees (1 or 2) or more."""
-    p = similarity**depth
-    return 1 - (1 - p) ** trees - (trees * p * (1 - p) ** (trees - 1) if matches == 2 else 0)
+def recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The share of pairs that agree in a prefix of `depth` labels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_length(threshold: float) -> int:
-    """The longest prefix that meets the target for pairs at the threshold, with every node split; at least one label."""
-    return next((d for d in range(DEPTH, 1, -1) if recall(threshold, d, matches=2) >= TARGET_RECALL), 1)
+    """One label less than the longest prefix that meets the target for pairs at the threshold; at least one label."""
+    return next((d - 1 for d in range(DEPTH, 1, -1) if recall(threshold, d) >= TARGET_RECALL), 1)
 
 
 def closeness(threshold: float) -> tuple[float, float]:
@@ -105,8 +108,8 @@ def _node(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, node, sig): sig is null for a text without words and for one met before in its batch."""
-    rows = docs.select("rid", "doc_id", _node(F.col("text")).alias("node"), "text")
+    """(rid, doc_id, node, size, sig): sig is null for a text without words and for one met before in its batch."""
+    rows = docs.select("rid", "doc_id", _node(F.col("text")).alias("node"), "text", F.octet_length("text").alias("size"))
 
     def run(batches):
         a, b = _coefficients(TREES * DEPTH)
@@ -119,9 +122,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             for at, _, g, begin in shingles(texts):
                 for i, s in zip(np.flatnonzero(np.diff(begin)), minima(g, begin, a, b), strict=True):
                     sig[new[at + i]] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sig, pa.binary())], names=["rid", "doc_id", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(sig, pa.binary())], names=["rid", "doc_id", "node", "size", "sig"])
 
-    return rows.mapInArrow(run, "rid string, doc_id long, node binary, sig binary")
+    return rows.mapInArrow(run, "rid string, doc_id long, node binary, size int, sig binary")
 
 
 def _grouped(keys: np.ndarray) -> list[np.ndarray]:
@@ -135,8 +138,8 @@ def _grouped(keys: np.ndarray) -> list[np.ndarray]:
 class Fold:
     """Rows under one shortest prefix of a tree.  Adds links (node, leader) to edges; leaders are the rows left."""
 
-    def __init__(self, nodes, sketch, tree: int, depth: int, near: tuple[float, float], edges: list):
-        self.nodes, self.sketch, self.tree, self.depth, self.near, self.edges = nodes, sketch, tree, depth, near, edges
+    def __init__(self, nodes, sketch, near: tuple[float, float], stops: bool, edges: list):
+        self.nodes, self.sketch, self.near, self.stops, self.edges = nodes, sketch, near, stops, edges
         # links only have to connect: a row is linked to one of each set of rows that links have already joined
         self.joined = np.arange(len(nodes))
 
@@ -166,8 +169,7 @@ class Fold:
         for d in range(paths.shape[1], -1, -1):
             if len(left) < 2:
                 break
-            if d == 0 and len(left) > NODE:
-                self.by_other_trees(left)
+            if d == 0 and len(left) > NODE and self.stops:
                 break
             groups = _grouped(paths[left][:, :d])
             alone = np.ones(len(left), bool)
@@ -178,18 +180,11 @@ class Fold:
             left = np.sort(np.concatenate([left[alone], np.array(kept, left.dtype)]))
         return left
 
-    def by_other_trees(self, left: np.ndarray) -> None:
-        for other in range(TREES):
-            if other != self.tree:
-                # a label's last byte stands for it: rows that differ in it differ, others are compared anyway
-                for g in _grouped(self.sketch[left][:, other * DEPTH : other * DEPTH + self.depth]):
-                    self.compare(left[g])
-
 
 OUT = "tree int, prefix long, rest binary, node binary, sketch binary, other binary"
 
 
-def _fold_rows(tree, prefix, rest, node, sketch, depth, near):
+def _fold_rows(tree, prefix, rest, node, sketch, near, stops):
     """Columns of rows sorted or not: (rows that stay, links)."""
     edges: list[tuple[bytes, bytes]] = []
     order = np.lexsort((prefix, tree))
@@ -200,7 +195,7 @@ def _fold_rows(tree, prefix, rest, node, sketch, depth, near):
         if len(part) == 1:
             stay.append(part)
         elif len(part):
-            stay.append(part[Fold(node[part], sketch[part], int(tree[part[0]]), depth, near, edges).leaders(rest[part])])
+            stay.append(part[Fold(node[part], sketch[part], near, stops, edges).leaders(rest[part])])
     return np.concatenate(stay) if stay else np.zeros(0, int), sorted(set(edges))
 
 
@@ -222,6 +217,7 @@ def _rows_out(tree, prefix, rest, node, sketch, edges):
 def proposed_links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): nodes that the forest links."""
     short, near = prefix_length(threshold), closeness(threshold)
+    stops = recall(threshold, short + 1) >= TARGET_RECALL
 
     def spread(batches):
         for batch in batches:
@@ -233,7 +229,7 @@ def proposed_links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             rest = np.concatenate([sig[:, t, short:] for t in range(TREES)])
             sketch = np.tile((sig.reshape(n, -1) & np.uint32(255)).astype(np.uint8), (TREES, 1))
             node = np.tile(nodes, TREES)
-            stay, edges = _fold_rows(tree, prefix, rest, node, sketch, short, near)
+            stay, edges = _fold_rows(tree, prefix, rest, node, sketch, near, stops)
             yield _rows_out(tree[stay], prefix[stay], rest[stay], node[stay], sketch[stay], edges)
 
     def fold(batches):
@@ -245,7 +241,7 @@ def proposed_links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             edges: list = []
             if rows.num_rows > 1:
                 _, edges = _fold_rows(
-                    rows.column("tree").to_numpy(), rows.column("prefix").to_numpy(), wide("rest", np.uint32, DEPTH - short), np.array(rows.column("node").to_pylist(), object), wide("sketch", np.uint8, TREES * DEPTH), short, near
+                    rows.column("tree").to_numpy(), rows.column("prefix").to_numpy(), wide("rest", np.uint32, DEPTH - short), np.array(rows.column("node").to_pylist(), object), wide("sketch", np.uint8, TREES * DEPTH), near, stops
                 )
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*old.column("node").to_pylist(), *(a for a, _ in edges)], pa.binary()), pa.array([*old.column("other").to_pylist(), *(b for _, b in edges)], pa.binary())], names=["a", "b"]
@@ -256,10 +252,34 @@ def proposed_links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return sorted_rows.mapInArrow(fold, "a binary, b binary")
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for at, to, g, begin in shingles(column):
-        out += [np.unique(g[begin[i] : begin[i + 1]]) for i in range(to - at)]
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers for pairs of numbers: equal where both are."""
+    return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Numbers for all runs of k words, equal where all words are."""
+    if k == 1 or len(words) < k:
+        return words[: max(0, len(words) - k + 1)]
+    half = k // 2
+    left = _runs(words, half)
+    right = left if half == k - half else _runs(words, k - half)
+    n = len(words) - k + 1
+    return _pairs(left[:n], right[half : half + n])
+
+
+def exact_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The shingles of each text as sorted numbers that these texts share.  Words are looked up by themselves."""
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    words = [np.fromiter(map(known.__getitem__, t.split()), np.int64) for t in texts]  # split() of bytes parts words as WORD does
+    runs = _runs(np.concatenate(words), SHINGLE) if words else np.zeros(0, np.int64)
+    short: defaultdict[bytes, int] = defaultdict()
+    short.default_factory = lambda: -1 - len(short)
+    out, at = [], 0
+    for w in words:
+        out.append(np.unique(runs[at : at + len(w) - SHINGLE + 1]) if len(w) >= SHINGLE else np.array([short[w.tobytes()]] if len(w) else [], np.int64))
+        at += len(w)
     return out
 
 
@@ -292,6 +312,21 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     return i, j
 
 
+def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that the links (i, j) join it with."""
+    label = np.arange(n)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (root, i, j, part, node, text), for each pair i <= j of blocks of a component. Gives (node, other, n):
     n links of node found in a pair of blocks, and one link that ties it to the rest of its class there, or itself."""
@@ -304,8 +339,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             order = first[np.argsort(part, kind="stable")]
             part = g.column("part").to_numpy()[order]
             names = np.array(g.column("node").to_pylist(), object)[order]
-            text = g.column("text").combine_chunks()
-            sets = _sets((text.chunk(0) if isinstance(text, pa.ChunkedArray) else text).take(pa.array(order)))
+            sets = exact_sets(pa.concat_arrays(g.column("text").chunks).take(pa.array(order)).cast(pa.large_binary()).to_pylist())
             k = int((part == part[0]).sum())
             one = g.column("i")[0].as_py() == g.column("j")[0].as_py()
             if not one and k == len(sets):
@@ -313,21 +347,10 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             i, j = similar(sets if one else sets[:k], None if one else sets[k:], threshold)
             j = j if one else j + k
             links = np.bincount(np.concatenate([i, j]), minlength=len(sets))
-            parent = list(range(len(sets)))
-
-            def find(x):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+            root = joined(len(sets), i, j)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[some].tolist(), pa.binary()), pa.array([names[find(x)] for x in some], pa.binary()), pa.array(links[some], pa.int64())], names=["node", "other", "n"]
+                [pa.array(names[some].tolist(), pa.binary()), pa.array(names[root[some]].tolist(), pa.binary()), pa.array(links[some], pa.int64())], names=["node", "other", "n"]
             )
 
     return rows.mapInArrow(run, "node binary, other binary, n long")
@@ -347,14 +370,21 @@ def node_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     What is joined on a component's root is staged on both sides, so that a component with very many texts splits."""
     bound_batches(docs.sparkSession)
-    ready = _ready(docs, id_column, text)
+    with staging(docs.sparkSession) as kept:
+        rows, found = _node_classes(_ready(docs, id_column, text), threshold)
+        kept += [rows, found]
+    return rows, found
+
+
+def _node_classes(ready: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     signed = stage(_signed(ready))
-    copies = stage(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).withColumn("rid", _rid(F.col("doc_id"))))
+    copies = stage(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.max("size").alias("bytes")).withColumn("rid", _rid(F.col("doc_id"))))
 
     roots = stage(components(proposed_links(signed, threshold)))
-    sizes = stage(roots.groupBy("root").agg(F.count("*").alias("size")))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = stage(roots.join(sizes, "root").join(copies.select("node", "rid"), "node").select("root", "node", "rid", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    sized = roots.join(copies.select("node", "rid", "bytes"), "node")
+    sizes = stage(sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes")))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
+    members = stage(sized.join(sizes, "root").select("root", "node", "rid", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     # joined on the text and one id that has it; of rows alike in both one goes on, folded before the shuffle
     # (a merge join at every size: a broadcast of few members would only hide what the shuffle of texts comes to)
     met = ready.withColumn("node", _node(F.col("text"))).drop("doc_id").join(members.hint("merge"), ["node", "rid"])
