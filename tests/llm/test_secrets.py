@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 from weftline.llm import secrets
 
@@ -42,21 +43,62 @@ def test_guess_cost_orders_values():
     assert secrets.guess_cost("") == 0
 
 
+def every_segment(v, rank, cost):
+    """All (i, j): price of its own kind, each substring looked at by itself."""
+    low = v.lower()
+    keys = low.translate(secrets.SHIFT)
+    for i in range(len(v)):
+        for j in range(i + 1, len(v) + 1):
+            part, n = low[i:j], j - i
+            upper = 0.3 if any(c.isupper() for c in v[i:j]) else 0.0
+            plain = part.translate(secrets.LEET)
+            if n >= 3 and part in rank:
+                yield i, j, math.log10(rank[part] + 1) + upper
+            if n >= 3 and plain != part and plain in rank:
+                yield i, j, math.log10(rank[plain] + 1) + 0.7 + upper
+            if (m := secrets.DATE.match(v, i)) and m.end() == j:
+                yield i, j, 2.1 if n == 4 else 4.6
+            steps = [secrets.STEPS.get(keys[k : k + 2]) for k in range(i, j - 1)]
+            if n >= 3 and all(s is not None for s in steps):
+                yield i, j, math.log10(47 * n) + 0.6 * (1 + sum(s != t for s, t in zip(steps, steps[1:])))
+            for way, extra in ((1, 0.0), (-1, 0.3)):
+                if n >= 3 and all(ord(y) - ord(x) == way for x, y in zip(part, part[1:])):
+                    yield i, j, math.log10(26 * n) + extra
+            for p in range(1, n // 2 + 1):
+                if n >= 3 and n % p == 0 and v[i:j] == v[i : i + p] * (n // p):
+                    yield i, j, cost(v[i : i + p]) + math.log10(n // p)
+
+
+def least_chain(v, rank, known):
+    if v not in known:
+        best = {}
+        for i, j, c in every_segment(v, rank, lambda u: least_chain(u, rank, known)):
+            best[i, j] = min(c, best.get((i, j), math.inf))
+        upto = [0.0]
+        for j in range(1, len(v) + 1):
+            upto.append(min(upto[i] + (secrets.JOIN if i else 0.0) + min(best.get((i, j), math.inf), sum(map(secrets._bits, v[i:j]))) for i in range(j)))
+        known[v] = upto[-1]
+    return known[v]
+
+
 def test_least_chain_over_all_segmentations():
+    """Against segments found one by one, inner parts of runs among them."""
     rng = random.Random(4)
-    values = ["abcabcab", "qwe123", "aaabbb", "passpass", "P@ss2019", "zaq1xsw2", "123321", "dragon9", "aXbXaXbX", "987abc"]
-    values += ["".join(rng.choice("abc1qw2e") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rank = secrets.ranks([*secrets.WORDS, "xyzabc", "ghiuvw"])
+    values = ["abcabcab", "qwe123", "aaabbb", "passpass", "P@ss2019", "zaq1xsw2", "123321", "dragon9", "aXbXaXbX", "987abc", "xyzabcdefghiuvw", "qwertyuiopasdf", "xqwertyx123456y", "1aaaaaaa1", "xabababababy"]
+    values += ["".join(rng.choice("abc1qw2e") for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    values += ["".join(rng.choice(["abcdef", "qwerty", "xyz", "1999", "aaa", "dragon", "9"]) for _ in range(4))[rng.randint(0, 3) :] for _ in range(60)]
+    known = {}
     for v in values:
-        best = {}
-        for i, j, cost in secrets.segments(v, secrets.RANK, 12):
-            best[i, j] = min(cost, best.get((i, j), math.inf))
-        n, least = len(v), math.inf
-        for k in range(n):
-            for cuts in itertools.combinations(range(1, n), k):
-                ends = [0, *cuts, n]
-                parts = zip(ends, ends[1:])
-                least = min(least, k * secrets.JOIN + sum(min(best.get(p, math.inf), sum(map(secrets._bits, v[p[0] : p[1]]))) for p in parts))
-        assert math.isclose(secrets.guess_cost(v), least, abs_tol=1e-9), v
+        assert math.isclose(secrets.guess_cost(v, rank), least_chain(v, rank, known), abs_tol=1e-9), v
+    assert math.isclose(secrets.guess_cost("xyzabcdefghiuvw", secrets.ranks(["xyzabc", "ghiuvw"])), 3.67, abs_tol=0.01)
+
+
+def test_long_runs_stay_near_linear():
+    began = time.time()
+    for v in ("a" * 20_000, "abcdefghij" * 2_000, "qwertyuiop" * 2_000, "x7Kq9ZpLm2WdTr0ub4dor3xQ9aB5" * 700):
+        assert secrets.guess_cost(v) < 45
+    assert time.time() - began < 60
 
 
 def test_periods_against_every_place():

@@ -80,6 +80,10 @@ def _steps() -> dict[str, int]:
 STEPS = _steps()
 
 
+#: Characters of a repeated unit up to which a repeat may begin inside its run.
+UNIT = 32
+
+
 def ranks(words: Sequence[str]) -> dict[str, int]:
     """Ranks from 1 of words of three letters or more, the first place of each."""
     out: dict[str, int] = {}
@@ -109,12 +113,6 @@ def _runs(steps: list, n: int) -> Iterator[tuple[int, int]]:
             a = i + 1
 
 
-def _cut(a: int, b: int, least: int) -> Iterator[tuple[int, int]]:
-    """[a, b) and all that is left of it after cutting either end."""
-    yield from ((a, j) for j in range(a + least, b + 1))
-    yield from ((i, b) for i in range(a + 1, b - least + 1))
-
-
 def _words(value: str, low: str, rank: dict[str, int], longest: int) -> Iterator[tuple[int, int, float]]:
     plain = low.translate(LEET)
     n = len(value)
@@ -127,24 +125,47 @@ def _words(value: str, low: str, rank: dict[str, int], longest: int) -> Iterator
                     yield i, j, math.log10(r + 1) + extra + (0.3 if upper else 0.0)
 
 
-def _walks(low: str) -> Iterator[tuple[int, int, float]]:
+class Run:
+    """[a, b) of which every part of `least` characters or more, of a multiple of `step`, is a segment; price(i, j) is its log10.
+
+    The longer of two segments that end alike gains on the shorter as the end moves on, since prices grow as the logarithm of a
+    length; so a start that an earlier one beats once is beaten for good, and few are left to compare."""
+
+    def __init__(self, a: int, b: int, step: int, least: int, price):
+        self.a, self.b, self.step, self.least, self.price = a, b, step, least, price
+        self.starts: list[list[int]] = [[] for _ in range(step)]
+
+    def cheapest(self, j: int, upto: list[float]) -> float:
+        """The cheapest chain that ends at j with a part of this run; upto has the cheapest chains to places before."""
+        starts = self.starts[j % self.step]
+        if j - self.least >= self.a:
+            starts.append(j - self.least)
+        best, kept = math.inf, []
+        for i in starts:
+            cost = upto[i] + self.price(i, j)
+            if cost < best:
+                best = cost
+                kept.append(i)
+        self.starts[j % self.step] = kept
+        return best
+
+
+def _walks(low: str) -> Iterator[Run]:
     keys = low.translate(SHIFT)
     n = len(low)
     steps = [STEPS.get(keys[i : i + 2]) for i in range(n - 1)]
     turned = [0, 0]  # turns among the steps before each step
     for i in range(1, n - 1):
         turned.append(turned[-1] + (steps[i] != steps[i - 1]))
-    for a, b in _runs(steps, n):
-        for i, j in _cut(a, b, 3):
-            yield i, j, math.log10(47 * (j - i)) + 0.6 * (1 + turned[j - 1] - turned[i + 1])
+    price = lambda i, j: math.log10(47 * (j - i)) + 0.6 * (1 + turned[j - 1] - turned[i + 1])
+    yield from (Run(a, b, 1, 3, price) for a, b in _runs(steps, n))
 
 
-def _sequences(low: str) -> Iterator[tuple[int, int, float]]:
+def _sequences(low: str) -> Iterator[Run]:
     n = len(low)
     for step in (1, -1):
-        for a, b in _runs([True if ord(low[i + 1]) - ord(low[i]) == step else None for i in range(n - 1)], n):
-            for i, j in _cut(a, b, 3):
-                yield i, j, math.log10(26 * (j - i)) + (0.3 if step < 0 else 0.0)
+        price = lambda i, j, back=0.3 if step < 0 else 0.0: math.log10(26 * (j - i)) + back
+        yield from (Run(a, b, 1, 3, price) for a, b in _runs([True if ord(low[i + 1]) - ord(low[i]) == step else None for i in range(n - 1)], n))
 
 
 def periods(value: str) -> Iterator[tuple[int, int, int]]:
@@ -173,48 +194,54 @@ def periods(value: str) -> Iterator[tuple[int, int, int]]:
                 yield a - p, b, p
 
 
-def _repeats(value: str, rank: dict[str, int], longest: int) -> Iterator[tuple[int, int, float]]:
+def _repeats(value: str, rank: dict[str, int], longest: int) -> Iterator[Run]:
+    """What repeats a unit of up to UNIT characters, wherever the unit begins; a longer unit begins where its run does."""
     for a, b, p in periods(value):
-        times = (b - a) // p
-        if times * p < 3:
-            continue
-        for end in {False, True} if (b - a) % p else {False}:
-            unit = value[b - p : b] if end else value[a : a + p]
-            cost = guess_cost(unit, rank, longest)
-            for k in range(2, times + 1):
-                if k * p >= 3:
-                    yield (b - k * p, b, cost + math.log10(k)) if end else (a, a + k * p, cost + math.log10(k))
-        if not (b - a) % p:
-            cost = guess_cost(value[a : a + p], rank, longest)
-            yield from ((b - k * p, b, cost + math.log10(k)) for k in range(2, times) if k * p >= 3)
+        costs: dict[int, float] = {}
+
+        def price(i: int, j: int, a=a, p=p, costs=costs) -> float:
+            at = (i - a) % p
+            if at not in costs:
+                costs[at] = guess_cost(value[i : i + p], rank, longest) if at == 0 or p <= UNIT else math.inf
+            return costs[at] + math.log10((j - i) // p)
+
+        yield Run(a, b, p, max(2 * p, 3), price)
 
 
 def segments(value: str, rank: dict[str, int], longest: int) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every pattern found in value; brute force is added by the chain."""
-    low = value.lower() if len(value.lower()) == len(value) else value
-    yield from _words(value, low, rank, longest)
+    """(start, end, log10 guesses) of the words and dates in value."""
+    yield from _words(value, _low(value), rank, longest)
     for i, c in enumerate(value):
         if c.isdigit() and (m := DATE.match(value, i)):
             yield i, m.end(), 2.1 if m.end() - i == 4 else 4.6
-    yield from _walks(low)
-    yield from _sequences(low)
-    yield from _repeats(value, rank, longest)
+
+
+def _low(value: str) -> str:
+    return value.lower() if len(value.lower()) == len(value) else value
 
 
 def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int | None = None) -> float:
-    """log10 of the guesses that the cheapest chain of segments needs."""
+    """log10 of the guesses that the cheapest chain needs of words, dates, keyboard walks, sequences, repeats and brute force."""
     if not value:
         return 0.0
+    n = len(value)
     longest = max(map(len, rank), default=0) if longest is None else longest
     found: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost in segments(value, rank, longest):
         found.setdefault(j, []).append((i, cost))
-    # the cheapest chain up to each place, by whether it ends in a brute-force span
-    brute, other = [math.inf], [0.0]
-    for j in range(1, len(value) + 1):
+    begin: dict[int, list[Run]] = {}
+    for run in (*_walks(_low(value)), *_sequences(_low(value)), *_repeats(value, rank, longest)):
+        if run.a + run.least <= run.b:
+            begin.setdefault(run.a + run.least, []).append(run)
+    # the cheapest chain up to each place, by whether it ends in a brute-force span; upto has the price of going on from there
+    brute, other, upto, open_ = [math.inf], [0.0], [0.0], []
+    for j in range(1, n + 1):
         join = JOIN if j > 1 else 0.0
         brute.append(min(brute[j - 1], other[j - 1] + join) + _bits(value[j - 1]))
-        other.append(min((min(brute[i], other[i]) + c + (JOIN if i else 0.0) for i, c in found.get(j, ())), default=math.inf))
+        open_ = [run for run in open_ if run.b >= j] + begin.get(j, [])
+        ends = [upto[i] + c for i, c in found.get(j, ())] + [run.cheapest(j, upto) for run in open_]
+        other.append(min(ends, default=math.inf))
+        upto.append(min(brute[j], other[j]) + JOIN)
     return min(brute[-1], other[-1])
 
 
