@@ -33,6 +33,8 @@ MAX_REPEATS = 3
 BLOCKS = 512
 SHARD_WORDS = 1 << 21
 DEEPEST = 10
+#: The tree splits at least so often, however small the mix.
+SHALLOWEST = 2
 SEED = 20
 
 
@@ -113,7 +115,7 @@ def _row_keys(id_column: str, source: str, text: str) -> tuple[Column, Column]:
 
 def tree_depth(words: float) -> tuple[int, int]:
     """(depth of the tree, tasks that share one shard) for a mix of so many words."""
-    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(words, 1) / SHARD_WORDS))))
+    depth = min(DEEPEST, max(SHALLOWEST, math.ceil(math.log2(max(words, 1) / SHARD_WORDS))))
     return depth, max(1, math.ceil(words / SHARD_WORDS / 2**depth))
 
 
