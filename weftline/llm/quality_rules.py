@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a predicate on measures of a text.  On a sample the operator finds what each rule rejects and what it costs:
-the time of a job that judges the sample by it, less the time of the same job without a rule, the least of RUNS each, after
-one that is not counted.  Rules are then chained by rejection per cost: a text that an early rule rejects never reaches the
-later ones.  Where some measures are computed anyway (`score_documents` returns five), a rule costs what is left of it.
+Each rule is a predicate on measures of a text.  In one job over a sample the operator finds what each rule rejects and what
+it costs: the characters and words that its measures pass over, counted, so that the same table always gives the same order
+(the time of a job over so small a sample is noise).  Rules are then chained by rejection per cost: a text that an early
+rule rejects never reaches the later ones.  Where some measures are computed anyway (`score_documents` returns five), a rule
+costs what is left of it.
 The order changes the work and never the verdict, which is that no rule rejects.  The sample has about SAMPLE_ROWS rows,
 taken in one pass over the texts (a count, which reads no texts, gives its share).
 
@@ -14,20 +15,20 @@ further columns pass through `filter_documents` untouched, whatever their names,
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import GAP, let, stage, text_of, unstage
+from weftline.llm.common import GAP, let, text_of
 
 WINDOW = 5
 SEED = 11
 SAMPLE_ROWS = 1000
-RUNS = 3
-#: Seconds that a rule costs at least, so that noise does not order rules that cost next to nothing.
-LEAST_COST = 1e-3
+#: What a comparison costs, in characters read.
+LEAST_COST = 1.0
+#: Passes over the characters of a text that a measure takes, and for each word as many characters more.
+PASSES = {"n_words": (1, 2), "word_chars": (1, 1), "n_symbols": (2, 0), "n_lines": (2, 0), "n_dup_lines": (3, 0), "n_repeat_words": (0, 60), "n_upper": (2, 0)}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -94,33 +95,21 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
 
 
 def order_rules(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, have: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
-    """The rules with (rejected share, seconds a sample) by rejection per second; have: measures that cost nothing more."""
+    """The rules with (rejected share, characters that it passes over in a text) by rejection per cost; have: measures that
+    cost nothing more."""
     rows = docs.count()
     if not rows:
         return [(r, 0.0, 0.0) for r in RULES]
     t = text_of()
-    # the texts are read in all tasks; only the sample goes to one
-    some = docs.select(F.col(text).alias("text")).sample(min(1.0, sample_rows / rows), seed=SEED).repartition(1)
+    some = docs.select(F.col(text).alias("text")).sample(False, min(1.0, sample_rows / rows), SEED)
     m = measures(t, F.array_remove(F.split(t, GAP), ""))
-    sample = stage(some.select("text", *(m[k].alias(k) for k in have)))
-    m |= {k: F.col(k) for k in have}
-
-    def timed(*columns: Column) -> tuple[float, list]:
-        best, row = float("inf"), None
-        for run in range(RUNS + 1):
-            began = time.perf_counter()
-            row = sample.agg(F.count("*"), F.sum(F.length("text")), *columns).first()
-            best = min(best, time.perf_counter() - began) if run else best
-        return best, row
-
-    nothing, (n, *_) = timed()
-    found = []
-    for rule in RULES if n else ():
-        seconds, (_, _, hit) = timed(F.count_if(rule.rejects(m)))
-        found.append((rule, hit / n, max(seconds - nothing, LEAST_COST)))
-    unstage(sample)
+    n, chars, words, *hits = some.agg(F.count("*"), F.sum(F.length(t)), F.sum(m["n_words"]), *(F.count_if(r.rejects(m)) for r in RULES)).first()
     # an empty sample of a small table tells nothing
-    return sorted(found, key=lambda x: (-(x[1] + 1e-3) / x[2], x[0].name)) or [(r, 0.0, 0.0) for r in RULES]
+    if not n:
+        return [(r, 0.0, 0.0) for r in RULES]
+    cost = lambda rule: LEAST_COST + sum(PASSES[k][0] * chars + PASSES[k][1] * words for k in rule.needs if k not in have) / n
+    found = [(rule, hit / n, cost(rule)) for rule, hit in zip(RULES, hits, strict=True)]
+    return sorted(found, key=lambda x: (-(x[1] + 1e-3) / x[2], x[0].name))
 
 
 def cascade(ordered: list[Rule], m: dict[str, Column]) -> Column:
