@@ -239,6 +239,16 @@ def test_cli_search(spark, tmp_path):
     cli.main(["index", str(tmp_path / "in"), str(tmp_path / "postings")])
     cli.main(["lookup", str(tmp_path / "postings"), str(tmp_path / "found"), "a", "d"])
     assert [r.k for r in readers.separated(spark, str(tmp_path / "found"), ["k", "v"]).collect()] == ["d3", "d1", "d2"]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/d4").write_text("Abc abc d\nd")
+    (tmp_path / "more/d5").write_text("")
+    cli.main(["index", str(tmp_path / "more"), str(tmp_path / "postings")])
+    cli.main(["lookup", str(tmp_path / "postings"), str(tmp_path / "parts"), "abc", "--match", "substring"])
+    assert [r.k for r in readers.separated(spark, str(tmp_path / "parts"), ["k", "v"]).collect()] == ["d4"]
+    cli.main(["lookup", str(tmp_path / "postings"), str(tmp_path / "best"), "A", "d", "--match", "ignore_case", "--top", "2"])
+    best = readers.separated(spark, str(tmp_path / "best"), ["k", "v"]).collect()
+    tie = round((1 + math.log10(2)) * math.log10(1 + 5 // 2), 6)
+    assert [(r.k, float(r.v)) for r in best] == [("d1", tie), ("d4", tie)]
     (tmp_path / "w").write_text("<title>A</title>[[B]]\n<title>B</title>[[A]] [[A]]\n")
     assert {r.doc_id for r in cli.pagerank(spark, str(tmp_path / "w"), []).collect()} == {"A", "B"}
 

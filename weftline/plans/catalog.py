@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import graph, index, sentiment, staging
+from weftline.operators import graph, index, sentiment, staging, store
 from weftline.sources import readers, writers
 from weftline.sources.readers import table
 
@@ -207,12 +207,16 @@ LINE_SQL = (
 )
 
 
-def _wiki(spark, d):
-    flat = F.regexp_replace("html", r"[\r\n]", " ")
-    linked = F.regexp_replace(F.regexp_replace("html", 'href="([^"]*)"', "[[$1]]"), r"[\r\n]", " ")
+def _wiki_line(keep_ends: bool = False):
+    flat = F.col("html") if keep_ends else F.regexp_replace("html", r"[\r\n]", " ")
+    linked = F.regexp_replace(flat, 'href="([^"]*)"', "[[$1]]")
     escaped = F.replace(F.replace(flat, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(' <text xml:space="preserve">'), escaped, F.lit(" &#65;&eacute;&nope;</text>")))
-    return table(spark, d, "pages").select("page_id", F.concat(linked, body, F.lit("[[ [[odd]]")).alias("line"))
+    return F.concat(linked, body, F.lit("[[ [[odd]]"))
+
+
+def _wiki(spark, d):
+    return table(spark, d, "pages").select("page_id", _wiki_line().alias("line"))
 
 
 @query(f"WITH {LINE_SQL} SELECT page_id, link, count(*) AS n FROM (SELECT page_id, replace(replace(unnest(regexp_extract_all(line, '\\[\\[.*?\\]\\]')), '[[', ''), ']]', '') AS link FROM line) GROUP BY ALL")
@@ -620,6 +624,65 @@ def postings_lookup(spark, d):
     return index.search(writers.read_postings(spark, path, TERMS, 16), TERMS).withColumn("score", r6("score"))
 
 
+def _stored(spark, d) -> store.Stored:
+    """The documents as an index of two segments, added one after the other."""
+    path, docs = _path(spark), table(spark, d, "documents")
+    for odd in (0, 1):
+        store.add_segment(docs.where(F.col("doc_id") % 2 == odd), path)
+    return store.Stored(spark, path)
+
+
+@query(ORACLES["search_exact"])
+def stored_segments(spark, d):
+    """Frequencies of two segments, summed when they are searched."""
+    return _stored(spark, d).search(TERMS).withColumn("score", r6("score"))
+
+
+GRAM_TERMS = ["tion", "und", "ab"]
+
+
+@query(TFIDF + f"SELECT doc_id, round(sum(tfidf), 6) AS score FROM ti WHERE {' OR '.join(f'contains(term, {_sql_list([t])})' for t in GRAM_TERMS)} GROUP BY doc_id")
+def stored_substring(spark, d):
+    """Substrings by trigrams; the one of two letters by all terms."""
+    return _stored(spark, d).search(GRAM_TERMS, "substring").withColumn("score", r6("score"))
+
+
+@query(RANKED + "SELECT doc_id, score FROM hit ORDER BY score DESC, doc_id LIMIT 30")
+def stored_top_30(spark, d):
+    """The best hits from the blocks whose bounds reach them."""
+    return _stored(spark, d).top_k(TERMS, 30)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey || '|' || o_custkey AS line FROM orders")
+def ordered_sink(spark, d):
+    """All orders as lines of many files in one order; the place of each by the manifest."""
+    path = _path(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    writers.ordered_text(rows.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("p")), path, F.desc("p"), "o_orderkey", sep="|")
+    return readers.ordered_lines(spark, path).select("place", F.regexp_replace("line", r"\|[^|]*$", "").alias("line"))
+
+
+@query(f"WITH {LINE_SQL} SELECT regexp_extract(line, '<title>(.*?)</title>', 1) AS title, CASE WHEN regexp_matches(line, '<text(.*?)</text>') THEN {BODY_SQL} END AS body, len(regexp_extract_all(line, '\\[\\[.*?\\]\\]')) AS links FROM line WHERE regexp_matches(line, '<title>.*?</title>')")
+def wiki_dump_pages(spark, d):
+    """Pages that span lines, in a dump of several files with text before, between and after them."""
+    path = _path(spark)
+    page = F.concat(F.lit("<mediawiki>\n<page> broken off\n<page>"), _wiki_line(keep_ends=True), F.lit("</page>\n</mediawiki>"))
+    table(spark, d, "pages").select(page.alias("value")).write.text(path)
+    return readers.wiki_pages(readers.wiki_dump(spark, path)).select("title", "body", F.size("links").cast("long").alias("links"))
+
+
+@query(
+    "WITH e AS (SELECT event_type, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 5 MINUTE, true)::INT AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts)), "
+    "r AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) "
+    "SELECT event_type AS term, min(ts) AS first, max(ts) + INTERVAL 5 MINUTE AS expires, count(*) AS df FROM r GROUP BY event_type, run"
+)
+def event_runs(spark, d):
+    """The batch form of the stream's frequencies that expire."""
+    from weftline.streaming.live import term_runs
+
+    return term_runs(table(spark, d, "events"), F.array("event_type"), expiry="5 minutes")
+
+
 @query(
     "SELECT event_type, round(sum(value) FILTER (event_id % 5 <> 0), 6) AS total FROM events GROUP BY event_type HAVING count(*) FILTER (event_id % 5 <> 0) > 0"
 )

@@ -1,6 +1,7 @@
-"""Command line: python -m weftline.plans.cli PIPELINE IN OUT [WORDS ...] [--stop-words FILE].
+"""Command line: python -m weftline.plans.cli PIPELINE IN OUT [WORDS ...] [--stop-words FILE] [--match HOW] [--top K].
 
-`index` writes an index once that `lookup` searches as often as wanted: its IN is the OUT of `index`."""
+`index` adds the texts of IN to the index at OUT, as one more segment; `lookup` searches it as often as wanted, its IN being the OUT
+of `index`.  A file may be in one segment only."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, index, sentiment, staging
+from weftline.operators import graph, index, sentiment, staging, store
 from weftline.sources import readers, writers
 
 
@@ -17,6 +18,12 @@ def _terms(spark: SparkSession, path: str) -> DataFrame:
     return index.boundary_terms(readers.text_lines(spark, path), text="line")
 
 
+def add(spark: SparkSession, path: str, root: str) -> str:
+    """The files of path, each a document, as one more segment of the index at root."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    return store.add_segment(whole, root, n_docs=readers.file_count(spark, path).first().n_docs)
+
+
 def pagerank(spark, path, words) -> DataFrame:
     lines = readers.text_lines(spark, path)
     e = graph.edges(lines, "line")
@@ -39,9 +46,14 @@ def search(spark, path, words) -> DataFrame:
     return index.rank(index.search(tfidf(spark, path, words), words))
 
 
+#: How `lookup` matches words (exact, ignore_case or substring), and how many hits it gives (0: all).
+LOOKUP: dict = {"how": "exact", "top": 0}
+
+
 def lookup(spark, path, words) -> DataFrame:
-    """Documents of an index written by `index`; only the buckets of the words are read."""
-    return index.rank(index.search(writers.read_postings(spark, path, words), words))
+    """Documents of an index that `index` wrote, ranked; with a top, from the blocks that can hold it."""
+    found = store.Stored(spark, path)
+    return found.top_k(words, LOOKUP["top"], LOOKUP["how"]) if LOOKUP["top"] else index.rank(found.search(words, LOOKUP["how"]))
 
 
 def wikisearch(spark, path, words) -> DataFrame:
@@ -95,11 +107,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("output")
     p.add_argument("words", nargs="*")
     p.add_argument("--stop-words", help="a file of stop words, one a line")
+    p.add_argument("--match", choices=["exact", "ignore_case", "substring"], default="exact", help="how lookup matches words")
+    p.add_argument("--top", type=int, default=0, help="how many hits lookup gives")
     a = p.parse_args(argv)
+    LOOKUP.update(how=a.match, top=a.top)
     STOP_WORDS[:] = [a.stop_words] if a.stop_words else []
     spark = SparkSession.builder.appName(f"weftline-{a.pipeline}").getOrCreate()
     if a.pipeline == "index":
-        writers.postings(tfidf(spark, a.input, a.words), a.output)
+        add(spark, a.input, a.output)
     else:
         writers.text(PIPELINES[a.pipeline](spark, a.input, a.words), a.output)
     staging.clear(spark)

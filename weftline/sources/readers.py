@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 
 TWEET = "class int, tweet_id string, created string, query string, user string, text string"
 LEXICON = "term string, score int"
+MANIFEST = "part int, file string, lines long, before long"
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], drop_empty: bool = False) -> DataFrame:
@@ -34,6 +35,14 @@ def wiki_pages(lines: DataFrame, column: str = "line") -> DataFrame:
     return rows.where("title IS NOT NULL")
 
 
+def wiki_dump(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(line): the pages of dumps in which a page spans many lines, each as one line that wiki_pages takes; line ends become
+    spaces.  Pages end at </page> and begin after the last <page> before it; what stands outside is left out.  A dump is
+    read in byte ranges of any size, and a page belongs to the range in which its predecessor's end tag lies or it begins."""
+    held = spark.read.option("lineSep", "</page>").text(paths).where(F.contains("value", F.lit("<page>")))
+    return held.select(F.regexp_replace(F.substring_index("value", "<page>", -1), r"[\r\n]", " ").alias("line"))
+
+
 def tweets(spark: SparkSession, paths: str | list[str], malformed: str = "fail") -> DataFrame:
     """Six quoted fields a line; a line of other form stops the read, or with malformed="drop" is left out."""
     mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}[malformed]
@@ -65,5 +74,17 @@ def lexicon(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(LEXICON).option("sep", "\t").option("quote", "").csv(paths)
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, line) of what writers.ordered_text wrote, places from 1.  A split of a file is numbered by itself, and begins
+    where the lines of the files (by the manifest) and of the splits before it end."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    rows = spark.read.text(f"{path}/lines").select("value", part.alias("part"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    splits = rows.groupBy("part", "at").agg(F.count("*").alias("n"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("at")) - F.col("n")
+    starts = splits.select("part", "at", inside.alias("inside")).join(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), "part")
+    place = F.row_number().over(Window.partitionBy("part", "at").orderBy("i")) + F.col("before") + F.col("inside")
+    return rows.join(starts, ["part", "at"]).select(place.cast("long").alias("place"), F.col("value").alias("line"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,20 @@ def single_sorted_text(df: DataFrame, path: str, *order, sep: str = "\t", most:
     _lines(df.orderBy(*order), sep).coalesce(1).write.text(path)
 
 
+def ordered_text(df: DataFrame, path: str, *order, sep: str = "\t") -> None:
+    """Any number of rows in one total order: files under path/lines, each a range, in the order of their numbers; and
+    path/manifest (part, file, lines, before) with what each holds and how many lines stand before it.  Rows with the same
+    keys share a range, so the order should end with a column that tells rows apart.  A field with a line end would be two lines
+    and is refused."""
+    spark = df.sparkSession
+    keyed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    line = _lines(keyed, sep).select(F.when(F.col("value").rlike(r"[\r\n]"), F.raise_error(F.lit("a field holds a line end"))).otherwise(F.col("value")).alias("value"))
+    line.write.text(f"{path}/lines")
+    name = F.col("_metadata.file_name")
+    held = spark.read.text(f"{path}/lines").groupBy(F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("part"), name.alias("file")).agg(F.count("*").alias("lines"))
+    held.withColumn("before", F.sum("lines").over(Window.orderBy("part")) - F.col("lines")).write.parquet(f"{path}/manifest")
+
+
 def postings(df: DataFrame, path: str, buckets: int = 256) -> None:
     """An index that a search for a term can prune: Parquet in directories by a hash of the term, sorted by term."""
     keyed = df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))

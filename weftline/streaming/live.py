@@ -29,3 +29,13 @@ def event_windows(stream: DataFrame, watermark: str = "10 minutes", window: str
     """Events by window and type: count and sum."""
     late = stream.withWatermark("ts", watermark)
     return late.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def term_runs(stream: DataFrame, terms, ts: str = "ts", expiry: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """(term, first, expires, df): how many rows (documents) hold a term, counted anew when it has not been seen for `expiry`.
+
+    terms is an array column; a term counts once a row, null terms and rows without time do not.  As a stream a term's state goes, and its
+    row comes, when the watermark passes `expires`; rows that come later than that are left out.  A table gives all rows."""
+    seen = stream.withWatermark(ts, watermark).select(ts, F.explode(F.array_distinct(terms)).alias("term")).where(F.col("term").isNotNull() & F.col(ts).isNotNull())
+    runs = seen.groupBy(F.session_window(ts, expiry).alias("run"), "term").agg(F.count("*").alias("df"))
+    return runs.select("term", F.col("run.start").alias("first"), F.col("run.end").alias("expires"), "df")
