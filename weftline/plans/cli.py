@@ -20,7 +20,7 @@ def _terms(spark: SparkSession, path: str) -> DataFrame:
 
 def add(spark: SparkSession, path: str, root: str) -> str:
     """The files of path, each a document, as one more segment of the index at root."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
     return store.add_segment(whole, root, n_docs=readers.file_count(spark, path).first().n_docs)
 
 
