@@ -11,7 +11,7 @@ from weftline.plans import catalog  # noqa: E402
 SF = "/root/testdata/sf0.001"
 MORE = "/root/testdata/sf0.01"
 #: Queries over pages and short texts, whose larger tables hold cases that the smallest do not.
-AGAIN = "wiki_text_strip wiki_search wiki_link_extract link_extract title_extract edge_list node_count pagerank_1 pagerank_converged tweet_csv_parse tweet_csv_source lexicon_classify lexicon_source clean_text_handles nb_classify_documents stored_substring stored_top_30 wiki_dump_pages event_runs ordered_sink".split()
+AGAIN = "wiki_text_strip wiki_search wiki_link_extract link_extract title_extract edge_list node_count pagerank_1 pagerank_converged tweet_csv_parse tweet_csv_source lexicon_classify lexicon_source clean_text_handles nb_classify_documents stored_substring stored_top_30 knn_all wiki_dump_pages event_runs ordered_sink".split()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import index, store
+from weftline.operators import index, sentiment, store
 from weftline.sources import readers, writers
 from weftline.streaming import live
 
@@ -144,3 +144,23 @@ def test_runs_of_terms_survive_a_restart(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("term <> 'end'").collect())
     want = sorted(tuple(r) for r in live.term_runs(frame(rows), words, expiry="45 minutes").collect())
     assert got == want and {r[0] for r in got} == {"a", "b"} and max(r[3] for r in got) == 12
+
+
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_neighbours_of_all(spark, k):
+    """The same as asking for each alone, with ties, words of one tweet in several cases, and rows that ask for nothing."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["W1", "W2"]
+    held = {(t, t % 3, rng.choice(words[: rng.choice([5, 42])])): rng.choice([0.5, 1.0, 2.25]) for t in range(60) for _ in range(8)}
+    postings = spark.createDataFrame([(*key, w) for key, w in held.items()], "tweet_id int, class int, term string, tfidf double")
+    asked = [(i, [rng.choice(words + ["none"]) for _ in range(n)]) for i, n in enumerate([1, 2, 5, 9, 30])] + [(7, []), (8, None), (9, ["none", None]), (10, [" W1", "w1"])]
+    got = sorted(tuple(r) for r in sentiment.knn_all(postings, spark.createDataFrame(asked, "asked_id int, terms array<string>"), k).select("asked_id", "score", "tweet_id", "class").collect())
+    want = []
+    for i, terms in asked:
+        lowered = {t.strip().lower() for t in terms or [] if t}
+        scores = {}
+        for (t, c, w), x in held.items():
+            if w.lower() in lowered:
+                scores[t, c] = scores.get((t, c), 0.0) + x
+        want += [(i, s, t, c) for (t, c), s in sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:k]]
+    assert got == sorted(want)

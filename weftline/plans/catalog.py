@@ -477,6 +477,24 @@ def knn_classify(spark, d):
     return sentiment.knn_classify(sentiment.knn_class_scores(_neighbours(spark, d))).withColumn("score", r6("score"))
 
 
+KNN_ALL = (
+    KNN.split(", hit AS")[0]
+    + ", fold AS MATERIALIZED (SELECT tweet_id, class, lower(word) AS word, sum(tfidf) AS w FROM ti GROUP BY ALL), "
+    + f"asked AS (SELECT conv_id * 1000 + turn AS asked_id, {_clean_sql(False)} AS text FROM conversations WHERE conv_id IS NOT NULL), "
+    + "term AS MATERIALIZED (SELECT DISTINCT asked_id, lower(unnest(string_split(rtrim(text, ' '), ' '))) AS word FROM asked WHERE text IS NOT NULL), "
+    + "sc AS (SELECT asked_id, tweet_id, class, round(sum(w), 6) AS score FROM term JOIN fold USING (word) GROUP BY ALL) "
+    + "SELECT asked_id, tweet_id, class, score FROM sc QUALIFY row_number() OVER (PARTITION BY asked_id ORDER BY score DESC, tweet_id, class) <= 30"
+)
+
+
+@query(KNN_ALL)
+def knn_all(spark, d):
+    """The neighbours of every turn among the labelled documents."""
+    turns = _turns(spark, d).where("tweet_id IS NOT NULL")
+    asked = turns.select(F.col("tweet_id").alias("asked_id"), tx.space_tokens(tx.clean_tweet(F.col("text"))).alias("terms"))
+    return sentiment.knn_all(sentiment.knn_index(_labelled(spark, d), STOP_WORDS), asked)
+
+
 # Cleaned text has only letters, digits and spaces: a boundary split gives its words, an empty token wherever spaces stand
 # between two words, and a leading token for leading space.
 MAXENT = (
