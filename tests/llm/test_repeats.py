@@ -156,29 +156,70 @@ def test_names_that_clash(spark):
         assert op.clean(df).columns == df.columns and op.clean(df).count() == 1 and op.digest(df).count() == 1
 
 
-@pytest.mark.parametrize("solo", [256, 2])
-def test_repeat_groups(spark, monkeypatch, solo):
+def plain_maximal(rows, width):
+    """{(text of the repeat, its occurrences)} from all suffixes, sorted; rows alike in id and text are listed once."""
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    suffixes = sorted((t[p:], i, p) for i, (_, t) in enumerate(texts) for p in range(len(t) - width + 1))
+    common = []
+    for (x, *_), (y, *_) in zip(suffixes, suffixes[1:], strict=False):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        common.append(n)
+    out = set()
+    for k, n in enumerate(common):
+        if n < width:
+            continue
+        a = z = k
+        while a and common[a - 1] >= n:
+            a -= 1
+        while z + 1 < len(common) and common[z + 1] >= n:
+            z += 1
+        at = [(i, p) for _, i, p in suffixes[a : z + 2]]
+        left = {texts[i][1][p - 1] if p else -1 - i for i, p in at}
+        if len(left) > 1:
+            out.add((suffixes[k][0][:n], frozenset((texts[i][0], p) for i, p in at)))
+    return out
+
+
+def found_maximal(spark, rows, **options):
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA).repartition(4)
+    texts = {d: (t or "").encode() for d, t in rows}
+    groups = {}
+    for r in suffix.repeat_groups(df, **options).collect():
+        at = groups.setdefault((r.group, r.length), {})
+        assert (r.doc_id, r.start) not in at
+        at[r.doc_id, r.start] = texts[r.doc_id][r.start : r.start + r.length]
+    for held in groups.values():
+        assert len(set(held.values())) == 1
+    return {(next(iter(held.values())), frozenset(held)) for held in groups.values()}
+
+
+@pytest.mark.parametrize(("solo", "ends"), [(256, 16), (2, 1)])
+def test_repeat_groups(spark, monkeypatch, solo, ends):
     monkeypatch.setattr(repeats, "SOLO", solo)
+    monkeypatch.setattr(suffix, "ENDS", ends)
     rng = np.random.default_rng(11)
     letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
-    shared = [letters(60), letters(45)]
+    shared = [letters(60), letters(45), letters(400)]
     rows = [(i, letters(9) + shared[i % 2][i // 4 :] + letters(7)) for i in range(12)] + [(20, letters(70))] * 2
-    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
-    texts = dict(rows)
-    groups = {}
-    for r in suffix.repeat_groups(df, width=40, seed=8).collect():
-        groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
-    covered = set()
-    for (_, n), at in groups.items():
-        assert len({texts[d][p : p + n] for d, p in at}) == 1 and n >= 40
-        assert len(at) > 1 or at <= {(20, p) for p in range(70)}
-        covered |= {(d, p + k) for d, p in at for k in range(n - 39)}
-    places = Counter(t[p : p + 40] for _, t in rows for p in range(len(t) - 39))
-    assert covered == {(d, p) for d, t in rows for p in range(len(t) - 39) if places[t[p : p + 40]] > 1}
-    if solo == 256:
-        # every window's occurrences are together in a group
-        for d, t in rows:
-            for p in range(len(t) - 39):
-                same = {(e, q) for e, u in rows for q in range(len(u) - 39) if u[q : q + 40] == t[p : p + 40]}
-                if len(same) > 1:
-                    assert any({(e, q - k) for e, q in same} <= at for (_, n), at in groups.items() for k in range(n - 39) if (d, p - k) in at)
+    # long repeats, one inside the other, at borders of texts, and repeats of a text in itself
+    rows += [(30, letters(5) + shared[2] + letters(5)), (31, shared[2][:300]), (32, letters(3) + shared[2][100:]), (33, shared[2]), (34, shared[2][50:350] + shared[2][50:350])]
+    rows += [(40, "ab" * 60), (41, "z" * 90), (42, ""), (43, None)]
+    assert found_maximal(spark, rows, width=40, seed=8) == plain_maximal(rows, 40)
+    assert found_maximal(spark, rows[:0], width=40, seed=8) == set()
+
+
+@pytest.mark.parametrize("many", [200, 300])
+def test_repeat_groups_of_many_texts(spark, many):
+    rng = np.random.default_rng(many)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared, passage = letters(260), letters(900)
+    rows = []
+    for i in range(many):
+        a = int(rng.integers(0, 40))
+        rows.append((i, letters(a) + shared + letters(40 - a)))
+    rows += [(1000 + i, letters(20 + i) + passage + letters(9)) for i in range(5)]
+    want = plain_maximal(rows, 200)
+    assert found_maximal(spark, rows) == want
+    assert (passage.encode(), frozenset((1000 + i, 20 + i) for i in range(5))) in want

@@ -142,9 +142,8 @@ def anchors(rows: DataFrame, words: bool, width: int, seed: int) -> DataFrame:
 BLOCK = "kind int, h long, c1 long, c2 long, doc long, tie long, s1 int, cnt int, off int, n int"
 
 
-def named_blocks(rows: DataFrame, words: bool, width: int, seed: int, earliest: bool, folded: bool = True) -> DataFrame:
-    """Blocks of keyed(): kind 0 to be compared, one for all of its content in a batch, n of them; kind 1: known repeats.
-    Not folded: every block is of kind 0."""
+def named_blocks(rows: DataFrame, words: bool, width: int, seed: int, earliest: bool) -> DataFrame:
+    """Blocks of keyed(): kind 0 to be compared, one for all of its content in a batch, n of them; kind 1: known repeats."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +157,7 @@ def named_blocks(rows: DataFrame, words: bool, width: int, seed: int, earliest:
             if not found:
                 continue
             doc, tie, s1, cnt, off, h, name = (np.concatenate(x) for x in zip(*found, strict=True))
-            go, n, known = fold(name, doc, tie, s1, earliest) if folded else (np.arange(len(doc)), np.ones(len(doc), int), np.zeros(0, int))
+            go, n, known = fold(name, doc, tie, s1, earliest)
             # known repeats take no part in the comparison: a hash of their place spreads them
             spread = _signed(ts.mix(doc[known].view(np.uint64) + s1[known].astype(np.uint64)))
             none = np.zeros(len(known), np.int64)
@@ -175,6 +174,28 @@ def named_blocks(rows: DataFrame, words: bool, width: int, seed: int, earliest:
     return rows.select("doc", "tie", "text").mapInArrow(run, BLOCK)
 
 
+def bordered_blocks(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """Every block of keyed() in bytes, named, with the bytes that precede its first window and follow its last; -1: none."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at, _, data, offsets in ts.chunks(b.column(2)):
+                u = Units(data, offsets, False)
+                row, begin, cnt, off, h = blocks(u.values, u.first, width, seed)
+                if not len(row):
+                    continue
+                end = begin + cnt - 1 + width
+                left = np.where(begin > u.first[row], data[np.maximum(begin - 1, 0)].astype(np.int32), -1)
+                right = np.where(end < u.first[row + 1], data[np.minimum(end, len(data) - 1)].astype(np.int32), -1)
+                name = u.names(begin, end)
+                columns = (_signed(h), name[:, 0], name[:, 1], docs[at + row], ties[at + row], begin - u.first[row], cnt, off, left, right)
+                types = [pa.int64()] * 5 + [pa.int32()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["h", "c1", "c2", *PLACE, "cnt", "off", "before", "after"])
+
+    return rows.select("doc", "tie", "text").mapInArrow(run, "h long, c1 long, c2 long, doc long, tie long, s1 int, cnt int, off int, before int, after int")
+
+
 #: A content of an anchor: the key it is grouped by, the first window and the number of windows of its block, the place of
 #: the anchor in the block, the windows [lo, hi] not settled yet, how many rows have it, and its units.
 CONTENT = "k1 long, k2 long, doc long, tie long, s1 int, cnt int, off int, lo int, hi int, n long, text binary"
@@ -312,21 +333,31 @@ def compare(rows: DataFrame, solve: Callable, words: bool, width: int, both: boo
     return out
 
 
-def joined_on_anchors(docs: DataFrame, solve: Callable, id_column: str, text: str, *, words: bool, width: int, seed: int, earliest: bool, folded: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def distinct_contents(met: DataFrame, *more) -> DataFrame:
+    """(h, c1, c2, place, cnt, off, n rows, more aggregates) of the contents of blocks."""
+    first = F.min(F.struct(*PLACE, "cnt", "off")).alias("at")
+    return met.groupBy("h", "c1", "c2").agg(first, F.sum("n").alias("n"), *more).select("*", "at.*").drop("at")
+
+
+def meeting(rows: DataFrame, contents: DataFrame, words: bool, width: int) -> DataFrame:
+    """The CONTENT rows, staged, of anchors with more than one content."""
+    anchor = stage(contents.groupBy("h").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"))
+    want = F.struct("h", "s1", "cnt", "off", "n", "of_anchor")
+    wanted = contents.join(anchor, "h").groupBy("doc", "tie").agg(F.collect_list(want).alias("at"))
+    return stage(contexts(rows, wanted, words, width))
+
+
+def joined_on_anchors(docs: DataFrame, solve: Callable, id_column: str, text: str, *, words: bool, width: int, seed: int, earliest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks whose anchor stands elsewhere too, their contents (h, c1, c2, place, cnt, off, n rows), what `compare` gives
     for contents that differ from others of their anchor)."""
     rows = keyed(docs, id_column, text)
     again = stage(anchors(rows, words, width, seed))
-    found = named_blocks(rows, words, width, seed, earliest, folded)
+    found = named_blocks(rows, words, width, seed, earliest)
     # both sides of a join are plain exchanges throughout, so that a key with very many rows splits
     met = stage(found.join(again.withColumn("again", F.lit(1)), "h", "left").where("kind = 1 OR again = 1").drop("again"))
     unstage(again)
-    first = F.min(F.struct(*PLACE, "cnt", "off")).alias("at")
-    contents = stage(met.where("kind = 0").groupBy("h", "c1", "c2").agg(first, F.sum("n").alias("n")).select("h", "c1", "c2", "at.*", "n"))
-    anchor = stage(contents.groupBy("h").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"))
-    want = F.struct("h", "s1", "cnt", "off", "n", "of_anchor")
-    wanted = contents.join(anchor, "h").groupBy("doc", "tie").agg(F.collect_list(want).alias("at"))
-    return met, contents, compare(stage(contexts(rows, wanted, words, width)), solve, words, width, not earliest)
+    contents = stage(distinct_contents(met.where("kind = 0")))
+    return met, contents, compare(meeting(rows, contents, words, width), solve, words, width, not earliest)
 
 
 def repeated_windows(docs: DataFrame, solve: Callable, id_column: str, text: str, *, words: bool, width: int, seed: int, earliest: bool) -> DataFrame:

@@ -8,8 +8,11 @@ blocks have is a leaf that stands for several suffixes, and so an interval of it
 bytes covers it, wherever the other occurrence is.  An anchor with very many contents is split by longer context until its
 parts fit a task, where the same tree is walked.
 
-`repeat_groups` gives the maximal repeats themselves, each with all its occurrences.  They are maximal inside the contexts
-of one anchor (at most 2 WIDTH - SEED_BYTES bytes); a longer repeat is a chain of groups that overlap.
+`repeat_groups` gives the maximal repeats themselves, of any length, each with all its occurrences.  The first window of a
+maximal repeat has different bytes before it, its last one different bytes after it; the trees of the anchors (or, for
+an anchor with very many contents, a grouping of its windows by name) and the borders of equal blocks tell where such
+windows are.  What lies from the one to the other is named and grouped, and kept if both its sides differ.  A start tries
+its nearest ends first, and further ones, twice as many each time, only while what it found still repeats.
 
 Defined results: a null text has no bytes; each row is a document, so rows that repeat a text remove each other; a
 null doc_id is allowed; a text shorter than WIDTH bytes keeps all; very long texts are one row each and take memory in
@@ -24,12 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import repeats
 from weftline.llm import textscan as ts
-from weftline.llm.common import bound_batches
+from weftline.llm.common import bound_batches, stage, staging
 
 WIDTH = 200
 SEED_BYTES = 32
@@ -168,11 +171,7 @@ def _solver(width: int, groups: bool = False):
             i = np.repeat(np.arange(len(texts)), [len(a) for a, _ in runs])
             at, cnt = (np.concatenate(x) if i.size else np.zeros(0, np.int64) for x in zip(*runs, strict=True))
             return repeats.ranges_batch(k1[i], k2[i], doc[i], tie[i], s1[i] + at, cnt, at)
-        rows = []
-        for length, places in groups_of(texts, width):
-            t, p = places[0]
-            key = repeats.name(texts[t][p : p + length], False)
-            rows += [(*key, doc[t], tie[t], s1[t] + p, length - width + 1, p) for t, p in places]
+        rows = [(0, 0, doc[t], tie[t], s1[t] + p, length - width + 1, p) for length, places in groups_of(texts, width) for t, p in places]
         return repeats.ranges_batch(*([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 7))
 
     def solve(batches):
@@ -204,26 +203,115 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     return repeats.repeated_windows(docs, _solver(width), id_column, text, words=False, width=width, seed=seed, earliest=False)
 
 
+#: Ends that a start tries in the first round.
+ENDS = 16
+
+
+def _diverse(of: str) -> Column:
+    """Whether the bytes `of` differ; -1, a border of a text, is unlike anything."""
+    return (F.min(of) < 0) | (F.min(of) != F.max(of))
+
+
+def _by_name(many: DataFrame, width: int) -> DataFrame:
+    """(doc, tie, s1, lo, hi, l, r) as `_marks` has them, for CONTENT rows of anchors with very many contents: windows that
+    several contents hold, found by name."""
+
+    def run(batches):
+        for b in batches:
+            for doc, tie, s1, text in zip(*(b.column(c).to_pylist() for c in ("doc", "tie", "s1", "text")), strict=True):
+                last = len(text) - width
+                names = [repeats.name(text[k : k + width], False) for k in range(last + 1)]
+                k1, k2 = zip(*names, strict=True)
+                n = last + 1
+                columns = [k1, k2, [doc] * n, [tie] * n, [s1] * n, range(n), [-1, *text[:last]], [*text[width:], -1]]
+                types = [pa.int64()] * 4 + [pa.int32()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["k1", "k2", "doc", "tie", "s1", "lo", "before", "after"])
+
+    windows = stage(many.mapInArrow(run, "k1 long, k2 long, doc long, tie long, s1 int, lo int, before int, after int"))
+    several = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), _diverse("before").alias("l"), _diverse("after").alias("r")).where("n > 1")
+    return windows.join(several, ["k1", "k2"]).select(*repeats.PLACE, "lo", F.col("lo").alias("hi"), "l", "r")
+
+
+def _marks(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """(doc, tie, at: a, z, l, r): windows a to z repeat; l: a may begin a maximal repeat, r: z may be the last window of one."""
+    again = stage(repeats.anchors(rows, False, width, seed))
+    met = stage(repeats.bordered_blocks(rows, width, seed).join(again, "h").withColumn("n", F.lit(1)))
+    contents = stage(repeats.distinct_contents(met, _diverse("before").alias("l"), _diverse("after").alias("r")))
+    texts = repeats.meeting(rows, contents.drop("l", "r"), False, width)
+    few = texts.where(F.col("of_anchor") <= repeats.SOLO).drop("of_anchor")
+    trees = few.repartition("k1", "k2").sortWithinPartitions("k1", "k2", *repeats.PLACE).mapInArrow(_solver(width, True), repeats.RANGES)
+    by_tree = trees.select("doc", "tie", (F.col("s1") - F.col("off")).alias("s1"), F.col("off").alias("lo"), (F.col("off") + F.col("cnt") - 1).alias("hi"), F.lit(True).alias("l"), F.lit(True).alias("r"))
+    inside = by_tree.unionByName(_by_name(texts.where(F.col("of_anchor") > repeats.SOLO), width))
+    # what one block of a content holds, all its blocks hold; a content that several blocks have repeats as a whole
+    of = contents.select("h", "c1", "c2", *repeats.PLACE).join(inside, [*repeats.PLACE]).select("h", "c1", "c2", "lo", "hi", "l", "r")
+    whole = contents.where("n > 1").select("h", "c1", "c2", F.lit(0).alias("lo"), (F.col("cnt") - 1).alias("hi"), "l", "r")
+    each = met.select("h", "c1", "c2", *repeats.PLACE).join(of.unionByName(whole), ["h", "c1", "c2"])
+    mark = F.struct((F.col("s1") + F.col("lo")).alias("a"), (F.col("s1") + F.col("hi")).alias("z"), "l", "r")
+    return each.groupBy("doc", "tie").agg(F.collect_set(mark).alias("at"))
+
+
+def _between(begun: DataFrame, width: int, first: int, count: int) -> DataFrame:
+    """What lies from the starts in `open` (null: all) to those of their ends that come after `first` others, `count` of
+    them: its name and length, its place, the bytes around it, the rows that hold it, and whether further ends follow."""
+
+    def run(batches):
+        for b in batches:
+            for doc, tie, text, n, at, open_ in zip(*(b.column(c).to_pylist() for c in ("doc", "tie", "text", "n", "at", "open")), strict=True):
+                text = text.encode()
+                # the runs of repeating windows, and the last window of each window's run
+                runs = repeats.merged([{"s1": m["a"], "cnt": m["z"] - m["a"] + 1} for m in at], 1, len(text))
+                begins = np.array([x for x, _ in runs])
+                ends = np.unique([m["z"] for m in at if m["r"]])
+                rows = []
+                for p in sorted({m["a"] for m in at if m["l"]}) if open_ is None else open_:
+                    upto = runs[int(np.searchsorted(begins, p, "right")) - 1][1]
+                    i, j = (int(x) for x in np.searchsorted(ends, (p, upto)))
+                    mine = ends[i + first : min(j, i + first + count)].tolist()
+                    before = text[p - 1] if p else -1
+                    held, done = hashlib.blake2b(digest_size=16, salt=repeats.SALT), p
+                    for q in mine:
+                        end = q + width
+                        held.update(text[done:end])
+                        done = end
+                        rows.append((*np.frombuffer(held.digest(), np.int64).tolist(), end - p, doc, tie, p, n, before, text[end] if end < len(text) else -1, q == mine[-1] and j > i + first + count))
+                if rows:
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in BETWEEN.split(", ")])
+
+    return begun.mapInArrow(run, BETWEEN)
+
+
+BETWEEN = "k1 long, k2 long, length int, doc long, tie long, start int, n long, before int, after int, further boolean"
+
+
 def repeat_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
-    """(group, length, doc_id, tie, start): every occurrence of every maximal repeat, in bytes; group names the bytes, tie
-    tells texts of one doc_id apart.  Where an anchor has more than repeats.SOLO contents, an occurrence of a part that it
-    shares with the content that represents the anchor is listed under the longest such part.  Output may far exceed the
-    input where repeats nest deeply."""
-    bound_batches(docs.sparkSession)
-    met, contents, differ = repeats.joined_on_anchors(docs, _solver(width, True), id_column, text, words=False, width=width, seed=seed, earliest=False, folded=False)
-    blocks = met.select("h", "c1", "c2", *repeats.PLACE, "cnt")
-    several = contents.where("n > 1").select("h", "c1", "c2", *(F.col(c).alias(f"f_{c}") for c in repeats.PLACE))
-    copies = blocks.join(several, ["h", "c1", "c2"])
-    whole = copies.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), *repeats.PLACE, "cnt")
-    # what one block of a content holds, all its blocks hold
-    other = copies.where("NOT (doc = f_doc AND tie = f_tie AND s1 = f_s1)").select("f_doc", "f_tie", "f_s1", *(F.col(c).alias(f"o_{c}") for c in repeats.PLACE))
-    parts = differ.withColumn("f_s1", F.col("s1") - F.col("off"))
-    met_again = parts.join(other, (F.col("doc") == F.col("f_doc")) & (F.col("tie") == F.col("f_tie")) & (parts["f_s1"] == other["f_s1"]))
-    moved = met_again.select("k1", "k2", F.col("o_doc").alias("doc"), F.col("o_tie").alias("tie"), (F.col("o_s1") + F.col("off")).cast("int").alias("s1"), "cnt")
-    rows = whole.unionByName(differ.select("k1", "k2", *repeats.PLACE, "cnt")).unionByName(moved).distinct()
-    group = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
-    doc_id = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
-    return rows.select(group.alias("group"), (F.col("cnt") + (width - 1)).alias("length"), doc_id.alias("doc_id"), "tie", F.col("s1").alias("start"))
+    """(group, length, doc_id, tie, start): every occurrence of every maximal repeat of width bytes or more; group names the
+    bytes, tie tells texts of one doc_id apart, rows alike in both are listed once (and repeat each other).  Output may
+    far exceed the input where repeats nest deeply."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    with staging(spark) as kept:
+        rows = repeats.keyed(docs, id_column, text)
+        marks = stage(_marks(rows, width, seed))
+        once = stage(rows.groupBy("doc", "tie").agg(F.count("*").alias("n"), F.first("text").alias("text")).join(marks, ["doc", "tie"]))
+        begun, found, first, count = once.withColumn("open", F.lit(None).cast("array<int>")), [], 0, ENDS
+        while True:
+            pairs = stage(_between(begun, width, first, count))
+            key = ["k1", "k2", "length"]
+            several = stage(pairs.groupBy(key).agg(F.sum("n").alias("held"), _diverse("before").alias("l"), _diverse("after").alias("r")).where("held > 1"))
+            found.append(pairs.join(several.where("l AND r").select(key), key, "left_semi"))
+            further = stage(pairs.where("further").join(several.select(key), key, "left_semi").groupBy("doc", "tie").agg(F.array_sort(F.collect_list("start")).alias("open")))
+            if further.isEmpty():
+                break
+            begun, first, count = once.join(further, ["doc", "tie"]), first + count, 2 * count
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        group = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
+        doc_id = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
+        result = stage(out.select(group.alias("group"), "length", doc_id.alias("doc_id"), "tie", "start"))
+        kept.append(result)
+    return result
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
