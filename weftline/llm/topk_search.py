@@ -119,18 +119,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec
     rows = clean(vectors)
     asked = stage(clean(queries).distinct().withColumn("dim", F.size("v")))
     dims = asked.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()
+    # the largest component of each length, once for all blocks
+    largest = {r.dim: r.most for r in rows.groupBy(F.size("v").alias("dim")).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).collect()} if dims else {}
     path = staged_as(spark)
     result = "query_id long, rank int, vec_id long, score long"
     for dim, block, n in _blocks(asked, dims):
         mine = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)) == block)).select("vec_id", "v").collect()
         if mine:
-            _search_block(spark, rows, sorted((r.vec_id, r.v) for r in mine), dim, k, scale).write.mode("append").parquet(path)
+            _search_block(spark, rows, sorted((r.vec_id, r.v) for r in mine), dim, k, scale, largest.get(dim, 0.0)).write.mode("append").parquet(path)
     if not dims:
         return spark.createDataFrame([], result)
     return spark.read.schema(result).parquet(path)
 
 
-def _search_block(spark, rows: DataFrame, mine: list, dim: int, k: int, scale: int) -> DataFrame:
+def _search_block(spark, rows: DataFrame, mine: list, dim: int, k: int, scale: int, largest: float) -> DataFrame:
     ids = np.array([i for i, _ in mine], np.int64)
     sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in mine], np.float64).reshape(len(mine), dim)))
     step = lambda c: max(1, SCORES // max(1, len(c)))
@@ -171,7 +173,7 @@ def _search_block(spark, rows: DataFrame, mine: list, dim: int, k: int, scale: i
         return rows.mapInArrow(run, "i int, bin int, n long").groupBy("i", "bin").agg(F.sum("n").alias("n"))
 
     # refine until a bin is one integer wide; the first bins span every score there can be
-    bound = _bound(rows, mine, dim, scale)
+    bound = _bound(largest, mine, dim, scale)
     least, width = (-bound, 2 * bound + 1) if bound < MOST else (LEAST, 1 << 64)
     lo, need = np.full(len(ids), least, np.int64), np.full(len(ids), k, np.int64)
     while width > 1:
@@ -221,8 +223,7 @@ def _search_block(spark, rows: DataFrame, mine: list, dim: int, k: int, scale: i
     return chosen.join(names, "i").select("query_id", "rank", "vec_id", "score")
 
 
-def _bound(rows: DataFrame, mine: list, dim: int, scale: int) -> int:
-    """No score of these queries lies beyond."""
-    largest = rows.where(F.size("v") == dim).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 0.0
+def _bound(largest: float, mine: list, dim: int, scale: int) -> int:
+    """No score of these queries with components up to `largest` lies beyond."""
     asked = max((abs(x) for _, v in mine for x in v), default=0.0)
     return dim * (_whole(largest, scale) + 1) * (_whole(asked, scale) + 1) + 1
