@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weftline.functions import text as tx
-from weftline.operators import index
+from weftline.operators import index, tally
 from weftline.operators.staging import cut, drop
 
 CLASSES = (0, 2, 4)
@@ -74,11 +74,10 @@ def nb_stats(tweets: DataFrame, words: DataFrame) -> DataFrame:
 def nb_train(tweets: DataFrame, stop_words: list[str]) -> tuple[DataFrame, DataFrame]:
     """nb_counts and nb_stats of tweets from one pass: each tweet has one row without word, which the counts by word gather
     under no word.  Those counts are written; staging.clear() removes what the results still read."""
-    cleaned = tweets.select("class", tx.space_tokens(tx.clean_tweet(F.col("text"), at_only=True)).alias("words"))
-    each = cleaned.select("class", F.explode(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("word"))
+    each = tally.rows(tweets, tally.cleaned(at_only=True), ("class",), with_docs=True).withColumnRenamed("term", "word")
     stop = F.lower("word").isin([w.lower() for w in stop_words]) if stop_words else F.lit(False)
     known = each.where(F.col("word").isNull() | ~stop)
-    found = cut(known.groupBy("word").agg(F.count("*").alias("n"), *(F.count_if(F.col("class") == c).alias(f"c{c}") for c in CLASSES)))
+    found = cut(known.groupBy("word").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in CLASSES)))
     names = ((4, "positive"), (2, "neutral"), (0, "negative"))
     tweet, word = F.col("word").isNull(), F.col("word").isNotNull()
     total = lambda of, c: F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0))
@@ -102,10 +101,13 @@ def nb_scores(model: DataFrame, stats: DataFrame, tweets: DataFrame, at_only: bo
     """(tweet_id, class, probability, log_probability): prior times the product over the words of each tweet, matched without
     case.  The product of a long text may be too small for a double, its logarithm never is.  Unknown words are passed over; a
     tweet without known words has no row, and a class without tweets has probability 0 and no logarithm."""
-    words = tweets.select("tweet_id", F.explode(tx.space_tokens(tx.clean_tweet(F.col("text"), at_only))).alias("w")).select("tweet_id", F.lower("w").alias("w"))
-    # the key of the model is never null, so that no filter is inferred there and its shuffle is the one of the counts
-    met = words.where("w IS NOT NULL").join(model, F.col("w") == F.coalesce(F.lower("word"), F.lit("")))
-    logs = met.groupBy("tweet_id", "class").agg(F.sum(F.ln("p")).alias("lp"))
+    words = tally.rows(tweets, tally.cleaned(at_only, folded=True), ("tweet_id",)).withColumnRenamed("term", "w")
+    # one row a word, whatever its cases and classes; several rows of a model are factors each
+    lp = [F.sum(F.when(F.col("class") == c, F.ln("p"))).alias(f"lp{c}") for c in CLASSES]
+    known = model.groupBy(F.coalesce(F.lower("word"), F.lit("")).alias("w")).agg(*lp)
+    sums = words.join(known, "w").groupBy("tweet_id").agg(*(F.sum(F.col("n") * F.col(f"lp{c}")).alias(f"lp{c}") for c in CLASSES))
+    rows = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"lp{c}").alias("lp")) for c in CLASSES))
+    logs = sums.select("tweet_id", F.explode(rows).alias("x")).select("tweet_id", "x.class", "x.lp").where("lp IS NOT NULL")
     prior = _of_class("tweets") / F.col("total_tweets")
     log = logs.crossJoin(F.broadcast(stats)).select("tweet_id", "class", (F.ln(prior) + F.col("lp")).alias("log_probability"))
     return log.select("tweet_id", "class", F.coalesce(F.exp("log_probability"), F.lit(0.0)).alias("probability"), "log_probability")
@@ -121,10 +123,11 @@ def nb_classify(model: DataFrame, stats: DataFrame, tweets: DataFrame) -> DataFr
 
 def knn_index(tweets: DataFrame, stop_words: list[str]) -> DataFrame:
     """(tweet_id, class, term, tfidf) of cleaned tweets, stop words dropped case by case."""
-    words = _known_words(tweets, stop_words, at_only=False, ignore_case=False)
-    key = F.struct("tweet_id", "class").alias("doc_id")
-    found = index.tfidf(index.word_count(words.select(key, F.col("word").alias("term"))), tweets.agg(F.count("*").alias("n_docs")))
-    return found.select("doc_id.tweet_id", "doc_id.class", "term", "tfidf")
+    ids = ("tweet_id", "class")
+    counts = tally.counts(tweets, tally.cleaned(), ids)
+    if stop_words:
+        counts = counts.where(~F.col("term").isin(stop_words))
+    return index.tfidf(counts, tweets.agg(F.count("*").alias("n_docs")), ids)
 
 
 def knn_neighbours(postings: DataFrame, terms: list[str], k: int = NEIGHBOURS) -> DataFrame:
