@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators import index
+from weftline.operators import index, tally
 from weftline.operators.staging import cut, drop
 
 GRAM = 3
@@ -44,8 +44,8 @@ def add_segment(docs: DataFrame, root: str, id_column: str = "doc_id", text: str
     for sources that leave out empty documents, which count as well."""
     name = "s" + uuid.uuid4().hex
     n_docs = docs.count() if n_docs is None else n_docs
-    placed = docs.select(F.struct(F.col(id_column).alias("doc_id"), _block(id_column, text, n_docs).alias("block")).alias("at"), F.col(text).alias("text"))
-    counts = cut(index.word_count(index.boundary_terms(placed, "at")).select("term", "doc_id.block", "doc_id.doc_id", "n"))
+    placed = docs.select(F.col(id_column).alias("doc_id"), _block(id_column, text, n_docs).alias("block"), F.col(text).alias("text"))
+    counts = cut(tally.counts(placed, ids=("doc_id", "block")).select("term", "block", "doc_id", "n"))
 
     def put(df: DataFrame, table: str, *order: str) -> DataFrame:
         ordered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
