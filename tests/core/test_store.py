@@ -1,11 +1,13 @@
 """Stored index in segments, ordered files, pages over many lines, and runs of terms."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import index, sentiment, store
+from weftline.operators import index, neighbours, sentiment, store
 from weftline.sources import readers, writers
 from weftline.streaming import live
 
@@ -164,3 +166,38 @@ def test_neighbours_of_all(spark, k):
                 scores[t, c] = scores.get((t, c), 0.0) + x
         want += [(i, s, t, c) for (t, c), s in sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:k]]
     assert got == sorted(want)
+
+
+def test_neighbours_shuffle_no_pairs(spark):
+    """Where every text holds the words of every question, what is shuffled does not grow with texts x questions."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(t, 0, w, 1 + rng.random()) for t in range(1500) for w in words]
+    asked = [(i, words[: 3 + i % 8]) for i in range(300)]
+    postings = spark.createDataFrame(rows, "tweet_id int, class int, term string, tfidf double")
+    before = store.executorSummary("driver").totalShuffleWrite()
+    got = sentiment.knn_all(postings, spark.createDataFrame(asked, "asked_id int, terms array<string>"), 3).collect()
+    assert len(got) == 900
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 2_000_000
+
+
+@pytest.mark.parametrize("least", [0.5, -1.0])
+def test_packs_of_neighbours(monkeypatch, least):
+    """One pair of packs against all pairs one by one, with tables of a few cells, copies, and floors that hold or do not."""
+    monkeypatch.setattr(neighbours, "AT_ONCE", 7)
+    monkeypatch.setattr(neighbours, "CELLS", 60)
+    rng = random.Random(3)
+    texts = [{rng.randrange(30): round(rng.uniform(least, 3), 2) or 1.0 for _ in range(rng.randrange(1, 15))} for _ in range(40)]
+    texts += [texts[0]] * 9
+    asks = [sorted({rng.randrange(40) for _ in range(rng.randrange(1, 8))}) for _ in range(25)] + [[99]]
+    exact = [sorted((-sum(d[w] for w in q if w in d), t) for t, d in enumerate(texts) if any(w in d for w in q)) for q in asks]
+    k = 4
+    floors = [-math.inf if i % 3 or len(x) < k else -x[k - 1][0] - neighbours.NEAR for i, x in enumerate(exact)]
+    words, at = np.unique([w for d in texts for w in sorted(d)], return_inverse=True)
+    ends = np.cumsum([len(d) for d in texts])
+    ws = np.array([d[w] for d in texts for w in sorted(d)])
+    q, t, raw = neighbours._of_pair(k, np.arange(len(texts)), ends, words, at, ws, np.arange(len(asks)) + 100, np.cumsum([len(x) for x in asks]), np.concatenate(asks), np.array(floors))
+    for i, want in enumerate(exact):
+        got = sorted((-round(r, 6), int(x)) for a, x, r in zip(q, t, raw) if a == i + 100)[:k]
+        assert got == [(round(s, 6), x) for s, x in want[:k]]
