@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import graph, index, sentiment
+from weftline.operators import graph, index, sentiment, staging
 from weftline.sources import readers, writers
 
 DOCS = [("d1", "a b a"), ("d2", "a c"), ("d3", "b b b d")]
@@ -343,3 +343,14 @@ def test_maxent_stops_at_its_error(spark):
     for error, steps in ((8.0, 1), (1.0, 5), (math.inf, 1)):
         assert {round(r["lambda"], 6) for r in sentiment.maxent_converged(rows, error, 5).collect()} == {round(step * steps, 6)}
     assert sentiment.maxent_converged(rows.limit(0), 1.0).count() == 0
+
+
+def test_maxent_gathers_tweets_once(spark, monkeypatch):
+    """However many steps there are, rows are written once, and what the steps read is not shuffled."""
+    rows = sentiment.maxent_init(spark.createDataFrame([(str(i), 4, "w " * i + "x y") for i in range(9)], "tweet_id string, class int, text string"))
+    written = []
+    monkeypatch.setattr(sentiment, "cut", lambda df: written.append(df) or staging.cut(df))
+    steps = sentiment.maxent_converged(rows, 1.0, 23)
+    assert len(written) == 1 and "Exchange" not in steps._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, steps.collect())) == sorted(map(tuple, sentiment.maxent_iterate(rows, 23).collect()))
+    assert sentiment.maxent_converged(rows, 1.0, 0).agg({"lambda": "max"}).first()[0] == 0.0

@@ -38,3 +38,15 @@ def test_tokens_are_not_shuffled(spark, monkeypatch):
     found = tally.counts(docs)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 250 and tx.SPACE[0] == " "
+
+
+def test_parts_of_cleaned_texts(spark):
+    """Counted where they are read, the tokens with empty ones among them are those of the column expression."""
+    texts = ["", " ", "   ", "a", " a", "a ", "  a  ", "a b", "a  b", " a b a ", "  a   b  ", "! !", "!a? b", "@x a", "x http://y.z b", None, "A a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    line = tx.clean_tweet(F.col("text"))
+    want = df.select("doc_id", line.alias("line")).select("doc_id", F.explode(tx.boundary_tokens(F.col("line"), keep_empty=True)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    got = tally.counts(df, tally.cleaned(parts=tally.parted))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    count = tally.cleaned(folded=True, parts=tally.asked)()
+    assert [dict(count(t)) for t in (None, "", "! !", " A a  b ")] == [{}, {"": 1}, {"": 1}, {"": 2, "a": 2, "b": 1}]

@@ -11,10 +11,12 @@ from pyspark.sql import Window
 
 from weftline.functions import text as tx
 from weftline.operators import index, neighbours, tally
-from weftline.operators.staging import cut, drop
+from weftline.operators.staging import cut
 
 CLASSES = (0, 2, 4)
 NEIGHBOURS = 30
+#: Steps of the maximum-entropy update whose moves are looked at in one job.
+STEPS_AT_ONCE = 10
 
 
 def lexicon(entries: DataFrame) -> DataFrame:
@@ -158,33 +160,50 @@ def knn_classify(class_scores: DataFrame) -> DataFrame:
 def maxent_init(tweets: DataFrame) -> DataFrame:
     """(tweet_id, class, word, f, lambda): each word's count in its cleaned tweet, weight zero.  Empty tokens between
     words are words here."""
-    cleaned = tweets.select("tweet_id", "class", tx.clean_tweet(F.col("text")).alias("line"))
-    words = cleaned.select("tweet_id", "class", F.explode(tx.boundary_tokens(F.col("line"), keep_empty=True)).alias("word"))
-    return words.groupBy("tweet_id", "class", "word").agg(F.count("*").cast("double").alias("f")).withColumn("lambda", F.lit(0.0))
+    counts = tally.counts(tweets, tally.cleaned(parts=tally.parted), ("tweet_id", "class"))
+    return counts.select("tweet_id", "class", F.col("term").alias("word"), F.col("n").cast("double").alias("f"), F.lit(0.0).alias("lambda"))
+
+
+def _delta() -> Column:
+    tweet = Window.partitionBy("tweet_id")
+    return F.sum("f").over(tweet) / F.sum(F.col("f") * math.exp(-2)).over(tweet)
 
 
 def maxent_step(rows: DataFrame) -> DataFrame:
     """Every weight grows by sum(f) / sum(f x p), p = exp(x) / exp(x + 2), x = sum(f x lambda) of the tweet.  The quotient is
     taken of the exponents, so that it is exact for texts of any length, where exp(x) is beyond a double."""
-    tweet = Window.partitionBy("tweet_id")
-    delta = F.sum("f").over(tweet) / F.sum(F.col("f") * math.exp(-2)).over(tweet)
-    return rows.withColumn("lambda", F.col("lambda") + delta)
+    return rows.withColumn("lambda", F.col("lambda") + _delta())
 
 
 def maxent_iterate(rows: DataFrame, iterations: int = 1) -> DataFrame:
     return reduce(lambda df, _: maxent_step(df), range(iterations), rows)
 
 
-def maxent_converged(rows: DataFrame, error: float, most: int = 100) -> DataFrame:
-    """Steps until none moves a weight by more than the allowed error, or `most` of them.  Each step's rows are written, and
-    the largest move is looked at there; staging.clear() removes what the result still reads."""
-    now = cut(rows.withColumn("_moved", F.lit(0.0)))
-    for _ in range(most):
-        before, now = now, cut(maxent_step(now.withColumn("_moved", F.col("lambda"))).withColumn("_moved", F.abs(F.col("lambda") - F.col("_moved"))))
-        drop(before)
-        if not (now.agg(F.max("_moved")).first()[0] or 0.0) > error:
+def maxent_moves(rows: DataFrame) -> DataFrame:
+    """rows with _delta, by which every step moves a weight: counts do not change, and p is the same in all steps.  So tweets
+    are gathered once, for any number of steps and errors.  They are written; staging.clear() removes them."""
+    return cut(rows.withColumn("_delta", _delta()))
+
+
+def maxent_until(moves: DataFrame, error: float, most: int = 100) -> DataFrame:
+    """Steps over maxent_moves until none moves a weight by more than the allowed error, or `most` of them.  The largest moves of
+    STEPS_AT_ONCE steps are looked at together, in weights and moves alone."""
+    after = [F.col("lambda")]
+    while len(after) <= most:
+        begin = len(after)
+        for _ in range(min(STEPS_AT_ONCE, most + 1 - begin)):
+            after.append(after[-1] + F.col("_delta"))
+        moved = moves.agg(*(F.max(F.abs(after[i] - after[i - 1])).alias(f"m{i}") for i in range(begin, len(after)))).first()
+        met = next((i for i in range(begin, len(after)) if not (moved[f"m{i}"] or 0.0) > error), None)
+        if met is not None:
+            after = after[: met + 1]
             break
-    return now.drop("_moved")
+    return moves.withColumn("lambda", after[-1]).drop("_delta")
+
+
+def maxent_converged(rows: DataFrame, error: float, most: int = 100) -> DataFrame:
+    """Steps until none moves a weight by more than the allowed error, or `most` of them."""
+    return maxent_until(maxent_moves(rows), error, most)
 
 
 def maxent_records(rows: DataFrame) -> DataFrame:

@@ -537,8 +537,8 @@ def maxent_three_steps(spark, d):
 @query("WITH low AS (" + _steps_sql(4) + "), high AS (" + _steps_sql(1) + ") SELECT 7 AS error, * FROM low UNION ALL SELECT 8, * FROM high")
 def maxent_converged(spark, d):
     """The update until weights move by no more than an allowed error, or for four steps."""
-    rows = sentiment.maxent_init(_turns(spark, d))
-    runs = [sentiment.maxent_converged(rows, error, 4).select(F.lit(error).alias("error"), "*") for error in (7, 8)]
+    moves = sentiment.maxent_moves(sentiment.maxent_init(_turns(spark, d)))
+    runs = [sentiment.maxent_until(moves, error, 4).select(F.lit(error).alias("error"), "*") for error in (7, 8)]
     return runs[0].unionByName(runs[1]).withColumn("lambda", r6("lambda"))
 
 
