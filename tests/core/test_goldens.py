@@ -354,3 +354,17 @@ def test_maxent_gathers_tweets_once(spark, monkeypatch):
     assert len(written) == 1 and "Exchange" not in steps._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, steps.collect())) == sorted(map(tuple, sentiment.maxent_iterate(rows, 23).collect()))
     assert sentiment.maxent_converged(rows, 1.0, 0).agg({"lambda": "max"}).first()[0] == 0.0
+
+
+def test_links_are_numbers(spark, monkeypatch):
+    """Steps shuffle numbers, not ids; where two ids have one number, another salt is taken, and null and repeated nodes stay."""
+    pairs, edges, nodes = _rank_edges(spark)
+    assert {t for _, t in graph.Links(edges, nodes).links.dtypes} == {"bigint"}
+    want = {r.id: r.rank for r in graph.pagerank(edges, nodes, 3).collect()}
+    number, salts = graph._number, set()
+    monkeypatch.setattr(graph, "_number", lambda of, salt: salts.add(salt) or (number(of, salt) if salt > 1 else number(of, salt) % 2))
+    more = nodes.unionByName(spark.createDataFrame([(None,), ("n1",)], "id string"))
+    got = graph.pagerank(edges, more, 3).collect()
+    assert salts == {0, 1, 2} and len(got) == len(want) + 2 and [round(r.rank, 9) for r in got if r.id is None] == [0.15]
+    assert len({r.rank for r in got if r.id == "n1"}) == 1
+    assert {r.id for r in got} == {*want, None}
