@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,59 @@ def test_packs_of_neighbours(monkeypatch, least):
     for i, want in enumerate(exact):
         got = sorted((-round(r, 6), int(x)) for a, x, r in zip(q, t, raw) if a == i + 100)[:k]
         assert got == [(round(s, 6), x) for s, x in want[:k]]
+
+
+def _texts_by_word(texts):
+    words, at = np.unique([w for d in texts for w in sorted(d)], return_inverse=True)
+    col, ws = np.repeat(np.arange(len(texts)), [len(d) for d in texts]), np.array([d[w] for d in texts for w in sorted(d)])
+    return words, *neighbours._by_word(at, col, ws, len(words))
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 3000])
+def test_most_postings_of_neighbours_are_not_read(monkeypatch, cells):
+    """With floors, a few of the postings tell which texts can be among the best, and none of those is lost; packs are in
+    another order than ids, and a table takes all frequent words or a few."""
+    monkeypatch.setattr(neighbours, "CELLS", cells)
+    monkeypatch.setattr(neighbours, "SCORED", 1000)
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 301) ** 0.8
+    weigh = np.log10(1 + 1 / np.minimum(share, 0.9))
+    texts = []
+    for n in rng.integers(10, 400, 600):
+        held, times = np.unique(rng.choice(300, n, p=share / share.sum()), return_counts=True)
+        texts.append({int(w): float(weigh[w] * (1 + np.log10(x))) for w, x in zip(held, times)})
+    ts = rng.permutation(600)
+    asks = [np.unique(rng.choice(300, n, p=share / share.sum())) for n in rng.integers(3, 60, 80)]
+    k = 5
+    exact = [sorted((-round(sum(d[w] for w in q.tolist() if w in d), 6), int(ts[i])) for i, d in enumerate(texts) if not d.keys().isdisjoint(q.tolist()))[:k] for q in asks]
+    floors = np.array([-x[-1][0] - neighbours.NEAR for x in exact])
+    pack, ends = neighbours._Pack(ts, *_texts_by_word(texts)), np.cumsum([len(x) for x in asks])
+    q, t, raw = pack.best(k, np.arange(80), ends, np.concatenate(asks), floors)
+    for i, want in enumerate(exact):
+        assert sorted((-round(r, 6), int(x)) for a, x, r in zip(q, t, raw) if a == i)[:k] == want
+    _, reads, need = pack._cut(np.searchsorted(pack.words, np.concatenate(asks)), np.diff(ends, prepend=0), floors)
+    assert (need > 0).all()
+    if cells > 3000:
+        assert reads.sum() < 0.3 * np.diff(pack.begins)[np.searchsorted(pack.words, np.concatenate(asks))].sum()
+
+
+def test_copies_of_texts_are_packed_once():
+    """Texts alike in words and weights stand once in a pack, on both sides of a batch's end."""
+    rows = [(t, [3, 5 + t // 4], [1.0, 2.0], 7, t // 4) for t in range(12)]
+    names = ["t", "wids", "ws", "s1", "s2"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], x) for i, x in enumerate(types)], names) for some in (rows[:6], rows[6:])]
+    packs = [p.to_pylist()[0] for p in neighbours._packs_of_texts(iter(batches))]
+    assert [t for p in packs for t in p["ts"]] == [0, 4, 8]
+    assert sum(len(p["cols"]) for p in packs) == 6
+
+
+def test_neighbours_among_copies(spark):
+    """Copies of a text are neighbours each, the lower ids first, also where more of them than k are alike."""
+    held = {0: ["a", "b"], 1: ["a"], 2: ["a", "b", "c"]}
+    rows = [(t, 0, w, 1.5) for t in range(40) for w in held[t % 3]]
+    postings = spark.createDataFrame(rows, "tweet_id int, class int, term string, tfidf double")
+    got = sentiment.knn_all(postings, spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"])], "asked_id int, terms array<string>"), 15).collect()
+    want = sorted((i, -1.5 * len(set(q) & set(held[t % 3])), t) for i, q in ((1, "abc"), (2, "a")) for t in range(40))
+    want = [r for i in (1, 2) for r in [w for w in want if w[0] == i][:15]]
+    assert sorted((r.asked_id, -r.score, r.tweet_id) for r in got) == want
