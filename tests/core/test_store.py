@@ -210,10 +210,12 @@ def _texts_by_word(texts):
     return words, *neighbours._by_word(at, col, ws, len(words))
 
 
-@pytest.mark.parametrize("cells", [1 << 23, 3000])
-def test_most_postings_of_neighbours_are_not_read(monkeypatch, cells):
+@pytest.mark.parametrize("cells, dense", [(1 << 23, 1.0), (3000, 1.0), (1 << 23, 0.0), (3000, 0.0)])
+def test_most_postings_of_neighbours_are_not_read(monkeypatch, cells, dense):
     """With floors, a few of the postings tell which texts can be among the best, and none of those is lost; packs are in
-    another order than ids, and a table takes all frequent words or a few."""
+    another order than ids, a table takes all frequent words or a few, and products are used or not."""
+    monkeypatch.setattr(neighbours, "DENSE", dense)
+    monkeypatch.setattr(neighbours, "PRODUCT_WORDS", 20)
     monkeypatch.setattr(neighbours, "CELLS", cells)
     monkeypatch.setattr(neighbours, "SCORED", 1000)
     rng = np.random.default_rng(5)
@@ -232,7 +234,7 @@ def test_most_postings_of_neighbours_are_not_read(monkeypatch, cells):
     q, t, raw = pack.best(k, np.arange(80), ends, np.concatenate(asks), floors)
     for i, want in enumerate(exact):
         assert sorted((-round(r, 6), int(x)) for a, x, r in zip(q, t, raw) if a == i)[:k] == want
-    _, reads, need = pack._cut(np.searchsorted(pack.words, np.concatenate(asks)), np.diff(ends, prepend=0), floors)
+    _, reads, need = pack._cut(np.searchsorted(pack.words, np.concatenate(asks)), np.diff(ends, prepend=0), floors, 1 - neighbours.EXCESS)
     assert (need > 0).all()
     if cells > 3000:
         assert reads.sum() < 0.3 * np.diff(pack.begins)[np.searchsorted(pack.words, np.concatenate(asks))].sum()
