@@ -210,12 +210,14 @@ def _texts_by_word(texts):
     return words, *neighbours._by_word(at, col, ws, len(words))
 
 
-@pytest.mark.parametrize("cells, dense", [(1 << 23, 1.0), (3000, 1.0), (1 << 23, 0.0), (3000, 0.0)])
-def test_most_postings_of_neighbours_are_not_read(monkeypatch, cells, dense):
+@pytest.mark.parametrize("cells, dense, summed", [(1 << 23, 1.0, 20), (3000, 1.0, 20), (1 << 23, 0.0, 20), (3000, 0.0, 20), (1 << 23, 0.0, 300)])
+def test_most_postings_of_neighbours_are_not_read(monkeypatch, cells, dense, summed):
     """With floors, a few of the postings tell which texts can be among the best, and none of those is lost; packs are in
-    another order than ids, a table takes all frequent words or a few, and products are used or not."""
+    another order than ids, a table takes all frequent words or a few, and products are used for none, some or all words."""
     monkeypatch.setattr(neighbours, "DENSE", dense)
-    monkeypatch.setattr(neighbours, "PRODUCT_WORDS", 20)
+    monkeypatch.setattr(neighbours, "PRODUCT_WORDS", summed)
+    monkeypatch.setattr(neighbours, "SHARE", 0.0 if summed == 300 else neighbours.SHARE)
+    monkeypatch.setattr(neighbours, "PRODUCT", 0.0 if summed == 300 else neighbours.PRODUCT)
     monkeypatch.setattr(neighbours, "CELLS", cells)
     monkeypatch.setattr(neighbours, "SCORED", 1000)
     rng = np.random.default_rng(5)
